@@ -70,12 +70,16 @@ def sampled(df: DataFrame, key: str, stratum: str, most: int) -> DataFrame:
     return thin.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank")
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, folds: int = 5) -> list:
-    """(doc_id, text, label) of at most `most` training rows for each label value; rows of fold 0 never get in."""
-    ok = labels.where((fold(F.col("doc_id"), folds) != 0) & F.col(label).isin(0, 1)).select("doc_id", label).distinct()
-    few = sampled(ok, "doc_id", label, most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").orderBy("doc_id").limit(4 * most)
-    return rows.collect()
+def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, folds: int = 5) -> DataFrame:
+    """doc_id, text, label of at most `most` training rows for each label value; rows of fold 0 never get in."""
+    ok = labels.where((fold(F.col("doc_id"), folds) != 0) & F.col(label).isin(0, 1)).select("doc_id", F.col(label).alias("label")).distinct()
+    few = sampled(ok, "doc_id", "label", most)
+    return plain(docs).join(F.broadcast(few), "doc_id")
+
+
+def plain(docs: DataFrame) -> DataFrame:
+    """The two columns that operators read, whatever else there is."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:

@@ -83,7 +83,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 0, tokenizer
                     at += length
             yield common.record(PIECES, list(zip(*rows, strict=True)) or [[]] * len(PIECES))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut_all, PIECES_DDL)
+    return common.plain(docs).mapInArrow(cut_all, PIECES_DDL)
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 0, tokenizer_path: str | None = None) -> DataFrame:

@@ -6,12 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe_automaton import op6_bpe_automaton
 from .packing import op9_harmonic_packing
+from .passage_quality import op10_passage_quality
+from .quality_rules import op7_quality_rules
 from .token_store import op1_repair_tokens
 
+OPERATORS = (
+    op1_repair_tokens,
+    op6_bpe_automaton,
+    op7_quality_rules,
+    op9_harmonic_packing,
+    op10_passage_quality,
+)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_repair_tokens, op9_harmonic_packing)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
