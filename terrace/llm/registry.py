@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_automaton import op6_bpe_automaton
+from .language_id import op5_language_id
 from .packing import op9_harmonic_packing
 from .passage_quality import op10_passage_quality
 from .quality_rules import op7_quality_rules
+from .simhash import op2_simhash_anchor
 from .token_store import op1_repair_tokens
+from .toxicity import op3_toxicity
 
 OPERATORS = (
     op1_repair_tokens,
+    op2_simhash_anchor,
+    op3_toxicity,
+    op5_language_id,
     op6_bpe_automaton,
     op7_quality_rules,
     op9_harmonic_packing,
