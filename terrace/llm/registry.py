@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_automaton import op6_bpe_automaton
+from .hilbert_ann import op4_hilbert_ann
 from .language_id import op5_language_id
+from .line_dedup import op8_line_dedup
 from .packing import op9_harmonic_packing
 from .passage_quality import op10_passage_quality
 from .quality_rules import op7_quality_rules
@@ -19,9 +21,11 @@ OPERATORS = (
     op1_repair_tokens,
     op2_simhash_anchor,
     op3_toxicity,
+    op4_hilbert_ann,
     op5_language_id,
     op6_bpe_automaton,
     op7_quality_rules,
+    op8_line_dedup,
     op9_harmonic_packing,
     op10_passage_quality,
 )
