@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from .plans import column_queries, join_queries  # noqa: F401  these register their queries
+from .plans.catalogue import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
