@@ -189,7 +189,7 @@ def distance(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: flo
     """Great-circle distance in the radius's unit."""
     a, b = F.radians(lat1), F.radians(lat2)
     h = F.pow(F.sin((b - a) / 2), 2) + F.cos(a) * F.cos(b) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return F.lit(2 * radius) * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    return F.lit(2 * radius) * F.asin(F.when(h > 1, F.lit(1.0)).otherwise(F.sqrt(h)))
 
 
 _RAW = ("UPPER", "LOWER", "TRIM", "LENGTH", "ABS", "ROUND")

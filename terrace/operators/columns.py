@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..shared import checkpoint_dir
+
 #: Spark types of the type names that flows and models use.
 TYPES = {
     "string": "string", "integer": "bigint", "int64": "bigint", "real": "double", "double": "double", "number": "double", "boolean": "boolean", "date": "date",
@@ -86,15 +88,16 @@ def add_index(df: DataFrame, new: str, order: Sequence[Column | str], start: int
     """Numbers the rows in that order, which is to be total.
 
     Rows are dealt out by ranges of the order; each range counts its rows, and what stands before it is added, so that no
-    task meets all rows.
+    task meets all rows. The ranges are a checkpoint, as their ends depend on a sample and must not be drawn twice.
     """
+    checkpoint_dir(df.sparkSession)
     keys = [F.col(o) if isinstance(o, str) else o for o in order]
-    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id())
-    ranged = ranged.withColumn("_nth", F.monotonically_increasing_id() - F.shiftleft(F.col("_part").cast("long"), 33))
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each partition
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    at = ranged.join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part")
-    return at.withColumn(new, (F.col("_before") + F.col("_nth")) * step + start).drop("_part", "_nth", "_before")
+    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__at", F.monotonically_increasing_id()).checkpoint()
+    ranged = ranged.withColumns({"__part": F.shiftright("__at", 33), "__nth": F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))})
+    sizes = ranged.groupBy("__part").agg(F.count("*").alias("__n"))  # a row for each partition
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = ranged.join(F.broadcast(sizes.select("__part", before.alias("__before"))), "__part")
+    return at.withColumn(new, (F.col("__before") + F.col("__nth")) * step + start).drop("__part", "__nth", "__before", "__at")
 
 
 def transpose(df: DataFrame, key: str, keys: Sequence[str]) -> DataFrame:
