@@ -49,32 +49,36 @@ class Automaton:
             made[z], left[z], right[z] = rank, x, y
         # spines: the parts at the inner edge of a token, each with the rank at which the part went into the next one
         self._right_spine, self._left_spine = [()] * n, [()] * n
+        dead = set()
         for t in sorted(range(n), key=made.__getitem__):
             self._right_spine[t] = ((t * n, never),)
             self._left_spine[t] = ((t, never),)
             if made[t] >= 0:
+                if dead.intersection((left[t], right[t])) or self._removed(left[t], right[t], made[t]):
+                    dead.add(t)  # an earlier merge takes its parts apart: its gadget finds no arcs, and adds none
                 # the outermost part of the spine of a part is now limited by this token
                 inner = self._right_spine[right[t]]
                 self._right_spine[t] += ((inner[0][0], made[t]), *inner[1:])
                 inner = self._left_spine[left[t]]
                 self._left_spine[t] += ((inner[0][0], made[t]), *inner[1:])
         self._table: dict[int, bool] = {}
-        self._starts = {t[:k]: -1 for t in vocab for k in range(1, len(t))} | vocab
+        self._starts = {t[:k]: -1 for t in vocab for k in range(1, len(t))} | {s: -1 if t in dead else t for s, t in vocab.items()}
+
+    def _removed(self, state: int, arc: int, by: int) -> bool:
+        """Whether a gadget before rank `by` left the state entered by token `state` without an arc `arc`."""
+        for p, until in self._right_spine[state]:
+            for u, before in self._left_spine[arc]:
+                rank = self._lost.get(p + u)
+                if rank is not None and rank < by and rank < until and rank <= before:  # equal: a a -> aa leaves no aa after a
+                    return True
+        return False
 
     def allows(self, state: int, arc: int) -> bool:
         """Whether the state entered by token `state` has an arc `arc`."""
         key = state * self._n + arc
         found = self._table.get(key)
         if found is None:
-            found = True
-            for p, until in self._right_spine[state]:
-                for u, before in self._left_spine[arc]:
-                    rank = self._lost.get(p + u)
-                    if rank is not None and rank < until and rank <= before:  # equal: a a -> aa leaves no aa after a
-                        found = False
-                        break
-                if not found:
-                    break
+            found = not self._removed(state, arc, 1 << 60)
             if len(self._table) >= TABLE:
                 self._table.clear()
             self._table[key] = found
