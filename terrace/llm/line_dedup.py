@@ -42,6 +42,7 @@ def ties(docs: DataFrame) -> DataFrame:
     )
     lines = common.written(lines, "lines")
     shared = lines.groupBy("h", "g").agg(F.min(F.struct("doc_id", "at", "times")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id < last")
+    shared = common.written(shared, "shared-lines")  # so that the join shuffles both sides anew and can split a very common line
     tied = lines.join(shared, ["h", "g"]).where("doc_id > first.doc_id")
     one = F.struct("h", "at", "times", F.col("first.doc_id").alias("first_doc"), F.col("first.at").alias("first_at"), F.col("first.times").alias("first_times"), "words")
     return tied.groupBy(F.col("doc_id").alias("_doc_id")).agg(F.collect_list(one).alias("_ties"))
