@@ -13,12 +13,13 @@ TYPES = {"SCRIPT_BOOL": "boolean", "SCRIPT_INT": "bigint", "SCRIPT_REAL": "doubl
 
 def script(kind: str, fn: Callable[..., pd.Series], *columns: Column) -> Column:
     """fn gets a pandas Series for each column, batch by batch."""
-    if len(columns) == 1:
-        return F.pandas_udf(lambda a: fn(a), TYPES[kind], F.PandasUDFType.SCALAR)(*columns)
-    if len(columns) == 2:
-        return F.pandas_udf(lambda a, b: fn(a, b), TYPES[kind], F.PandasUDFType.SCALAR)(*columns)
     packed = F.struct(*[c.alias(f"_{i}") for i, c in enumerate(columns)])
-    return F.pandas_udf(lambda x: fn(*[x[c] for c in x.columns]), TYPES[kind], F.PandasUDFType.SCALAR)(packed)
+
+    @F.pandas_udf(TYPES[kind])
+    def run(rows: pd.DataFrame) -> pd.Series:
+        return fn(*[rows[c] for c in rows.columns])
+
+    return run(packed)
 
 
 def script_table(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
