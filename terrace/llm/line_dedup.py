@@ -133,20 +133,24 @@ def remove(text: str, found: list[dict], min_words: int = MIN_WORDS) -> tuple[st
 
 def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, keep_emptied: bool = True) -> DataFrame:
     """docs with the repeated runs deleted from text; without documents that lost all their words if keep_emptied is false."""
-    tied = docs.join(ties(docs), docs["doc_id"].cast("long") == F.col("_doc_id"), "left").drop("_doc_id")
-    schema = docs.schema
+    schema, name = docs.schema, "_ties"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    found = ties(docs).withColumnRenamed("_ties", name)
+    tied = docs.join(found, docs["doc_id"].cast("long") == found["_doc_id"], "left").drop(found["_doc_id"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
-            out, emptied = _cut_batch(batch, min_words)
-            done = out.drop_columns(["_ties"])
+            out, emptied = _cut_batch(batch, min_words, name)
+            done = out.drop_columns([name])
             yield done if keep_emptied else done.filter(pa.array([not x for x in emptied]))
 
     return tied.mapInArrow(cut, schema)
 
 
-def _cut_batch(batch: pa.RecordBatch, min_words: int) -> tuple[pa.RecordBatch, list[bool]]:
-    texts, all_ties = batch.column("text").to_pylist(), batch.column("_ties").to_pylist()
+def _cut_batch(batch: pa.RecordBatch, min_words: int, name: str) -> tuple[pa.RecordBatch, list[bool]]:
+    """The batch with its texts cut, and which of them lost all words; name: of the column of ties."""
+    texts, all_ties = batch.column("text").to_pylist(), batch.column(name).to_pylist()
     emptied, sizes = [False] * len(texts), {}
     for i, (text, found) in enumerate(zip(texts, all_ties, strict=True)):
         if text and found:

@@ -439,12 +439,12 @@ def test_blocks_go_from_the_later_document(spark):
         (1, f"own start one\n{block}\nown end one", "x", 0), (2, f"own start two\n\n{block}\nown end two", "x", 0), (3, block, "x", 0), (4, "short line\nown start one", "x", 0),
         (5, None, "x", 0), (6, "", "x", 0), (None, block, "x", 0),
     ]
-    df = spark.createDataFrame(rows, "doc_id long, text string, _ties2 string, n_chars long")
+    df = spark.createDataFrame(rows, "doc_id long, text string, _ties string, n_chars long")
     got = {r["doc_id"]: r for r in line_dedup.deduplicated(df).collect()}
     assert got[1]["text"] == rows[0][1] and got[2]["text"] == "own start two\n\nown end two" and got[3]["text"] == "" and got[4]["text"] == rows[3][1]
     assert got[2]["n_chars"] == len(got[2]["text"]) and got[5]["text"] is None and got[6]["text"] == "" and got[None]["text"] == block
     assert line_dedup.deduplicated(df, keep_emptied=False).count() == 6
-    assert line_dedup.deduplicated(df.limit(0)).count() == 0
+    assert line_dedup.deduplicated(df.limit(0)).count() == 0 and line_dedup.deduplicated(df).columns == df.columns
 
 
 def test_patience_alignment():
