@@ -57,6 +57,7 @@ class ByteBpe:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._letters = byte_letters()
         self._model = self.tokenizer.model
+        self._model._resize_cache(0)  # pieces are kept here; the model's own cache only costs time
         self._split = regex.compile(public_tokenizers.PATTERN).findall
         self._split_latin = re.compile(LATIN).findall
         self._cache = PieceCache(self._piece)
