@@ -134,8 +134,8 @@ def regexp_replace(c: Column, pattern: str, new: str) -> Column:
 
 # numbers
 def to_int(c: Column) -> Column:
-    """Cut towards zero; NULL for text that is no number."""
-    return c.try_cast("double").try_cast("bigint")
+    """Cut towards zero; NULL for text that is no number. Whole numbers are exact, whatever their size."""
+    return F.coalesce(c.try_cast("bigint"), c.try_cast("double").try_cast("bigint"))
 
 
 def to_float(c: Column) -> Column:
@@ -147,9 +147,8 @@ def divide(a: Column, b) -> Column:
 
 
 def div(a: Column, b) -> Column:
-    """Integer quotient, cut towards zero."""
-    b = _lit(b)
-    return F.try_divide(a.cast("double"), b.cast("double")).cast("bigint")
+    """Integer quotient, cut towards zero; NULL for zero."""
+    return F.call_function("div", a, F.nullif(_lit(b), F.lit(0)))
 
 
 def modulo(a: Column, b) -> Column:
@@ -261,5 +260,16 @@ def make_date(y: Column, m: Column, d: Column) -> Column:
     return F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0")).try_cast("date")
 
 
+def make_datetime(y: Column, m: Column, d: Column, hour: Column, minute: Column, second: Column) -> Column:
+    """NULL for a time that there is not."""
+    return F.try_make_timestamp(y, m, d, hour, minute, second)
+
+
+def make_time(hour: Column, minute: Column, second: Column) -> Column:
+    """hh:mm:ss as text; NULL outside a day."""
+    ok = hour.between(0, 23) & minute.between(0, 59) & second.between(0, 59)
+    return F.when(ok, F.concat_ws(":", *[F.lpad(c.cast("string"), 2, "0") for c in (hour, minute, second)]))
+
+
 def date_parse(pattern: str, c: Column) -> Column:
     return F.try_to_timestamp(c, F.lit(pattern))

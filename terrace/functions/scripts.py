@@ -35,3 +35,13 @@ def script_table(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], sche
 def script_groups(df: DataFrame, keys: Sequence[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """fn maps each group whole; for groups that fit a task by their meaning."""
     return df.groupBy(*keys).applyInPandas(fn, schema)
+
+
+def script_aggregate(kind: str, fn: Callable[..., float], *columns: Column) -> Column:
+    """fn maps a group's Series to one value. A group meets whole in a task: for groups that are small by their meaning."""
+
+    @F.pandas_udf(TYPES[kind])
+    def run(*values: pd.Series) -> float:
+        return fn(*values)
+
+    return run(*columns)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,3 +62,23 @@ def clusters(df: DataFrame, columns: Sequence[str], k: int, seed: int = 1) -> Da
     rows = StandardScaler(inputCol="_x", outputCol="_z", withMean=True).fit(rows).transform(rows)
     model = KMeans(k=k, seed=seed, featuresCol="_z", predictionCol="cluster").fit(rows)
     return model.transform(rows).drop("_x", "_z")
+
+
+def forecast(df: DataFrame, keys: Sequence[str], order: str, measure: str, periods: int, level: float = 0.5, slope: float = 0.3) -> DataFrame:
+    """keys, step, forecast: `periods` values after each series, by exponential smoothing of level and slope.
+
+    A series is a view's marks in order, one for each period: as short as its calendar, so it fits a task. NULL marks are left out.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    schema = "".join(f"`{k}` {kinds[k]}, " for k in keys) + "step int, forecast double"
+
+    def smooth(rows: pd.DataFrame) -> pd.DataFrame:
+        values = rows.sort_values(order, kind="stable")[measure].astype(float).tolist()
+        at, trend = values[0], 0.0
+        for v in values[1:]:
+            before = at
+            at = level * v + (1 - level) * (at + trend)
+            trend = slope * (at - before) + (1 - slope) * trend
+        return pd.DataFrame({**{k: [rows[k].iloc[0]] * periods for k in keys}, "step": range(1, periods + 1), "forecast": [at + i * trend for i in range(1, periods + 1)]})
+
+    return df.where(F.col(measure).isNotNull()).select(*keys, order, measure).groupBy(*keys).applyInPandas(smooth, schema)

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quality import widened
+
 HOW = {
     "inner": "inner", "left": "left", "right": "right", "full": "full",
     "leftOnly": "left_anti", "rightOnly": "left_anti", "semi": "left_semi",
@@ -99,6 +101,40 @@ def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str
     return keys.join(parent.select(F.col(parent_key).alias("key")), "key", "left_anti").distinct()
 
 
+def aligned_join(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, str]], how: str = "inner") -> DataFrame:
+    """A join whose keys may differ in type: both sides take the narrowest type that holds both."""
+    a, b = dict(left.dtypes), dict(right.dtypes)
+    for x, y in keys:
+        kind = widened(a[x], b[y])
+        left, right = left.withColumn(x, F.col(x).cast(kind)), right.withColumn(y, F.col(y).cast(kind))
+    return join(left, right, keys, how)
+
+
+def inclusion(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:
+    """One row: share of the child's keys that the parent holds, by rows, and whether the parent's key names a row."""
+    keys = child.where(F.col(child_key).isNotNull()).groupBy(F.col(child_key).alias("_k")).agg(F.count("*").alias("_n"))
+    held = parent.where(F.col(parent_key).isNotNull()).groupBy(F.col(parent_key).alias("_p")).agg(F.count("*").alias("_m"))
+    most = held.agg((F.max("_m") <= 1).alias("parent_is_unique"))
+    share = keys.join(held, F.col("_k") == F.col("_p"), "left").agg(F.try_divide(F.sum(F.when(F.col("_p").isNotNull(), F.col("_n"))).cast("double"), F.sum("_n")).alias("share"))
+    return share.crossJoin(most)  # one row each
+
+
+def inferred(tables: Mapping[str, DataFrame], least: float = 0.95) -> DataFrame:
+    """child, child_column, parent, parent_column, share of the relationships that the data bear out: columns of one type whose
+    names agree after their table's prefix, the parent's naming a row and holding that share of the child's keys."""
+    found = None
+    for c, child in tables.items():
+        for p, parent in tables.items():
+            for x, a in child.dtypes:
+                for y, b in parent.dtypes:
+                    if c != p and a == b and x.partition("_")[2] and x.partition("_")[2] == y.partition("_")[2] and "key" in x:
+                        row = inclusion(child, parent, x, y).select(*[F.lit(v).alias(n) for n, v in (("child", c), ("child_column", x), ("parent", p), ("parent_column", y))], "share", "parent_is_unique")
+                        found = row if found is None else found.union(row)
+    if found is None:
+        raise ValueError("no columns whose names agree")
+    return found.where(F.col("parent_is_unique") & (F.col("share") >= least)).drop("parent_is_unique")
+
+
 def active_edges(edges: Sequence[tuple[str, str]]) -> list[bool]:
     """Which relationships stay active so that any two tables have one path: the earlier ones win."""
     parent: dict[str, str] = {}

@@ -119,3 +119,13 @@ def any_role(predicates: Sequence[Column]) -> Column:
     for p in predicates:
         out = out | F.coalesce(p, F.lit(False))
     return out
+
+
+def user_attribute(attributes: Mapping[str, str], name: str) -> Column:
+    """NULL for an attribute that the user has not."""
+    return F.lit(attributes.get(name)).cast("string")
+
+
+def domain(df: DataFrame, column: str) -> DataFrame:
+    """The values that a parameter may take, from a table."""
+    return df.select(F.col(column).alias("value")).where("value is not null").distinct()

@@ -37,6 +37,41 @@ def profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return one.select(F.inline(rows))
 
 
+def cardinality(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """column_name, n_rows, n_distinct, ratio of distinct values to rows; NULL for an empty table."""
+    found = profile(df, columns)
+    return found.select("column_name", "n_rows", "n_distinct", F.try_divide(F.col("n_distinct").cast("double"), F.col("n_rows")).alias("ratio"))
+
+
+def counts_agree(expected: DataFrame, actual: DataFrame, columns: Sequence[str], share: float = 0.02, least: int = 2) -> DataFrame:
+    """column_name, expected, actual, ok: distinct values differ by no more than `least` or that share of the expected ones."""
+    e, a = profile(expected, columns), profile(actual, columns)
+    both = e.select("column_name", F.col("n_distinct").alias("expected")).join(a.select("column_name", F.col("n_distinct").alias("actual")), "column_name")
+    return both.withColumn("ok", F.abs(F.col("expected") - F.col("actual")) <= F.greatest(F.lit(float(least)), F.col("expected") * share))
+
+
+#: From the narrowest on; a type takes in those before it.
+WIDTHS = ("boolean", "int", "bigint", "double", "string")
+_DATES = ("date", "timestamp")
+
+
+def widened(a: str, b: str) -> str:
+    """The narrowest type that holds both: of numbers, of dates, or text."""
+    if a == b:
+        return a
+    if a in _DATES and b in _DATES:
+        return "timestamp"
+    if "boolean" in (a, b) or a not in WIDTHS or b not in WIDTHS:
+        return "string"
+    return max(a, b, key=WIDTHS.index)
+
+
+def drift_table(old: DataFrame, new: DataFrame) -> DataFrame:
+    """kind, column_name of every change between two schemas."""
+    rows = [(kind, x if isinstance(x, str) else x[0]) for kind, found in schema_drift(old, new).items() for x in found]
+    return old.sparkSession.createDataFrame(rows, "kind string, column_name string")
+
+
 def coercions(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Text columns and the share of their values that can be read as integer, real or date."""
     share = lambda c, t: F.avg(F.when(F.col(c).try_cast(t).isNotNull(), 1.0).otherwise(0.0))

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import web
+
 #: JDBC address and driver class by kind of server.
 JDBC = {
     "sql_server": ("jdbc:sqlserver://{host}:{port};databaseName={database}", 1433, "com.microsoft.sqlserver.jdbc.SQLServerDriver"),
@@ -34,7 +36,7 @@ JDBC = {
     "sap_bw": ("jdbc:sapbw://{host}:{port}/{database}", 8000, "com.sap.bw.jdbc.Driver"),
 }
 #: Kinds that a connector on the classpath reads, by its format name.
-CONNECTORS = {"bigquery": "bigquery", "snowflake": "snowflake", "mongodb": "mongodb", "cosmosdb": "cosmos.oltp", "salesforce": "salesforce", "delta": "delta", "iceberg": "iceberg"}
+CONNECTORS = {"bigquery": "bigquery", "snowflake": "snowflake", "mongodb": "mongodb", "cosmosdb": "cosmos.oltp", "delta": "delta", "iceberg": "iceberg"}
 #: Kinds that are tables of the session's catalog.
 CATALOG = ("databricks", "databricks_unity", "spark", "hive", "lakehouse", "published")
 
@@ -44,7 +46,7 @@ class UnknownSource(ValueError):
 
 
 def read(spark: SparkSession, kind: str, **at) -> DataFrame:
-    """A table by kind of source. Files: path and options; servers: host, database, table or query; catalog: table."""
+    """A table by kind of source. Files: path and options; servers: host, database, table or query; catalog: table; web services: url and schema."""
     if kind in ("parquet", "orc", "text", "csv", "json", "xml"):
         return {"csv": csv, "json": json, "xml": xml}.get(kind, lambda s, path, **o: s.read.format(kind).options(**o).load(path))(spark, **at)
     if kind in JDBC:
@@ -53,6 +55,8 @@ def read(spark: SparkSession, kind: str, **at) -> DataFrame:
         return spark.read.format(CONNECTORS[kind]).options(**at).load()
     if kind in CATALOG:
         return spark.table(at["table"])
+    if kind in web.KINDS:
+        return web.read(spark, kind, **at)
     raise UnknownSource(f"no reader for {kind}")
 
 

@@ -44,10 +44,20 @@ def date_column(columns: Sequence[str]) -> str | None:
     return None
 
 
-def upsert(stream: DataFrame, keys: Sequence[str], apply: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Each micro-batch, its last row of each key, is handed to `apply`; runs until the source is read."""
+def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Each key's last row by `order`, then by its other columns. A largest value and not a window, so that a hot key costs one
+    row for each task."""
+    rest = [c for c in df.columns if c not in keys and c not in order]
+    if not order and not rest:
+        return df.distinct()
+    best = df.groupBy(*keys).agg(F.max(F.struct(*order, *rest)).alias("_row"))
+    return best.select(*[F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns])
+
+
+def upsert(stream: DataFrame, keys: Sequence[str], apply: Callable[[DataFrame, int], None], checkpoint: str, order: Sequence[str] = ()) -> StreamingQuery:
+    """Each micro-batch, its last row of each key by `order`, is handed to `apply`; runs until the source is read."""
 
     def each(batch: DataFrame, n: int) -> None:
-        apply(batch.dropDuplicates(list(keys)), n)
+        apply(latest(batch, keys, order), n)
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from terrace.functions import scalar as S
 from terrace.operators import aggregates as A
+from terrace.operators import analytics as N
 from terrace.operators import cleaning as K
 from terrace.operators import columns as C
 from terrace.operators import filters as X
@@ -200,3 +201,64 @@ def test_upsert_stream(spark, tmp_path):
     incremental.upsert(stream, ["k"], lambda batch, n: got.extend(batch.collect()), f"{tmp_path}/cp").awaitTermination()
     assert sorted(r["k"] for r in got) == [1, 2]
     assert incremental.date_column(["id", "created_at", "updated_at"]) == "updated_at"
+
+
+def test_web_service_pages_and_links(spark):
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Service(BaseHTTPRequestHandler):
+        def do_GET(self):
+            page = int(self.path.rpartition("=")[2])
+            rows = [{"id": 10 * page + i, "name": None if i else f"p{page}", "ok": i == 0, "tags": [i]} for i in range(2)]
+            answer = {"value": rows} | ({"@odata.nextLink": f"/rows?page={page + 1}"} if page < 3 else {})
+            body = json.dumps(answer).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url, schema = f"http://127.0.0.1:{server.server_port}/rows?page=", "id bigint, name string, ok boolean, tags string, missing double"
+    expected = [(10 * p + i, None if i else f"p{p}", i == 0, f"[{i}]", None) for p in (1, 2, 3) for i in range(2)]
+    try:
+        linked = readers.read(spark, "odata", url=url + "1", schema=schema)
+        paged = readers.read(spark, "odata", url=url + "{page}", schema=schema, pages=3)
+        assert rows(linked, "*") == rows(paged, "*") == sorted(expected, key=str)
+        assert paged.rdd.getNumPartitions() == 3
+    finally:
+        server.shutdown()
+
+
+def test_forecast_of_short_and_null_series(spark):
+    df = spark.createDataFrame([("a", 1, 2.0), ("b", 1, 1.0), ("b", 2, None), ("b", 3, 3.0), ("c", 1, None)], "k string, i int, v double")
+    got = rows(N.forecast(df, ["k"], "i", "v", 2), "k", "step", "forecast")
+    assert got == [("a", 1, 2.0), ("a", 2, 2.0), ("b", 1, 2.3), ("b", 2, 2.6)]
+    assert N.forecast(df.limit(0), ["k"], "i", "v", 2).count() == 0
+
+
+def test_types_widen(spark):
+    assert [Q.widened(*p) for p in (("int", "bigint"), ("double", "int"), ("date", "timestamp"), ("boolean", "int"), ("string", "int"), ("date", "date"))] == ["bigint", "double", "timestamp", "string", "string", "date"]
+    a, b = spark.createDataFrame([("1",), (None,)], "x string"), spark.createDataFrame([(1,), (2,)], "y int")
+    assert rows(J.aligned_join(a, b, [("x", "y")]), "x", "y") == [("1", "1")]
+    with pytest.raises(ValueError):
+        J.inferred({"a": a, "b": b})
+
+
+def test_latest_row_of_a_batch(spark):
+    df = spark.createDataFrame([(1, 5, "old"), (1, 7, "new"), (2, 1, None)], "k int, at int, v string")
+    assert rows(incremental.latest(df, ["k"], ["at"]), "k", "v") == [(1, "new"), (2, None)]
+    assert incremental.latest(df, ["k"], ["at"]).columns == df.columns
+    assert incremental.latest(df.select("k"), ["k"], []).count() == 2
+
+
+def test_whole_numbers_stay_exact(spark):
+    big = 9_007_199_254_740_993
+    assert one(spark, S.div(F.lit(big), 1)) == big and one(spark, S.to_int(F.lit(str(big)))) == big
+    assert one(spark, S.div(F.lit(-7), 2)) == -3 and one(spark, S.div(F.lit(7), 0)) is None
+    assert one(spark, S.to_int(F.lit("3.7"))) == 3 and one(spark, S.to_int(F.lit("x"))) is None
+    assert one(spark, S.make_time(F.lit(24), F.lit(0), F.lit(0))) is None and one(spark, S.make_datetime(*[F.lit(x) for x in (2023, 2, 30, 0, 0, 0)])) is None
