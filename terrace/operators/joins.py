@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,19 +52,32 @@ def range_join(left: DataFrame, right: DataFrame, point: str, low: str, high: st
     return p.join(r, on).drop("_bucket", "_slot")
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, values: Sequence[str]) -> DataFrame:
-    """For each left row the values of the last right row of its key at or before its time.
+def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, values: Sequence[str], bucket: Callable[[Column], Column] | None = None) -> DataFrame:
+    """For each left row the values of the last right row of its key at or before its time; of right rows at one time, the
+    largest values. Right rows without key or time match nothing.
 
-    Both sides are laid in one ordered window by key, so no left row meets more than its own key's rows.
+    Both sides are laid in one ordered window by key, so no left row meets more than its own key's rows. With `bucket`, a function
+    of time that never falls (its day, say), windows are by key and bucket, and the last right row before each bucket comes from
+    one row for each bucket: a key with a large share of all rows is then spread over its buckets.
     """
     from pyspark.sql.window import Window
 
-    a = left.select("*", F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast("int").alias("_seen"))
-    b = right.select(F.col(key), F.col(right_time).alias("_t"), *values, F.lit(0).alias("_side"), F.lit(1).alias("_seen"))
-    both = a.unionByName(b, allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    picked = F.last(F.when(F.col("_seen") == 1, F.struct(*values)), ignorenulls=True).over(w)
-    return both.withColumn("_last", picked).where("_side = 1").withColumns({v: F.col("_last")[v] for v in values}).drop("_t", "_side", "_seen", "_last")
+    picked = F.struct(F.col("_t"), *values)
+    a = left.select("*", F.col(left_time).alias("_t"), F.lit(1).alias("_side"))
+    b = right.where(F.col(key).isNotNull() & F.col(right_time).isNotNull()).select(F.col(key), F.col(right_time).alias("_t"), *values, F.lit(0).alias("_side"))
+    both = a.unionByName(b, allowMissingColumns=True).withColumn("_seen", F.when(F.col("_side") == 0, picked))
+    before = F.lit(None).cast(both.schema["_seen"].dataType)
+    by = [key]
+    if bucket:
+        both, by = both.withColumn("_bucket", bucket(F.col("_t"))), [key, "_bucket"]
+        ends = both.groupBy(*by).agg(F.max("_seen").alias("_end"))
+        earlier = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        ends = ends.select(F.col(key).alias("_key"), F.col("_bucket").alias("_of"), F.last("_end", ignorenulls=True).over(earlier).alias("_before"))
+        both = both.join(ends, both[key].eqNullSafe(F.col("_key")) & both["_bucket"].eqNullSafe(F.col("_of")), "left").drop("_key", "_of")
+        before = F.col("_before")
+    w = Window.partitionBy(*by).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_last", F.coalesce(F.max("_seen").over(w), before))
+    return found.where("_side = 1").withColumns({v: F.col("_last")[v] for v in values}).drop("_t", "_side", "_seen", "_last", "_bucket", "_before")
 
 
 def related(many: DataFrame, one: DataFrame, keys: Sequence[tuple[str, str]], columns: Sequence[str]) -> DataFrame:

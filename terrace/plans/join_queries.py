@@ -110,6 +110,15 @@ def join_as_of(t):
     return J.as_of(t("events").select("event_id", "user_id", "ts"), seen, "user_id", "ts", "at", ["last_purchase"]).select("event_id", "last_purchase")
 
 
+@query("""SELECT e.event_id, p.event_id AS last_purchase FROM events e ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events
+WHERE event_type = 'purchase' GROUP BY 1, 2) p ON e.user_id = p.user_id AND e.ts >= p.ts""")
+def join_as_of_by_day(t):
+    """The same, spread over the days of each key."""
+    seen = t("events").where("event_type = 'purchase'").select("user_id", F.col("ts").alias("at"), F.col("event_id").alias("last_purchase"))
+    df = J.as_of(t("events").select("event_id", "user_id", "ts"), seen, "user_id", "ts", "at", ["last_purchase"], lambda at: F.date_trunc("day", at))
+    return df.select("event_id", "last_purchase")
+
+
 @query("SELECT s_suppkey, n_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 def join_related(t):
     df = J.related(t("supplier"), t("nation"), [("s_nationkey", "n_nationkey")], ["n_name", "n_regionkey"])

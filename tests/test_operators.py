@@ -91,6 +91,15 @@ def test_as_of_takes_the_last_at_or_before(spark):
     assert rows(J.as_of(left, right, "k", "t", "u", ["v"]), "k", "t", "v") == [("a", 1, None), ("a", 5, 50), ("b", 9, None)]
 
 
+def test_as_of_by_bucket_is_the_same(spark):
+    left = spark.createDataFrame([("a", i) for i in range(0, 60, 3)] + [("b", 7), (None, 8), ("c", None)], "k string, t int")
+    right = spark.createDataFrame([("a", i, i * 10) for i in (5, 5, 17, 31, 40)] + [("a", 5, 7), ("b", 9, 1), (None, 1, 2), ("c", None, 3)], "k string, u int, v int")
+    plain = rows(J.as_of(left, right, "k", "t", "u", ["v"]), "k", "t", "v")
+    assert plain == rows(J.as_of(left, right, "k", "t", "u", ["v"], lambda t: F.floor(t / 10)), "k", "t", "v")
+    assert {("a", 3, None), ("a", 6, 50), ("a", 30, 170), ("a", 57, 400), ("b", 7, None), (None, 8, None), ("c", None, None)} <= set(plain)
+    assert J.as_of(left.limit(0), right, "k", "t", "u", ["v"], lambda t: F.floor(t / 10)).count() == 0
+
+
 def test_blend_does_not_multiply(spark):
     a = spark.createDataFrame([(1, 10), (1, 20)], "k int, x int")
     b = spark.createDataFrame([(1, 1), (1, 2)], "k int, y int")
