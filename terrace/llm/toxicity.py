@@ -108,7 +108,7 @@ class LabelModel:
         """What a voter shares with the others within the classes: the sum of its squared correlations."""
         total = np.zeros((votes.shape[1],) * 2)
         for r in (1 - q, q):
-            mean = (r[:, None] * votes).sum(0) / r.sum()
+            mean = (r[:, None] * votes).sum(0) / max(r.sum(), 1e-9)  # a class may have no row
             d = votes - mean
             cov = (r[:, None] * d).T @ d
             sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))

@@ -223,6 +223,13 @@ def test_toxicity_of_plain_and_disguised_insults():
     assert toxicity.Voters().of("you are an i d i o t")[0][toxicity.Voters().names.index("spaced")] == 1
 
 
+def test_toxicity_learns_from_rows_of_one_kind():
+    for known in (np.zeros(12, int), np.ones(12, int)):
+        model = toxicity.train([f"some plain text {i}" for i in range(12)], known)
+        score = model.scores(["", "some plain text", "what a stupid moron"])
+        assert np.isfinite(score).all() and (0 <= score).all() and (score <= 1).all()
+
+
 def test_label_model_finds_accuracies():
     rng = np.random.default_rng(1)
     y = rng.random(4000) < 0.3
