@@ -5,7 +5,7 @@ the cells along a Hilbert curve. The curve's key ranges (64 of equal weight) are
 on every curve, a query to its own range and to the next on either side. There it is compared with all vectors by cosine and
 keeps its nearest; the windows of all curves merge by query and are ranked once more.
 
-The index (directions, quantiles, range ends) is fitted on a bounded sample; every row is indexed. Equal vectors are searched
+The index (directions, quantiles, range ends) is fitted on the distinct vectors of a bounded sample; every row is indexed. Equal vectors are searched
 once, with the smallest ids they stand for, so that a vector a third of the table holds makes no large group. A range with
 more vectors than `held` is dealt out by hash, and its queries go to each part: a task holds one part, and queries pass.
 
@@ -30,6 +30,8 @@ from . import common
 CURVES, DIMENSIONS, BITS, RANGES, REACH = 32, 8, 3, 64, 1
 #: Rows that the index is fitted on, and vectors of a range that a task holds.
 SAMPLE, HELD = 8192, 4096
+#: Distinct vectors of the sample that a range holds at least: small tables have fewer ranges, so that windows hold candidates enough.
+LEAST = 8
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -140,7 +142,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, **index) -> DataF
         return spark.createDataFrame([], schema)
     width = max(r["n"] for r in sample)
     rows = rows.where(F.col("n") == width)
-    curves = Curves(_unit([r["v"] for r in sample if r["n"] == width], width), **index)
+    fitted = sorted({bytes(r["v"]) for r in sample if r["n"] == width})
+    index.setdefault("ranges", min(RANGES, max(1, len(fitted) // LEAST)))
+    curves = Curves(_unit(fitted, width), **index)
     data = common.written(distinct_vectors(rows, k), "distinct-vectors")
     n_ranges = len(curves.end[0]) + 1
     parts = -(-data.count() * 2 // n_ranges // HELD) or 1

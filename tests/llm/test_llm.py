@@ -358,6 +358,15 @@ def test_search_with_odd_and_equal_vectors(spark):
     assert hilbert_ann.search(df.where("vec_id < 5"), df.where("vec_id = 3").select("vec_id")).count() == 2
 
 
+@pytest.mark.parametrize("n", [2, 4, 7, 15])
+def test_search_of_few_vectors_finds_all(spark, n):
+    rng = np.random.default_rng(n)
+    rows = [(50 + i, rng.normal(size=6).tolist()) for i in range(n)]
+    df = spark.createDataFrame(rows + [(r[0] + 1000, r[1]) for r in rows] * (n < 5), "vec_id long, embedding array<double>")
+    got = sorted(tuple(r)[:3] for r in hilbert_ann.search(df, df.where("vec_id = 50").select("vec_id")).collect())
+    assert got == [t[:3] for t in brute_nearest([(r["vec_id"], r["embedding"]) for r in df.collect()], [50], 5)]
+
+
 def test_hilbert_curve_steps_to_neighbours():
     side = np.arange(8)
     cells = np.stack(np.meshgrid(side, side, side), axis=-1).reshape(-1, 3)
