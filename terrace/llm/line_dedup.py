@@ -1,19 +1,24 @@
 """Line dedup by patience alignment with earlier documents.
 
-A line that more than one document holds ties each later document to the one of smallest doc_id that holds it: every rare
-line two documents share leads to that pair, and a line that very many documents hold makes one pair for each of them, not
-all pairs. For a pair, the lines that are unique in both are aligned by patience (the longest run of growing positions, then
-again over what is left, for moved blocks), and lines that either holds more than once join the aligned lines they touch.
-Runs of aligned lines, of whatever partners, that hold `min_words` words or more are deleted from the later document.
-
-Lines are compared by 96 bits of hash; only lines with a word count, and blank lines inside a run go with it. A null text
-stays null and an empty one empty; a document whose lines all go is left with an empty text. Rows with a null doc_id are left
-alone. Rows that repeat a doc_id are one document that is not compared with itself. All other columns pass unchanged, but
-n_chars follows the text.
+A window is a stretch of lines that holds `min_words` words and would hold fewer without its last or without its first line.
+A block of `min_words` words that stands in one piece in two documents is made of windows they share, so windows, not lines,
+tie documents: each window of a later document to the one of smallest doc_id that holds it. As every such block is covered,
+no earlier document is missed, and a window that very many documents hold makes one tie for each of them, not all pairs.
+
+For a pair, the windows that are unique in both are aligned by patience (the longest run of growing positions). What that
+leaves are moved and repeated blocks; each window among them is itself a run of `min_words` words in both texts, so they go as
+well. The order of blocks thus names a block as kept in order or moved, but does not change which lines go: all those in a
+block of `min_words` words that stands in one piece in some earlier document. Blocks of several partners are united last.
+
+Windows are compared by 128 bits of hash over hashes of their lines; only lines with a word count, and blank lines inside a
+run go with it. A null text stays null and an empty one empty; a document whose lines all go is left with an empty text. Rows
+with a null doc_id are left alone. Rows that repeat a doc_id are one document that is not compared with itself. All other
+columns pass unchanged, but n_chars follows the text.
 """
 
 from __future__ import annotations
 
+import struct
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -28,24 +33,58 @@ from . import common
 MIN_WORDS = 20
 
 
-def ties(docs: DataFrame) -> DataFrame:
-    """doc_id, ties: for each document with lines of earlier ones, (line hash, position, times here, first document, position
-    there, times there, words) of each such line, its first position standing for all."""
-    lines = (
-        common.plain(docs)
-        .where("doc_id is not null")
-        .select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-        .where(F.expr(r"line rlike '[^\\x20\\x09-\\x0D]'"))
-        .select("doc_id", "at", F.xxhash64("line").alias("h"), F.hash("line").alias("g"), F.expr(r"regexp_count(line, '[^\\x20\\x09-\\x0D]+')").alias("words"))
-        .groupBy("h", "g", "doc_id")
-        .agg(F.min("at").alias("at"), F.count("*").alias("times"), F.first("words").alias("words"))
-    )
-    lines = common.written(lines, "lines")
-    shared = lines.groupBy("h", "g").agg(F.min(F.struct("doc_id", "at", "times")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id < last")
-    shared = common.written(shared, "shared-lines")  # so that the join shuffles both sides anew and can split a very common line
-    tied = lines.join(shared, ["h", "g"]).where("doc_id > first.doc_id")
-    one = F.struct("h", "at", "times", F.col("first.doc_id").alias("first_doc"), F.col("first.at").alias("first_at"), F.col("first.times").alias("first_times"), "words")
-    return tied.groupBy(F.col("doc_id").alias("_doc_id")).agg(F.collect_list(one).alias("_ties"))
+def windows(text: str, min_words: int) -> tuple[list[int], dict[bytes, list[tuple[int, int]]]]:
+    """(indices of the lines with words, for the hash of each window its places among these lines as start and stop)."""
+    solid, words, hashes = [], [], []
+    for i, line in enumerate(text.encode().split(b"\n")):
+        n = len(line.split())
+        if n:
+            solid.append(i)
+            words.append(n)
+            hashes.append(xxhash.xxh3_128_digest(line))
+    least, found, stop, total = max(1, min_words), set(), 0, 0
+    for start, n in enumerate(words):  # the shortest window from each line on
+        while stop < len(words) and total < least:
+            total += words[stop]
+            stop += 1
+        if total < least:
+            break
+        found.add((start, stop))
+        total -= n
+    start = total = 0
+    for stop, n in enumerate(words, 1):  # and the shortest that ends with each line
+        total += n
+        while total - words[start] >= least:
+            total -= words[start]
+            start += 1
+        if total >= least:
+            found.add((start, stop))
+    places: dict[bytes, list[tuple[int, int]]] = {}
+    for a, b in sorted(found):
+        places.setdefault(xxhash.xxh3_128_digest(b"".join(hashes[a:b])), []).append((a, b))
+    return solid, places
+
+
+def ties(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """_doc_id, _ties: for each document with windows of earlier ones, (window hash, first document, first position there,
+    whether that is the only one) of each such window."""
+    out = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("g", pa.int64()), ("at", pa.int32()), ("once", pa.bool_())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches):
+            rows = []
+            for doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text")), strict=True):
+                for h, places in windows(text, min_words)[1].items():
+                    rows.append((doc_id, *struct.unpack("<qq", h), places[0][0], len(places) == 1))
+            yield common.record(out, list(zip(*rows, strict=True)) or [[]] * 5)
+
+    held = common.plain(docs).where("doc_id is not null and text is not null").mapInArrow(cut, "doc_id long, h long, g long, at int, once boolean")
+    held = common.written(held, "windows")
+    shared = held.groupBy("h", "g").agg(F.min(F.struct("doc_id", "at", "once")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id < last")
+    shared = common.written(shared, "shared-windows")  # so that the join shuffles both sides anew and can split a very common window
+    tied = held.select("doc_id", "h", "g").join(shared, ["h", "g"]).where("doc_id > first.doc_id")
+    one = F.struct("h", "g", F.col("first.doc_id").alias("first_doc"), F.col("first.at").alias("first_at"), F.col("first.once").alias("first_once"))
+    return tied.groupBy(F.col("doc_id").alias("_doc_id")).agg(F.collect_set(one).alias("_ties"))
 
 
 def _longest_growing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -68,67 +107,44 @@ def _longest_growing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def align(found: list[dict], positions: dict[int, list[int]], min_words: int) -> set[int]:
-    """Positions of the lines of a document that are aligned with lines of earlier ones. positions: of each line hash.
-
-    A line that is not unique and has `min_words` words needs no neighbour: it is a block of its own."""
+def align(found: list[dict], places: dict[bytes, list[tuple[int, int]]]) -> list[tuple[int, int]]:
+    """The blocks (start, stop) that a document has in common with earlier ones, for each of them those in order, then the
+    moved and repeated ones. places: of each window."""
     by_doc: dict[int, list[dict]] = {}
     for t in found:
         by_doc.setdefault(t["first_doc"], []).append(t)
-    aligned: set[int] = set()
+    blocks = []
     for some in by_doc.values():
-        unique = sorted((t["at"], t["first_at"]) for t in some if t["times"] == 1 and t["first_times"] == 1)
-        here: set[int] = set()
-        while unique:
-            taken = _longest_growing(unique)
-            if here and len(taken) == 1:  # what is left runs backwards: lines that moved one by one
-                here.update(at for at, _ in unique)
-                break
-            here.update(at for at, _ in taken)
-            gone = set(taken)
-            unique = [p for p in unique if p not in gone]
-        rest = {p for t in some if t["times"] > 1 or t["first_times"] > 1 for p in positions.get(t["h"], ())}
-        if not here and rest:
-            here.add(min(rest))  # nothing unique in common: the first common line is the anchor
-        here |= {p for t in some if t["words"] >= min_words for p in positions.get(t["h"], ())} & rest
-        edge = list(here)
-        while edge:
-            p = edge.pop()
-            for q in (p - 1, p + 1):
-                if q in rest and q not in here:
-                    here.add(q)
-                    edge.append(q)
-        aligned |= here
-    return aligned
+        stops, unique, rest = {}, [], []
+        for t in some:
+            here = places.get(struct.pack("<qq", t["h"], t["g"]), [])
+            if len(here) == 1 and t["first_once"]:
+                pair = (here[0][0], t["first_at"])
+                stops[pair] = max(stops.get(pair, 0), here[0][1])
+                unique.append(pair)
+            else:
+                rest += here
+        aligned = _longest_growing(sorted(set(unique)))
+        blocks += [(pair[0], stops.pop(pair)) for pair in aligned]
+        blocks += [(pair[0], stop) for pair, stop in stops.items()] + rest
+    return blocks
 
 
 def remove(text: str, found: list[dict], min_words: int = MIN_WORDS) -> tuple[str, list[tuple[int, int]]]:
-    """(the text without the runs of aligned lines, first and last position of each run)."""
-    lines = text.split("\n")
-    positions: dict[int, list[int]] = {}
-    wanted = {t["h"] for t in found}
-    solid = []
-    for i, line in enumerate(lines):
-        if line and not line.encode().isspace():
-            h = xxhash.xxh64_intdigest(line.encode(), 42)
-            h -= (h >> 63) << 64
-            if h in wanted:
-                positions.setdefault(h, []).append(len(solid))
-            solid.append((i, len(line.encode().split())))
-    # positions among the lines with words, so that blank lines do not part a run
-    here = [t | {"at": positions[t["h"]][0], "times": len(positions[t["h"]])} for t in found if t["h"] in positions]
-    runs, gone = [], set()
-    aligned = sorted(align(here, positions, min_words))
-    start = 0
-    for k in range(1, len(aligned) + 1):
-        if k == len(aligned) or aligned[k] != aligned[k - 1] + 1:
-            run = aligned[start:k]
-            if sum(solid[p][1] for p in run) >= min_words:
-                first, last = solid[run[0]][0], solid[run[-1]][0]
-                runs.append((first, last))
-                gone.update(range(first, last + 1))
-            start = k
-    return ("\n".join(line for i, line in enumerate(lines) if i not in gone) if gone else text), runs
+    """(the text without the blocks it has in common with earlier documents, first and last line of each run of them)."""
+    solid, places = windows(text, min_words)
+    runs, end = [], -1
+    for start, stop in sorted(align(found, places)):
+        if start <= end:  # blank lines aside, the next line or one of the run
+            end = max(end, stop)
+            runs[-1] = (runs[-1][0], solid[end - 1])
+        else:
+            end = stop
+            runs.append((solid[start], solid[end - 1]))
+    if not runs:
+        return text, []
+    gone = {i for first, last in runs for i in range(first, last + 1)}
+    return "\n".join(line for i, line in enumerate(text.split("\n")) if i not in gone), runs
 
 
 def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, keep_emptied: bool = True) -> DataFrame:
@@ -136,7 +152,7 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, keep_emptied: bool
     schema, name = docs.schema, "_ties"
     while name.lower() in {c.lower() for c in docs.columns}:
         name += "_"
-    found = ties(docs).withColumnRenamed("_ties", name)
+    found = ties(docs, min_words).withColumnRenamed("_ties", name)
     tied = docs.join(found, docs["doc_id"].cast("long") == found["_doc_id"], "left").drop(found["_doc_id"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +184,7 @@ def _cut_batch(batch: pa.RecordBatch, min_words: int, name: str) -> tuple[pa.Rec
 def removals(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, text without the runs, n_lines before, n_removed, removed (first and last line of each run, from 0)."""
     docs = common.plain(docs)
-    tied = docs.join(ties(docs), F.col("doc_id") == F.col("_doc_id"), "left").select("doc_id", "text", "_ties")
+    tied = docs.join(ties(docs, min_words), F.col("doc_id") == F.col("_doc_id"), "left").select("doc_id", "text", "_ties")
     span = pa.struct([("first", pa.int32()), ("last", pa.int32())])
     out = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_lines", pa.int32()), ("n_removed", pa.int32()), ("removed", pa.list_(span))])
 

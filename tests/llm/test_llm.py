@@ -480,6 +480,28 @@ def test_long_repeated_lines_stay_once(spark):
                 assert (line in kept) == (seen.setdefault(line, i) == i)
 
 
+def lines_left(spark, *texts):
+    """What is left of each text, with doc_ids from 1 on; a text may come with its doc_id."""
+    rows = [t if isinstance(t, tuple) else (i, t) for i, t in enumerate(texts, 1)]
+    return [r["text"] for r in line_dedup.removals(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id", F.length("text")).collect()]
+
+
+def test_lines_apart_in_earlier_documents_stay(spark):
+    stock = [f"stock line number {i}" for i in range(8)]
+    apart = "\n".join(f"{line}\nown line after {i}" for i, line in enumerate(stock))
+    turned, clean = "\n".join(reversed(stock)), "\n".join(stock)
+    assert lines_left(spark, apart, clean) == [apart, clean]
+    assert lines_left(spark, turned, clean) == [turned, clean]
+    halves = ["\n".join(stock[:4]), "\n".join(stock[4:])]  # 16 words each, of two partners
+    assert lines_left(spark, *halves, clean) == [*halves, clean]
+
+
+def test_moved_blocks_go_if_long_enough(spark):
+    a, b = ("\n".join(f"block {x} has line {i}" for i in range(6)) for x in "ab")
+    small = "\n".join(f"small block line {i}" for i in range(4))
+    assert lines_left(spark, f"{a}\nmiddle\n{b}\nend\n{small}", f"{small}\nnew\n{b}\n\n{a}\nlast")[1] == f"{small}\nnew\nlast"
+
+
 # 9: packing
 def check_pieces(rows, pieces, capacity=1024):
     tokenizer = library("byte_bpe_50k.json")
