@@ -12,8 +12,8 @@ block of `min_words` words that stands in one piece in some earlier document. Bl
 
 Windows are compared by 128 bits of hash over hashes of their lines; only lines with a word count, and blank lines inside a
 run go with it. A null text stays null and an empty one empty; a document whose lines all go is left with an empty text. Rows
-with a null doc_id are left alone. Rows that repeat a doc_id are one document that is not compared with itself. All other
-columns pass unchanged, but n_chars follows the text.
+with a null doc_id are left alone. Rows that repeat a doc_id are not compared with each other, and their windows are counted
+row by row. All other columns pass unchanged, but n_chars follows the text.
 """
 
 from __future__ import annotations
@@ -66,25 +66,25 @@ def windows(text: str, min_words: int) -> tuple[list[int], dict[bytes, list[tupl
 
 
 def ties(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """_doc_id, _ties: for each document with windows of earlier ones, (window hash, first document, first position there,
+    """_doc_id, _row (hash of the text), _ties: for each document with windows of earlier ones, (window hash, first document, first position there,
     whether that is the only one) of each such window."""
-    out = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("g", pa.int64()), ("at", pa.int32()), ("once", pa.bool_())])
+    out = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("h", pa.int64()), ("g", pa.int64()), ("at", pa.int32()), ("once", pa.bool_())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
             rows = []
-            for doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text")), strict=True):
+            for doc_id, row, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "text")), strict=True):
                 for h, places in windows(text, min_words)[1].items():
-                    rows.append((doc_id, *struct.unpack("<qq", h), places[0][0], len(places) == 1))
-            yield common.record(out, list(zip(*rows, strict=True)) or [[]] * 5)
+                    rows.append((doc_id, row, *struct.unpack("<qq", h), places[0][0], len(places) == 1))
+            yield common.record(out, list(zip(*rows, strict=True)) or [[]] * 6)
 
-    held = common.plain(docs).where("doc_id is not null and text is not null").mapInArrow(cut, "doc_id long, h long, g long, at int, once boolean")
+    held = common.plain(docs).withColumn("row", F.xxhash64("text")).where("doc_id is not null and text is not null").mapInArrow(cut, "doc_id long, row long, h long, g long, at int, once boolean")
     held = common.written(held, "windows")
-    shared = held.groupBy("h", "g").agg(F.min(F.struct("doc_id", "at", "once")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id < last")
+    shared = held.groupBy("h", "g").agg(F.min(F.struct("doc_id", "row", "at", "once")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id < last")
     shared = common.written(shared, "shared-windows")  # so that the join shuffles both sides anew and can split a very common window
-    tied = held.select("doc_id", "h", "g").join(shared, ["h", "g"]).where("doc_id > first.doc_id")
-    one = F.struct("h", "g", F.col("first.doc_id").alias("first_doc"), F.col("first.at").alias("first_at"), F.col("first.once").alias("first_once"))
-    return tied.groupBy(F.col("doc_id").alias("_doc_id")).agg(F.collect_set(one).alias("_ties"))
+    tied = held.select("doc_id", "row", "h", "g").join(shared, ["h", "g"]).where("doc_id > first.doc_id")
+    one = F.struct("h", "g", F.col("first.doc_id").alias("first_doc"), F.col("first.row").alias("first_row"), F.col("first.at").alias("first_at"), F.col("first.once").alias("first_once"))
+    return tied.groupBy(F.col("doc_id").alias("_doc_id"), F.col("row").alias("_row")).agg(F.collect_set(one).alias("_ties"))
 
 
 def _longest_growing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -110,9 +110,9 @@ def _longest_growing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def align(found: list[dict], places: dict[bytes, list[tuple[int, int]]]) -> list[tuple[int, int]]:
     """The blocks (start, stop) that a document has in common with earlier ones, for each of them those in order, then the
     moved and repeated ones. places: of each window."""
-    by_doc: dict[int, list[dict]] = {}
+    by_doc: dict[tuple[int, int], list[dict]] = {}
     for t in found:
-        by_doc.setdefault(t["first_doc"], []).append(t)
+        by_doc.setdefault((t["first_doc"], t["first_row"]), []).append(t)
     blocks = []
     for some in by_doc.values():
         stops, unique, rest = {}, [], []
@@ -153,7 +153,8 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, keep_emptied: bool
     while name.lower() in {c.lower() for c in docs.columns}:
         name += "_"
     found = ties(docs, min_words).withColumnRenamed("_ties", name)
-    tied = docs.join(found, docs["doc_id"].cast("long") == found["_doc_id"], "left").drop(found["_doc_id"])
+    same = (docs["doc_id"].cast("long") == found["_doc_id"]) & (F.xxhash64(docs["text"].cast("string")) == found["_row"])
+    tied = docs.join(found, same, "left").drop(found["_doc_id"], found["_row"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
@@ -184,7 +185,7 @@ def _cut_batch(batch: pa.RecordBatch, min_words: int, name: str) -> tuple[pa.Rec
 def removals(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, text without the runs, n_lines before, n_removed, removed (first and last line of each run, from 0)."""
     docs = common.plain(docs)
-    tied = docs.join(ties(docs, min_words), F.col("doc_id") == F.col("_doc_id"), "left").select("doc_id", "text", "_ties")
+    tied = docs.join(ties(docs, min_words), (F.col("doc_id") == F.col("_doc_id")) & (F.xxhash64("text") == F.col("_row")), "left").select("doc_id", "text", "_ties")
     span = pa.struct([("first", pa.int32()), ("last", pa.int32())])
     out = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_lines", pa.int32()), ("n_removed", pa.int32()), ("removed", pa.list_(span))])
 

@@ -502,6 +502,40 @@ def test_moved_blocks_go_if_long_enough(spark):
     assert lines_left(spark, f"{a}\nmiddle\n{b}\nend\n{small}", f"{small}\nnew\n{b}\n\n{a}\nlast")[1] == f"{small}\nnew\nlast"
 
 
+def test_repeated_blocks_go(spark):
+    a, b = ("\n".join(f"block {x} has six words {i}" for i in range(10)) for x in "ab")
+    first, later = f"{a}\nmiddle\n{b}", f"{a}\nnew\n{b}"
+    assert lines_left(spark, (1, first), (1, first), (2, later)) == [first, first, "new"]  # the holder's row twice
+    assert lines_left(spark, (1, first), (1, "other text"), (2, later), (2, f"{b}\nmore")) == ["other text", first, "new", "more"]
+    assert lines_left(spark, f"{a}\nlone line", f"lone line\n{a}\nnew\n{a}")[1] == "lone line\nnew"  # the later one has it twice
+    assert lines_left(spark, f"{a}\nmiddle\n{a}\nlone line", f"lone line\nnew\n{a}")[1] == "lone line\nnew"
+
+
+def test_blocks_go_whoever_holds_their_lines_first(spark):
+    lines = [f"line {i} has six words here" for i in range(10)]
+    singles = [f"{line}\nown line {i}" for i, line in enumerate(lines)]
+    block = "\n".join(lines)
+    assert lines_left(spark, *singles, f"{block}\nend", f"start\n{block}")[-2:] == [f"{block}\nend", "start"]
+
+
+def test_block_removal_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    texts = ["\n".join(f"w{k} " * (1 + k % 9) for k in rng.integers(0, 14, rng.integers(1, 30))) for _ in range(40)]
+    held, left = [t.split("\n") for t in texts], []
+    for n, mine in enumerate(held):
+        gone = set()
+        for other in held[:n]:
+            for i in range(len(mine)):
+                for j in range(len(other)):
+                    k = 0
+                    while i + k < len(mine) and j + k < len(other) and mine[i + k] == other[j + k]:
+                        k += 1
+                    if sum(len(x.split()) for x in mine[i : i + k]) >= line_dedup.MIN_WORDS:
+                        gone.update(range(i, i + k))
+        left.append("\n".join(x for i, x in enumerate(mine) if i not in gone))
+    assert lines_left(spark, *texts) == left and left != texts
+
+
 # 9: packing
 def check_pieces(rows, pieces, capacity=1024):
     tokenizer = library("byte_bpe_50k.json")
