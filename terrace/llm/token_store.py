@@ -42,41 +42,54 @@ SHARDS_DDL = "part int, shard int, n_tokens long, doc_ids array<long>, doc_token
 BUCKETS, NEVER = 1 << 18, np.iinfo(np.int32).max
 
 
-def _ranked(seq: np.ndarray, floor: int, turn: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rank of the pair at each position or NEVER, the pairs by rank): those that occur `floor` times, most frequent first.
+def _ranked(a: np.ndarray, b: np.ndarray, floor: int, turn: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rank of each pair of a and b or NEVER, the pairs by rank): those that occur `floor` times, most frequent first.
 
-    Pairs are counted in hashed buckets, of which each counts one pair exactly; another pair of the same bucket has its
-    turn in a later round, which hashes otherwise.
+    Pairs are counted exactly: one of each hashed bucket by the bucket, the others of a bucket by sorting, if they are
+    `floor` together at all.
     """
-    a, b = seq[:-1], seq[1:]
-    buckets = max(256, min(BUCKETS, 1 << len(seq).bit_length()))
+    buckets = max(256, min(BUCKETS, 1 << len(a).bit_length()))
     shift = np.uint32(33 - buckets.bit_length())
     bucket = (((a * np.uint32(2654435761 + 2 * turn)) ^ (b * np.uint32(2246822519 - 2 * turn))) >> shift).astype(np.intp)
     pair = a.astype(np.uint64) << np.uint64(32) | b
     owner = np.empty(buckets, np.uint64)
     owner[bucket] = pair
     other = np.flatnonzero(owner[bucket] != pair)
-    counts = np.bincount(bucket, minlength=buckets) - np.bincount(bucket[other], minlength=buckets)
+    lost = np.bincount(bucket[other], minlength=buckets)
+    counts = np.bincount(bucket, minlength=buckets) - lost
     good = np.flatnonzero(counts >= floor)
-    good = good[np.lexsort((owner[good], -counts[good]))]
-    rank = np.full(buckets, NEVER, np.int32)
-    rank[good] = np.arange(len(good), dtype=np.int32)
+    other_pairs = other[lost[bucket[other]] >= floor]
+    more, which, more_counts = np.unique(pair[other_pairs], return_inverse=True, return_counts=True)
+    enough = np.flatnonzero(more_counts >= floor)
+    pairs, counts = np.concatenate([owner[good], more[enough]]), np.concatenate([counts[good], more_counts[enough]])
+    order = np.lexsort((pairs, -counts))
+    ranks = np.empty(len(pairs), np.int32)
+    ranks[order] = np.arange(len(pairs), dtype=np.int32)
+    rank, more_rank = np.full(buckets, NEVER, np.int32), np.full(len(more), NEVER, np.int32)
+    rank[good], more_rank[enough] = ranks[: len(good)], ranks[len(good) :]
     found = rank[bucket]
     found[other] = NEVER
-    return found, owner[good]
+    found[other_pairs] = more_rank[which]
+    return found, pairs[order]
 
 
 def compress(ids: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, rules, rule lengths) of a shard.
 
     Every round takes the pairs over a falling frequency, all at once: where two of them overlap the more frequent one
-    (then the left one) is replaced.
+    (then the left one) is replaced. Rounds at the lowest frequency go on until no pair occurs `least` times; they
+    only count the pairs that were frequent before or have a new symbol, as no others can be.
     """
     seq = ids.astype(np.uint32)
     rules: list[np.ndarray] = []
     n_rules, turn, floor = 0, 0, max(least, len(seq) // 256)
+    at = None  # the positions to count, if not all
     while len(seq) >= 2:
-        ranks, pairs = _ranked(seq, floor, turn)
+        if at is None:
+            ranks, pairs = _ranked(seq[:-1], seq[1:], floor, turn)
+        else:
+            ranks = np.full(len(seq) - 1, NEVER, np.int32)
+            ranks[at], pairs = _ranked(seq[at], seq[at + 1], floor, turn)
         if len(pairs):
             edge = np.array([NEVER], np.int32)
             around = np.concatenate([edge, ranks, edge])
@@ -95,11 +108,14 @@ def compress(ids: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarra
             used, name = np.flatnonzero(met), (np.cumsum(met) - 1)[here[pos]]
             rules.append(np.stack([pairs[used] >> np.uint64(32), pairs[used] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
             seq[pos] = (FIRST_RULE + n_rules + name).astype(np.uint32)
-            n_rules += len(used)
             keep = np.ones(len(seq), bool)
             keep[pos + 1] = False
             seq = seq[keep]
-        if floor == least:
+            if floor == least:
+                new = seq >= FIRST_RULE + n_rules
+                at = np.flatnonzero(new[:-1] | new[1:] | wanted[keep[:-1]][: len(seq) - 1])
+            n_rules += len(used)
+        elif floor == least:
             break
         floor, turn = max(least, floor // 8), turn + 1
     table = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)

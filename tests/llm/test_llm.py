@@ -102,6 +102,17 @@ def test_repair_round_trip(ids):
         assert row.column("n_symbols")[0].as_py() < 0.7 * len(ids)
 
 
+@pytest.mark.parametrize("copies", [1, 8, 1000])
+def test_repair_goes_on_until_no_pair_is_frequent(copies):
+    rng = np.random.default_rng(copies)
+    ids = np.tile(rng.zipf(1.3, 200_000 // copies).clip(0, 50_000), copies).astype(np.uint32)
+    symbols, rules, _ = token_store.compress(ids)
+    found = Counter(zip(symbols.tolist(), symbols[1:].tolist(), strict=False))
+    assert len(rules) and max(found.values(), default=0) < token_store.LEAST
+    row = token_store._shard_row(0, 0, [1], [len(ids)], ids)
+    assert (token_store.Shard({k: row.column(k)[0].as_py() for k in row.schema.names}).decode() == ids).all()
+
+
 def test_encoder_equals_the_library():
     bpe, tokenizer = ByteBpe(), library("byte_bpe_50k.json")
     texts = [t or "" for _, t in ODD] + ["".join(map(chr, range(256))), "a\n\n b \r\n\tc", "　x  y", "'S 'Ll don't"]
