@@ -74,6 +74,56 @@ def join_not_inner(t):
     return J.join(_some_orders(t), _some_customers(t), _KEYS, "notInner")
 
 
+# The same joins over all orders and customers; rows without a match come from keys set to NULL on both sides.
+def _all_orders(t):
+    return t("orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_custkey")).alias("o_key"))
+
+
+def _all_customers(t):
+    return t("customer").select(F.when(F.col("c_custkey") % 5 != 0, F.col("c_custkey")).alias("c_key"), "c_name")
+
+
+_WHOLE_ORDERS = "(SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey END AS o_key FROM orders) o"
+_WHOLE_CUSTOMERS = "(SELECT CASE WHEN c_custkey % 5 <> 0 THEN c_custkey END AS c_key, c_name FROM customer) c"
+_WHOLE = "SELECT o_orderkey, o_key, c_key, c_name FROM " + _WHOLE_ORDERS + " {} JOIN " + _WHOLE_CUSTOMERS + " ON o_key = c_key"
+_WHOLE_KEYS = [("o_key", "c_key")]
+
+
+@query(_WHOLE.format("INNER"))
+def join_inner_whole(t):
+    return J.join(_all_orders(t), _all_customers(t), _WHOLE_KEYS)
+
+
+@query(_WHOLE.format("LEFT"))
+def join_left_whole(t):
+    return J.join(_all_orders(t), _all_customers(t), _WHOLE_KEYS, "left")
+
+
+@query(_WHOLE.format("RIGHT"))
+def join_right_whole(t):
+    return J.join(_all_orders(t), _all_customers(t), _WHOLE_KEYS, "right")
+
+
+@query(_WHOLE.format("FULL"))
+def join_full_whole(t):
+    return J.join(_all_orders(t), _all_customers(t), _WHOLE_KEYS, "full")
+
+
+@query("SELECT o_orderkey, o_key FROM " + _WHOLE_ORDERS + " WHERE NOT EXISTS (SELECT 1 FROM " + _WHOLE_CUSTOMERS + " WHERE c_key = o_key)")
+def join_left_only_whole(t):
+    return J.join(_all_orders(t), _all_customers(t), _WHOLE_KEYS, "leftOnly")
+
+
+@query("SELECT c_key, c_name FROM " + _WHOLE_CUSTOMERS + " WHERE NOT EXISTS (SELECT 1 FROM " + _WHOLE_ORDERS + " WHERE c_key = o_key)")
+def join_right_only_whole(t):
+    return J.join(_all_orders(t), _all_customers(t), _WHOLE_KEYS, "rightOnly")
+
+
+@query(_WHOLE.format("FULL") + " WHERE o_key IS NULL OR c_key IS NULL")
+def join_not_inner_whole(t):
+    return J.join(_all_orders(t), _all_customers(t), _WHOLE_KEYS, "notInner")
+
+
 @query("SELECT n_name, r_name FROM nation CROSS JOIN region")
 def join_cross(t):
     return J.cross(t("nation").select("n_name"), t("region").select("r_name"))
@@ -103,6 +153,13 @@ def join_range(t):
     return J.range_join(t("lineitem").where("l_linenumber = 1"), bands, "l_quantity", "low", "high", 5.0).select("l_orderkey", "l_linenumber", "band")
 
 
+@query("""SELECT l_orderkey, l_linenumber, band FROM lineitem JOIN (SELECT i AS band, i * 7.5 AS low, i * 7.5 + 10 AS high FROM range(7) r(i)) b
+ON l_quantity >= low AND l_quantity < high""")
+def join_range_whole(t):
+    bands = t.spark.range(7).select(F.col("id").alias("band"), (F.col("id") * 7.5).alias("low"), (F.col("id") * 7.5 + 10).alias("high"))
+    return J.range_join(t("lineitem"), bands, "l_quantity", "low", "high", 5.0).select("l_orderkey", "l_linenumber", "band")
+
+
 @query("""SELECT e.event_id, p.event_id AS last_purchase FROM events e ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events
 WHERE event_type = 'purchase' GROUP BY 1, 2) p ON e.user_id = p.user_id AND e.ts >= p.ts""")
 def join_as_of(t):
@@ -131,6 +188,13 @@ def join_lookup(t):
     return J.lookup(t("nation").select("n_nationkey"), t("customer").where("c_custkey % 40 = 1"), [("n_nationkey", "c_nationkey")], "c_mktsegment")
 
 
+@query("""SELECT n_nationkey, v.c_mktsegment FROM nation LEFT JOIN (SELECT c_nationkey, CASE WHEN min(c_mktsegment) = max(c_mktsegment) THEN min(c_mktsegment) END AS c_mktsegment
+FROM (SELECT c_nationkey, CASE WHEN c_nationkey % 2 = 0 OR c_mktsegment = 'BUILDING' THEN c_mktsegment END AS c_mktsegment FROM customer) GROUP BY 1) v ON n_nationkey = c_nationkey""")
+def join_lookup_whole(t):
+    segment = F.when((F.col("c_nationkey") % 2 == 0) | (F.col("c_mktsegment") == "BUILDING"), F.col("c_mktsegment"))
+    return J.lookup(t("nation").select("n_nationkey"), t("customer").select("c_nationkey", segment.alias("c_mktsegment")), [("n_nationkey", "c_nationkey")], "c_mktsegment")
+
+
 @query("""SELECT n_nationkey, n_name, balance, customers FROM nation LEFT JOIN (SELECT c_nationkey, round(sum(c_acctbal), 2) AS balance, count(*) AS customers
 FROM customer GROUP BY 1) ON n_nationkey = c_nationkey""")
 def join_blend(t):

@@ -170,6 +170,18 @@ def set_except(t):
     return t("customer").select(F.col("c_nationkey").alias("k")).subtract(t("supplier").where("s_suppkey % 3 = 0").select("s_nationkey"))
 
 
+@query("SELECT nullif(c_nationkey, 1) AS k FROM customer INTERSECT SELECT CASE WHEN s_nationkey % 3 <> 0 THEN s_nationkey END FROM supplier")
+def set_intersect_whole(t):
+    k = F.when(F.col("s_nationkey") % 3 != 0, F.col("s_nationkey"))
+    return t("customer").select(F.nullif("c_nationkey", F.lit(1)).alias("k")).intersect(t("supplier").select(k.alias("k")))
+
+
+@query("SELECT nullif(c_nationkey, 1) AS k FROM customer EXCEPT SELECT CASE WHEN s_nationkey % 3 <> 0 THEN s_nationkey END FROM supplier")
+def set_except_whole(t):
+    k = F.when(F.col("s_nationkey") % 3 != 0, F.col("s_nationkey"))
+    return t("customer").select(F.nullif("c_nationkey", F.lit(1)).alias("k")).subtract(t("supplier").select(k.alias("k")))
+
+
 @query("""SELECT l_orderkey, l_linenumber, unnest(['l_quantity', 'l_discount', 'l_tax']) AS measure, unnest([l_quantity, l_discount, nullif(l_tax, 0)]) AS amount
 FROM lineitem""")
 def reshape_unpivot(t):

@@ -48,6 +48,15 @@ def test_without_oracle_gives_rows(spark, sf_dir, name):
     assert registered.queries()[name](spark, sf_dir).count() > 0
 
 
+def test_whole_joins_read_all_rows(spark, sf_dir):
+    keys = {"orders": ["o_orderkey"], "lineitem": ["l_orderkey", "l_linenumber"]}
+    n = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet").select(k).distinct().count() for t, k in keys.items()}
+    made = registered.queries()
+    full = made["join_full_whole"](spark, sf_dir)
+    assert full.select("o_orderkey").dropna().distinct().count() == n["orders"]
+    assert made["join_range_whole"](spark, sf_dir).select("l_orderkey", "l_linenumber").distinct().count() == n["lineitem"]
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
