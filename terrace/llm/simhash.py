@@ -134,15 +134,17 @@ def home_anchor(fp: np.ndarray, code: GolayHomes) -> np.ndarray:
     return code.home((u & np.uint64(0x7FFFFF)).astype(np.uint32)).astype(np.int64) << 12 | code.home((u >> np.uint64(23) & np.uint64(0x7FFFFF)).astype(np.uint32))
 
 
-def fingerprint_table(docs: DataFrame) -> DataFrame:
-    """doc_id, fp of every row of docs."""
+def fingerprint_table(docs: DataFrame, with_row: bool = False) -> DataFrame:
+    """doc_id, fp of every row of docs, and row, a hash of its text."""
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+        out = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())] + [("row", pa.int64())] * with_row)
         for batch in common.slices(batches):
-            yield common.record(out, [batch.column("doc_id"), fingerprints(common.text_bytes(batch))])
+            row = [batch.column("row")] if with_row else []
+            yield common.record(out, [batch.column("doc_id"), fingerprints(common.text_bytes(batch)), *row])
 
-    return common.plain(docs).mapInArrow(prints, "doc_id long, fp long")
+    plain = common.plain(docs)
+    return (plain.withColumn("row", F.xxhash64("text")) if with_row else plain).mapInArrow(prints, "doc_id long, fp long" + ", row long" * with_row)
 
 
 def _forest(homes: np.ndarray, fp: np.ndarray, at: np.ndarray, links: list, step: int = 1 << 19) -> None:
@@ -239,23 +241,33 @@ def links(distinct: DataFrame) -> DataFrame:
     return rows.repartition(F.shiftright("key", 1)).sortWithinPartitions("key").mapInArrow(compare, "a long, b long")
 
 
-def groups(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint, component_id of every row of docs."""
-    prints = common.written(fingerprint_table(docs), "fingerprints")
+def _components(prints: DataFrame) -> DataFrame:
+    """fp, root, component_id of the distinct fingerprints of prints(doc_id, fp)."""
     distinct = common.written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
     linked = components(links(distinct.select("fp")))
     roots = distinct.join(linked, distinct["fp"] == linked["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = roots.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = roots.join(least, "root").select("fp", "component_id")
+    return roots.join(least, "root").select("fp", "root", "component_id")
+
+
+def groups(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint, component_id of every row of docs."""
+    prints = common.written(fingerprint_table(docs), "fingerprints")
+    named = _components(prints).select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each group, that of the smallest doc_id, with all columns; rows with a null doc_id stay as they are,
-    and of rows that repeat a doc_id one stays."""
-    kept = groups(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    one = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    named = one.join(kept, one["doc_id"] == kept["_kept"], "left_semi")
+    """One row of each group, that of the smallest doc_id and then the least hash of its text, with all columns; rows with a
+    null doc_id stay as they are, and so do rows of one doc_id in different groups."""
+    prints = common.written(fingerprint_table(docs, with_row=True), "fingerprints")
+    one = prints.where("doc_id is not null").join(_components(prints).select("fp", "root"), "fp").groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("one"))
+    kept = one.select(F.col("one.doc_id").alias("_kept"), F.col("one.row").alias("_kept_row"))
+    same = (docs["doc_id"].cast("long") == kept["_kept"]) & (F.xxhash64(docs["text"].cast("string")) == kept["_kept_row"])
+    row = "_row"
+    while row.lower() in {c.lower() for c in docs.columns}:
+        row += "_"
+    named = docs.join(kept, same, "left_semi").withColumn(row, F.xxhash64(F.col("text").cast("string"))).dropDuplicates(["doc_id", row]).drop(row)
     return named.unionByName(docs.where("doc_id is null"))
 
 

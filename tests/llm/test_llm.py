@@ -193,6 +193,13 @@ def test_keep_first_keeps_one_of_each_group(odd):
     assert sorted(kept, key=lambda x: (x is not None, x or 0)) == [None, 1, 3, 5, 9, 11, 12, 13]
 
 
+def test_keep_first_keeps_different_texts_of_one_id(spark):
+    one, two = "alpha beta gamma delta epsilon", "a quite different text about other things"
+    rows = [(4, one), (4, two), (4, two), (5, two), (6, one), (None, one)]
+    got = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, got)) == Counter([(4, one), (4, two), (None, one)])
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(500, i) for i in range(501, 560)] + [(7, 7)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
