@@ -1,13 +1,14 @@
 """Token ids in Re-Pair compressed shards.
 
-Documents are dealt out by ranges of doc_id and sorted; each task tokenizes its texts and closes a shard whenever it has
+Documents are dealt out by ranges of doc_id, rows of one doc_id by the order they are read in, and sorted; each task tokenizes its texts and closes a shard whenever it has
 `shard_tokens` ids (a document is never split). A shard replaces frequent id pairs by nonterminals, round after round,
 and keeps the rules, the expansion length of every rule, the remaining symbols in the fewest whole bytes, and the ids and
 lengths of its documents. A range of ids is decoded from the expansion lengths without expanding what stands before it.
 
 The file format is a Parquet dataset, one row a shard: Spark writes and commits it, so a task that is lost and run again
-leaves no half file. Repeated and null doc_ids are separate documents (nulls first, then equal ids in order of text);
-a null or empty text is its end id only; other columns are not stored.
+leaves no half file. Repeated and null doc_ids are separate documents (nulls first, equal ids as read), and however many
+there are of one doc_id, they are spread over the tasks; a null or empty text is its end id only; other columns are not
+stored; an empty table gives an empty store.
 """
 
 from __future__ import annotations
@@ -42,35 +43,46 @@ SHARDS_DDL = "part int, shard int, n_tokens long, doc_ids array<long>, doc_token
 BUCKETS, NEVER = 1 << 18, np.iinfo(np.int32).max
 
 
-def _ranked(a: np.ndarray, b: np.ndarray, floor: int, turn: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rank of each pair of a and b or NEVER, the pairs by rank): those that occur `floor` times, most frequent first.
+def frequent_pairs(a: np.ndarray, b: np.ndarray, floor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places of the pairs of a and b that occur `floor` times, their ranks there, the pairs by rank, most frequent first).
 
-    Pairs are counted exactly: one of each hashed bucket by the bucket, the others of a bucket by sorting, if they are
-    `floor` together at all.
+    Hashed buckets sort out most rare pairs. Of what is left each bucket counts one pair exactly; the pairs that share its
+    bucket go on to the next turn, which hashes otherwise.
     """
-    buckets = max(256, min(BUCKETS, 1 << len(a).bit_length()))
-    shift = np.uint32(33 - buckets.bit_length())
-    bucket = (((a * np.uint32(2654435761 + 2 * turn)) ^ (b * np.uint32(2246822519 - 2 * turn))) >> shift).astype(np.intp)
-    pair = a.astype(np.uint64) << np.uint64(32) | b
-    owner = np.empty(buckets, np.uint64)
-    owner[bucket] = pair
-    other = np.flatnonzero(owner[bucket] != pair)
-    lost = np.bincount(bucket[other], minlength=buckets)
-    counts = np.bincount(bucket, minlength=buckets) - lost
-    good = np.flatnonzero(counts >= floor)
-    other_pairs = other[lost[bucket[other]] >= floor]
-    more, which, more_counts = np.unique(pair[other_pairs], return_inverse=True, return_counts=True)
-    enough = np.flatnonzero(more_counts >= floor)
-    pairs, counts = np.concatenate([owner[good], more[enough]]), np.concatenate([counts[good], more_counts[enough]])
-    order = np.lexsort((pairs, -counts))
-    ranks = np.empty(len(pairs), np.int32)
-    ranks[order] = np.arange(len(pairs), dtype=np.int32)
-    rank, more_rank = np.full(buckets, NEVER, np.int32), np.full(len(more), NEVER, np.int32)
-    rank[good], more_rank[enough] = ranks[: len(good)], ranks[len(good) :]
-    found = rank[bucket]
-    found[other] = NEVER
-    found[other_pairs] = more_rank[which]
-    return found, pairs[order]
+    at, turn, known = np.arange(len(a)), 0, 0
+    where, number, pairs, sizes = [at[:0]], [at[:0]], [np.zeros(0, np.uint64)], [at[:0]]
+    while len(a) >= floor:
+        buckets = max(256, min(BUCKETS, 1 << len(a).bit_length()))
+        h = a * np.uint32(2654435761 + 2 * turn)
+        h ^= b * np.uint32(2246822519 - 2 * turn)
+        h >>= np.uint32(33 - buckets.bit_length())
+        bucket = h.astype(np.intp)
+        enough = np.bincount(bucket, minlength=buckets) >= floor
+        some = np.flatnonzero(enough[bucket])
+        if not len(some):
+            break
+        a, b, at, bucket = a[some], b[some], at[some], bucket[some]
+        pair = a.astype(np.uint64) << np.uint64(32) | b
+        owner = np.empty(buckets, np.uint64)
+        owner[bucket] = pair
+        mine = owner[bucket] == pair
+        own = bucket[mine]
+        counts = np.bincount(own, minlength=buckets)
+        good = np.flatnonzero(counts >= floor)
+        numbers = np.full(buckets, -1, np.intp)
+        numbers[good] = np.arange(known, known + len(good))
+        found = numbers[own]
+        where.append(at[mine][found >= 0])
+        number.append(found[found >= 0])
+        pairs.append(owner[good])
+        sizes.append(counts[good])
+        rest = ~mine
+        a, b, at, turn, known = a[rest], b[rest], at[rest], turn + 1, known + len(good)
+    every, size = np.concatenate(pairs), np.concatenate(sizes)
+    order = np.lexsort((every, -size))
+    rank = np.empty(known, np.int32)
+    rank[order] = np.arange(known, dtype=np.int32)
+    return np.concatenate(where), rank[np.concatenate(number)], every[order]
 
 
 def compress(ids: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -82,30 +94,27 @@ def compress(ids: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarra
     """
     seq = ids.astype(np.uint32)
     rules: list[np.ndarray] = []
-    n_rules, turn, floor = 0, 0, max(least, len(seq) // 256)
-    at = None  # the positions to count, if not all
+    n_rules, floor = 0, max(least, len(seq) // 256)
+    at = None  # the places to count, if not all
     while len(seq) >= 2:
-        if at is None:
-            ranks, pairs = _ranked(seq[:-1], seq[1:], floor, turn)
-        else:
-            ranks = np.full(len(seq) - 1, NEVER, np.int32)
-            ranks[at], pairs = _ranked(seq[at], seq[at + 1], floor, turn)
+        a, b = (seq[:-1], seq[1:]) if at is None else (seq[at], seq[at + 1])
+        where, rank, pairs = frequent_pairs(a, b, floor)
         if len(pairs):
-            edge = np.array([NEVER], np.int32)
-            around = np.concatenate([edge, ranks, edge])
-            here, left, right = around[1:-1], around[:-2], around[2:]
-            wanted = here < NEVER
-            take = wanted & (here < left) & (here <= right)
-            run = np.flatnonzero(wanted & (here == left))  # x x x: every other pair of a run
+            ranks = np.full(len(seq) + 1, NEVER, np.int32)  # of the pair that begins at each place, behind an edge
+            ranks[(where if at is None else at[where]) + 1] = rank
+            wanted = np.flatnonzero(ranks < NEVER)
+            here, left, right = ranks[wanted], ranks[wanted - 1], ranks[np.minimum(wanted + 1, len(seq))]
+            take = (here < left) & (here <= right)
+            run = np.flatnonzero(here == left)  # x x x: every other pair of a run
             if len(run):
-                heads = np.flatnonzero(wanted & (here != left))
+                heads = np.flatnonzero(here != left)
                 first = heads[np.searchsorted(heads, run, side="right") - 1]
                 take[run] = ((run - first) % 2 == 0) & take[first] & (here[run] <= right[run])
-                take[1:] &= ~take[:-1]
-            pos = np.flatnonzero(take)
+                take[1:] &= ~(take[:-1] & (wanted[1:] == wanted[:-1] + 1))
+            pos, taken = wanted[take] - 1, here[take]
             met = np.zeros(len(pairs), bool)
-            met[here[pos]] = True
-            used, name = np.flatnonzero(met), (np.cumsum(met) - 1)[here[pos]]
+            met[taken] = True
+            used, name = np.flatnonzero(met), (np.cumsum(met) - 1)[taken]
             rules.append(np.stack([pairs[used] >> np.uint64(32), pairs[used] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
             seq[pos] = (FIRST_RULE + n_rules + name).astype(np.uint32)
             keep = np.ones(len(seq), bool)
@@ -113,11 +122,11 @@ def compress(ids: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarra
             seq = seq[keep]
             if floor == least:
                 new = seq >= FIRST_RULE + n_rules
-                at = np.flatnonzero(new[:-1] | new[1:] | wanted[keep[:-1]][: len(seq) - 1])
+                at = np.flatnonzero(new[:-1] | new[1:] | (ranks[1:] < NEVER)[keep][:-1])
             n_rules += len(used)
         elif floor == least:
             break
-        floor, turn = max(least, floor // 8), turn + 1
+        floor = max(least, floor // 8)
     table = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
     return seq, table, rule_lengths(table)
 
@@ -230,7 +239,8 @@ def encode_shards(docs: DataFrame, end_id: int = 2, shard_tokens: int = SHARD_TO
         if ids:
             yield _shard_row(part, shard, ids, lengths, np.frombuffer(b"".join(held), np.uint32))
 
-    return common.plain(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(shards, SHARDS_DDL)
+    rows = common.plain(docs).withColumn("row", F.monotonically_increasing_id()).repartitionByRange("doc_id", "row")
+    return rows.sortWithinPartitions("doc_id", "row").select("doc_id", "text").mapInArrow(shards, SHARDS_DDL)
 
 
 def write_store(docs: DataFrame, path: str, **how) -> DataFrame:

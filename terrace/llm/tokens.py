@@ -29,10 +29,8 @@ class PieceCache(dict):
         self._make, self._kept, self._old = make, kept, {}
 
     def __missing__(self, piece):
-        found = self._old.get(piece)
-        if found is None:
-            found = self._make(piece)
-        self[piece] = found
+        old = self._old
+        found = self[piece] = old[piece] if piece in old else self._make(piece)
         return found
 
     def trim(self) -> None:
@@ -55,17 +53,22 @@ class ByteBpe:
     def __init__(self, path: str | None = None):
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self._letters = byte_letters()
+        letters = byte_letters()
+        self._space, self._letters = letters[32], str.maketrans({chr(b): c for b, c in letters.items()})
         self._model = self.tokenizer.model
         self._model._resize_cache(0)  # pieces are kept here; the model's own cache only costs time
+        self._bytes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self._split = regex.compile(public_tokenizers.PATTERN).findall
         self._split_latin = re.compile(LATIN).findall
         self._cache = PieceCache(self._piece)
 
     def _piece(self, piece: str) -> bytes:
-        letters = self._letters
-        spelled = "".join([letters[b] for b in piece.encode()])
-        return b"".join([t.id.to_bytes(4, "little") for t in self._model.tokenize(spelled)])
+        if piece.isascii() and piece[1:].isalpha():
+            spelled = piece.replace(" ", self._space)
+        else:
+            spelled = piece.encode().decode("latin-1").translate(self._letters)
+        as_bytes = self._bytes
+        return b"".join([as_bytes[t.id] for t in self._model.tokenize(spelled)])
 
     def encode(self, text: str | None) -> bytes:
         if not text:
@@ -78,7 +81,7 @@ class ByteBpe:
             pieces = self._split_latin(text)
         except UnicodeEncodeError:
             pieces = self._split(text)
-        ids = b"".join(map(cache.__getitem__, pieces))
+        ids = b"".join([cache[p] for p in pieces])
         cache.trim()
         return ids
 

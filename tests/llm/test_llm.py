@@ -113,6 +113,16 @@ def test_repair_goes_on_until_no_pair_is_frequent(copies):
     assert (token_store.Shard({k: row.column(k)[0].as_py() for k in row.schema.names}).decode() == ids).all()
 
 
+def test_documents_of_one_id_are_spread_over_tasks(spark):
+    rows = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("same").alias("text")).union(spark.createDataFrame([(5, "a"), (4, "b c")], "doc_id long, text string"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the table is small
+    try:
+        shards = token_store.encode_shards(rows, shard_tokens=1000).select("part", F.size("doc_ids").alias("n")).groupBy("part").sum("n").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(r[1] for r in shards) == 100_002 and len(shards) > 2 and max(r[1] for r in shards) < 50_000
+
+
 def test_encoder_equals_the_library():
     bpe, tokenizer = ByteBpe(), library("byte_bpe_50k.json")
     texts = [t or "" for _, t in ODD] + ["".join(map(chr, range(256))), "a\n\n b \r\n\tc", "　x  y", "'S 'Ll don't"]
