@@ -5,14 +5,20 @@ the cells along a Hilbert curve. The curve's key ranges (64 of equal weight) are
 on every curve, a query to its own range and to the next on either side. There it is compared with all vectors by cosine and
 keeps its nearest; the windows of all curves merge by query and are ranked once more.
 
-The index (directions, quantiles, range ends) is fitted on the distinct vectors of a bounded sample; every row is indexed. Equal vectors are searched
-once, with the smallest ids they stand for, so that a vector a third of the table holds makes no large group. A range with
-more vectors than `held` is dealt out by hash, and its queries go to each part: a task holds one part, and queries pass.
+The index (directions, quantiles, range ends) is fitted on the distinct vectors of a bounded sample; every row is indexed.
+A vector is divided by its largest component first, so that no norm over- or underflows and exact multiples of one vector are
+equal. Equal vectors are searched once, with the smallest ids they stand for, so that a vector a third of the table holds
+makes no large group. A range with more vectors than `held` is dealt out by hash, and its queries go to each part: a task
+holds one part, and queries pass. A score comes from one formula, whatever window found it.
+
+Vectors are compared with those of their own length, and each length has curves of its own. A length with fewer than FIT
+distinct vectors in the sample, too few to set ranges by, has none: its queries, and those whose windows held fewer than k
+others, are compared with all vectors of the length, block by block.
 
 Recall at 5 against brute force is in the README; it depends on the share of a curve that a window covers, not on the size.
-Vectors that are null, zero, or hold null or non-finite components take no part, nor do those of another length than the
-sample's longest. A repeated vec_id is one candidate for each of its vectors; a query is left out of its own candidates by
-id. Fewer candidates than k give fewer rows.
+Vectors that are null, zero, or hold null or non-finite components take no part. A repeated vec_id is one candidate for each
+of its vectors; a query is left out of its own candidates by id. Different vectors of one query id are queries of their own,
+told apart by query_row, a hash of the vector; equal rows are one query. Fewer candidates than k give fewer rows.
 """
 
 from __future__ import annotations
@@ -30,8 +36,8 @@ from . import common
 CURVES, DIMENSIONS, BITS, RANGES, REACH = 32, 8, 3, 64, 1
 #: Rows that the index is fitted on, and vectors of a range that a task holds.
 SAMPLE, HELD = 8192, 4096
-#: Distinct vectors of the sample that a range holds at least: small tables have fewer ranges, so that windows hold candidates enough.
-LEAST = 8
+#: Distinct vectors of a length in the sample that its ranges are set by, at least.
+FIT = 64
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -86,13 +92,21 @@ class Curves:
         return np.stack([np.searchsorted(end, self._keys(x @ d, c, x), side="right") for c, (d, end) in enumerate(zip(self.direction, self.end, strict=True))], axis=1)
 
 
-def _unit(rows: list[bytes], width: int) -> np.ndarray:
-    x = np.frombuffer(b"".join(rows), np.float64).reshape(-1, width)
+def _rows(vectors: list[bytes], width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(vectors), np.float64).reshape(-1, width)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Cosine of each row of x with the same row of y, whose largest components are 1 or -1."""
+    return np.clip((x * y).sum(axis=1) / np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1)), -1.0, 1.0)
+
+
 def valid(vectors: DataFrame) -> DataFrame:
-    """vec_id and the vector in doubles (v, little-endian bytes) of the rows that take part."""
+    """vec_id and the vector over its largest component in doubles (v, little-endian bytes; n of them) of the rows that take part."""
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = pa.schema([("vec_id", pa.int64()), ("n", pa.int32()), ("v", pa.binary())])
@@ -101,9 +115,10 @@ def valid(vectors: DataFrame) -> DataFrame:
             for vec_id, v in zip(batch.column("vec_id").to_pylist(), batch.column("embedding").to_pylist(), strict=True):
                 if vec_id is not None and v and None not in v:
                     a = np.array(v, np.float64)
-                    if np.isfinite(a).all() and 0 < np.linalg.norm(a) < np.inf:
+                    top = np.abs(a).max()
+                    if 0 < top < np.inf:
                         ids.append(vec_id)
-                        found.append((a + 0.0).tobytes())  # -0.0 and 0.0 are equal
+                        found.append((a / top + 0.0).tobytes())  # -0.0 and 0.0 are equal
             yield common.record(out, [ids, [len(b) // 8 for b in found], found])
 
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
@@ -111,7 +126,7 @@ def valid(vectors: DataFrame) -> DataFrame:
 
 
 def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
-    """v and the k + 1 smallest ids that hold it: tasks keep so many of each vector they meet before anything is grouped."""
+    """v, its length n and the k + 1 smallest ids that hold it: tasks keep so many of each vector they meet before anything is grouped."""
 
     def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = pa.schema([("v", pa.binary()), ("ids", pa.list_(pa.int64()))])
@@ -129,79 +144,119 @@ def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
 
     part = rows.select("vec_id", "v").mapInArrow(least, "v binary, ids array<long>")
     whole = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1)
-    return part.groupBy("v").agg(whole.alias("ids"))
-
-
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, **index) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest vectors(vec_id, embedding) found for each row of queries."""
-    spark = vectors.sparkSession
-    schema = "query_id long, rank int, vec_id long, score double"
-    rows = common.written(valid(vectors), "vectors")
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
-    if not sample:
-        return spark.createDataFrame([], schema)
-    width = max(r["n"] for r in sample)
-    rows = rows.where(F.col("n") == width)
-    fitted = sorted({bytes(r["v"]) for r in sample if r["n"] == width})
-    index.setdefault("ranges", min(RANGES, max(1, len(fitted) // LEAST)))
-    curves = Curves(_unit(fitted, width), **index)
-    data = common.written(distinct_vectors(rows, k), "distinct-vectors")
-    n_ranges = len(curves.end[0]) + 1
-    parts = -(-data.count() * 2 // n_ranges // HELD) or 1
-
-    def place(batches: Iterator[pa.RecordBatch], query: bool) -> Iterator[pa.RecordBatch]:
-        out = pa.schema([("place", pa.int64()), ("is_query", pa.bool_()), ("id", pa.int64()), ("ids", pa.list_(pa.int64())), ("v", pa.binary())])
-        for batch in common.slices(batches, 1024):
-            v = batch.column("v").to_pylist()
-            ids = batch.column("ids").to_pylist()
-            at = curves.ranges(_unit(v, width))
-            where, of = [], []
-            for c in range(at.shape[1]):
-                for step in range(-REACH, REACH + 1) if query else (0,):
-                    ok = np.flatnonzero((at[:, c] + step >= 0) & (at[:, c] + step < n_ranges))
-                    base = (c * n_ranges + at[ok, c] + step) * parts
-                    for part in range(parts) if query else (None,):
-                        where.append(base + (np.array([ids[i][0] for i in ok], np.int64) * 0x9E3779B1 >> 7) % parts if part is None else base + part)
-                        of.append(ok)
-            where, of = np.concatenate(where), np.concatenate(of).tolist()
-            yield common.record(out, [where, [query] * len(of), [ids[i][0] for i in of], [ids[i] for i in of], [v[i] for i in of]])
-
-    ddl = "place long, is_query boolean, id long, ids array<long>, v binary"
-    asked = queries.join(rows, "vec_id").select(F.array("vec_id").alias("ids"), "v")
-    placed = data.select("ids", "v").mapInArrow(lambda b: place(b, False), ddl).union(asked.mapInArrow(lambda b: place(b, True), ddl))
+    return part.groupBy("v").agg(whole.alias("ids")).withColumn("n", (F.octet_length("v") / 8).cast("int"))
+
+
+def _nearest(asked: np.ndarray, own: list[int], held: np.ndarray, unit: np.ndarray, ids: list[list[int]], k: int) -> list[tuple[int, int, float]]:
+    """(query, place, score) of the k + 1 nearest in held of each row of asked, and of some more, without those that only
+    stand for the query's own id."""
+    out = []
+    least, alone = np.array([x[0] for x in ids], np.int64), np.array([len(x) == 1 for x in ids])
+    for i, s in enumerate(_unit(asked) @ unit.T):
+        s[alone & (least == own[i])] = -np.inf
+        best = np.flatnonzero(s > -np.inf)
+        if len(best) > k + 1:  # the product's last bits hang on its shape: whatever may be among the nearest is scored by the one formula
+            best = np.flatnonzero(s >= np.partition(s, len(s) - k - 1)[len(s) - k - 1] - 1e-9)
+        score = cosines(np.broadcast_to(asked[i], (len(best), asked.shape[1])), held[best])
+        if len(best) > 4 * (k + 1):  # ties at the end: the smallest ids are enough
+            some = sorted(range(len(best)), key=lambda j: (-score[j], least[best[j]]))[: k + 1]
+            best, score = best[some], score[some]
+        out += [(i, int(j), float(x)) for j, x in zip(best, score, strict=True)]
+    return out
+
+
+def compared(placed: DataFrame, k: int) -> DataFrame:
+    """query, id, ids, score: the nearest to each query among the vectors of its place. placed: place, is_query, v, and id and
+    ids: the least id and the ids of a vector, the number and the vec_id of a query."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("ids", pa.list_(pa.int64())), ("score", pa.float64())])
-        here, held, held_ids = -1, [], []
-        unit = None
+        out = pa.schema([("query", pa.int64()), ("id", pa.int64()), ("ids", pa.list_(pa.int64())), ("score", pa.float64())])
+        here, vectors, ids, held, unit = None, [], [], None, None
         for batch in common.slices(batches, 1024):
             places = batch.column("place").to_numpy()
             edges = np.flatnonzero(np.diff(places)) + 1
             found: list[tuple] = []
             for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(places)], strict=True):
                 if places[a] != here:
-                    here, held, held_ids, unit = places[a], [], [], None
+                    here, vectors, ids, held = places[a], [], [], None
                 is_query = batch.column("is_query").slice(a, b - a).to_numpy(zero_copy_only=False)
-                v, ids = batch.column("v").slice(a, b - a).to_pylist(), batch.column("ids").slice(a, b - a).to_pylist()
+                v, number, many = (batch.column(c).slice(a, b - a).to_pylist() for c in ("v", "id", "ids"))
                 m = int((~is_query).sum())  # vectors come before queries
-                held += v[:m]
-                held_ids += ids[:m]
-                if m < b - a and held:
-                    unit = _unit(held, width) if unit is None or len(unit) != len(held) else unit
-                    score = np.clip(_unit(v[m:], width) @ unit.T, -1.0, 1.0)
-                    for i, s in enumerate(score):
-                        best = np.argpartition(-s, k)[: k + 1] if len(s) > k + 1 else np.arange(len(s))
-                        best = np.flatnonzero(s >= s[best].min()) if len(s) > k + 1 else best
-                        if len(best) > 4 * (k + 1):  # ties at the end: the smallest ids are enough
-                            best = sorted(best.tolist(), key=lambda j: (-s[j], held_ids[j][0]))[: k + 1]
-                        found += [(ids[m + i][0], held_ids[j][0], held_ids[j], float(s[j])) for j in best]
+                vectors += v[:m]
+                ids += many[:m]
+                if m < b - a and vectors:
+                    if held is None or len(held) != len(vectors):
+                        held = _rows(vectors, len(vectors[0]) // 8)
+                        unit = _unit(held)
+                    for i, j, score in _nearest(_rows(v[m:], held.shape[1]), [x[0] for x in many[m:]], held, unit, ids, k):
+                        found.append((number[m + i], ids[j][0], ids[j], score))
             yield common.record(out, list(zip(*found, strict=True)) or [[]] * 4)
 
-    near = placed.repartition("place").sortWithinPartitions("place", "is_query").mapInArrow(compare, "query_id long, id long, ids array<long>, score double")
-    once = near.groupBy("query_id", "id").agg(F.max("score").alias("score"), F.first("ids").alias("ids"))
-    each = once.select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id != query_id")
-    nearest = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return each.withColumn("rank", nearest).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ordered = placed.repartition("place").sortWithinPartitions("place", "is_query")
+    return ordered.mapInArrow(compare, "query long, id long, ids array<long>, score double")
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, **index) -> DataFrame:
+    """query_id, rank, vec_id, score, query_row: the k nearest vectors(vec_id, embedding) found for each of the rows that have a
+    vec_id of queries."""
+    rows = common.written(valid(vectors), "vectors")
+    sample: dict[int, set[bytes]] = {}
+    for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect():
+        sample.setdefault(r["n"], set()).add(bytes(r["v"]))
+    curves = {n: Curves(_unit(_rows(sorted(some), n)), **index) for n, some in sample.items() if len(some) >= FIT}
+    data = common.written(distinct_vectors(rows, k), "distinct-vectors")
+    asked = rows.join(queries.select(F.col("vec_id").cast("long").alias("vec_id")).distinct(), "vec_id", "left_semi").distinct()
+    asked = asked.select(F.monotonically_increasing_id().alias("query"), "vec_id", F.xxhash64("v").alias("query_row"), "n", "v")
+    asked = common.written(asked, "queries")  # the numbers of the queries are settled here
+    many = {r["n"]: r["count"] for r in data.where(F.col("n").isin(*curves)).groupBy("n").count().collect()} if curves else {}
+    first, layout = 0, {}  # of each length with curves: its first place, its ranges on a curve, the parts of a range
+    for n, c in curves.items():
+        ranges = len(c.end[0]) + 1
+        parts = -(-many[n] * 2 // ranges // HELD) or 1
+        layout[n] = (first, ranges, parts)
+        first += len(c.end) * ranges * parts
+
+    def place(batches: Iterator[pa.RecordBatch], query: bool) -> Iterator[pa.RecordBatch]:
+        out = pa.schema([("place", pa.int64()), ("is_query", pa.bool_()), ("id", pa.int64()), ("ids", pa.list_(pa.int64())), ("v", pa.binary())])
+        for batch in common.slices(batches, 1024):
+            number, v, ids, widths = (batch.column(c).to_pylist() for c in ("id", "v", "ids", "n"))
+            where, of = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for n in layout.keys() & set(widths):
+                (base, ranges, parts), rows_of = layout[n], np.flatnonzero(np.array(widths) == n)
+                part = np.array([number[i] for i in rows_of], np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+                at = curves[n].ranges(_unit(_rows([v[i] for i in rows_of], n)))
+                for c in range(at.shape[1]):
+                    for step in range(-REACH, REACH + 1) if query else (0,):
+                        ok = np.flatnonzero((at[:, c] + step >= 0) & (at[:, c] + step < ranges))
+                        to = base + (c * ranges + at[ok, c] + step) * parts
+                        for p in range(parts) if query else (part[ok].astype(np.int64) % parts,):
+                            where.append(to + p)
+                            of.append(rows_of[ok])
+            where, of = np.concatenate(where), np.concatenate(of).tolist()
+            yield common.record(out, [where, [query] * len(of), [number[i] for i in of], [ids[i] for i in of], [v[i] for i in of]])
+
+    ddl = "place long, is_query boolean, id long, ids array<long>, v binary"
+    numbered = asked.select(F.col("query").alias("id"), F.array("vec_id").alias("ids"), "n", "v")
+    placed = data.select(F.col("ids")[0].alias("id"), "ids", "n", "v").mapInArrow(lambda b: place(b, False), ddl).union(numbered.mapInArrow(lambda b: place(b, True), ddl))
+
+    def ranked(near: DataFrame) -> DataFrame:
+        once = near.groupBy("query", "id").agg(F.max("score").alias("score"), F.first("ids").alias("ids")).join(asked.select("query", "vec_id", "query_row"), "query")
+        each = once.select("query", F.col("vec_id").alias("query_id"), "query_row", "score", F.explode("ids").alias("vec_id")).where("vec_id != query_id")
+        nearest = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
+        return each.withColumn("rank", nearest).where(F.col("rank") <= k)
+
+    found = common.written(ranked(compared(placed, k)), "nearest")
+    rest = asked.join(found.where(F.col("rank") == k), "query", "left_anti")
+    blocks = -(-data.count() // HELD) or 1
+    # the rest: against all vectors of the length, in blocks
+    place_of = lambda block: F.shiftleft(F.col("n").cast("long"), 32) + block
+    lengths = rest.select("n").distinct()
+    every = data.join(lengths, "n", "left_semi").select(place_of(F.pmod(F.xxhash64("v"), F.lit(blocks))).alias("place"), F.lit(False).alias("is_query"), F.col("ids")[0].alias("id"), "ids", "v")
+    block = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("_block")
+    passing = rest.select("n", "v", "query", "vec_id", block).select(place_of(F.col("_block")).alias("place"), F.lit(True).alias("is_query"), F.col("query").alias("id"), F.array("vec_id").alias("ids"), "v")
+    whole = ranked(compared(every.union(passing), k))
+    done = found.join(rest.select("query"), "query", "left_anti").unionByName(whole)
+    return done.select("query_id", "rank", "vec_id", "score", "query_row")
 
 
 def op4_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
