@@ -2,13 +2,19 @@
 
 The automaton accepts the token sequences that byte-pair encoding yields. It starts as one state that every symbol loops
 on. Each merge a b -> ab, in order of rank, is a gadget: arcs labelled a are led to a copy of their state that has no arc
-b; arcs labelled ab join wherever an arc a leaves, and enter what b entered. All arcs of one label enter one state, so a
-state is known by its label, and it is kept as the arcs it lost and when: those removed from its own copies, then those that
-its right part had lost when the token was made. An arc u is missing if u is lost, or was made from a lost left part
-afterwards. Looking that up along both spines gives a transition, which is kept in a table.
-
-A word is read left to right. For each position exactly one arc ends there whose source is the state reached at its start,
-so one pass with table lookups finds the path. Decoding emits the labels of the arcs.
+b; arcs labelled ab join wherever an arc a leaves, and enter a copy of what b entered. All arcs of one label enter one
+state, so a state is known by its label. The gadgets are run once, when the tokenizer is loaded, and leave a table of all
+arcs that each state lost, with the rank at which it did (some 900,000 entries for 49,000 states); every other arc u of a
+state leads to the state u. An arc goes with the left part it is made from: u is missing if u is lost, or if its left part
+was lost when u was made.
+
+A word is read left to right, symbol by symbol: the labels that may still end are nodes of a trie, stepped by its table, and
+where one ends, the table of lost arcs says whether its state has the arc. Exactly one arc ends at each place whose source is
+the state reached at its start, so one pass finds the path, in time linear in the word. Decoding emits the labels of the arcs.
+
+A null or empty text has no ids. Texts in Latin-1 letters are split by a pattern here, all others by the library's own
+normalizer and pre-tokenizer, whose letter tables may be older or newer than ours. Repeated and null doc_ids are encoded row
+by row, other columns are ignored, an empty table yields no rows, and a word may be as long as its text.
 """
 
 from __future__ import annotations
@@ -16,93 +22,95 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
 import public_tokenizers
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
+from tokenizers import Tokenizer
 
 from . import common
 from .tokens import _L, _N, _S, PieceCache, byte_letters
 
-#: Transitions kept in the table; it starts anew when full.
-TABLE = 2_000_000
 
 
 class Automaton:
-    """Transitions of the automaton of an ordered list of merges over a vocabulary of symbols and tokens."""
+    """The automaton of an ordered list of merges over a vocabulary of symbols and tokens. A symbol is a letter, or the letter and
+    `end` that closes a word."""
 
-    def __init__(self, vocab: dict[str, int], merges: Iterable[tuple[str, str]]):
-        self.ids = vocab
+    def __init__(self, vocab: dict[str, int], merges: Iterable[tuple[str, str]], end: str = ""):
         n = max(vocab.values()) + 1
-        never = 1 << 60
-        made, left, right = [-1] * n, [-1] * n, [-1] * n
-        self._lost: dict[int, int] = {}  # state and arc -> rank of the gadget that removed the arc
-        self._n = n
-        for rank, (a, b) in enumerate(merges):
-            x, y, z = vocab[a], vocab[b], vocab[a + b]
-            self._lost[x * n + y] = rank
-            made[z], left[z], right[z] = rank, x, y
-        # spines: the parts at the inner edge of a token, each with the rank at which the part went into the next one
-        self._right_spine, self._left_spine = [()] * n, [()] * n
+        merges = [(vocab[a], vocab[b], vocab[a + b]) for a, b in merges]
+        self._states = n
+        #: by state and arc: the rank of the gadget that took the arc from the state
+        self.lost: dict[int, int] = {}
+        self._spine: list[tuple[tuple[int, int], ...]] = [((t, len(merges)),) for t in range(n)]  # the left parts of each token, and when they were used
+        of_state: list[list[tuple[int, int]]] = [[] for _ in range(n)]
         dead = set()
-        for t in sorted(range(n), key=made.__getitem__):
-            self._right_spine[t] = ((t * n, never),)
-            self._left_spine[t] = ((t, never),)
-            if made[t] >= 0:
-                if dead.intersection((left[t], right[t])) or self._removed(left[t], right[t], made[t]):
-                    dead.add(t)  # an earlier merge takes its parts apart: its gadget finds no arcs, and adds none
-                # the outermost part of the spine of a part is now limited by this token
-                inner = self._right_spine[right[t]]
-                self._right_spine[t] += ((inner[0][0], made[t]), *inner[1:])
-                inner = self._left_spine[left[t]]
-                self._left_spine[t] += ((inner[0][0], made[t]), *inner[1:])
-        self._table: dict[int, bool] = {}
-        self._starts = {t[:k]: -1 for t in vocab for k in range(1, len(t))} | {s: -1 if t in dead else t for s, t in vocab.items()}
-
-    def _removed(self, state: int, arc: int, by: int) -> bool:
-        """Whether a gadget before rank `by` left the state entered by token `state` without an arc `arc`."""
-        for p, until in self._right_spine[state]:
-            for u, before in self._left_spine[arc]:
-                rank = self._lost.get(p + u)
-                if rank is not None and rank < by and rank < until and rank <= before:  # equal: a a -> aa leaves no aa after a
-                    return True
-        return False
-
-    def allows(self, state: int, arc: int) -> bool:
-        """Whether the state entered by token `state` has an arc `arc`."""
-        key = state * self._n + arc
-        found = self._table.get(key)
-        if found is None:
-            found = not self._removed(state, arc, 1 << 60)
-            if len(self._table) >= TABLE:
-                self._table.clear()
-            self._table[key] = found
-        return found
-
-    def encode(self, word: str, end: str = "") -> tuple[int, ...]:
-        """Ids along the word's path; `end` is added to its last symbol. A word without a path has none."""
-        n, starts, allows = len(word), self._starts, self.allows
-        arc, source = [-1] * (n + 1), [0] * (n + 1)
-        for start in range(n):
-            state = arc[start]
-            if start and state < 0:
-                continue
-            for stop in range(start + 1, n):
-                u = starts.get(word[start:stop])
-                if u is None:  # no label begins so
-                    break
-                if u >= 0 and arc[stop] < 0 and (not start or allows(state, u)):
-                    arc[stop], source[stop] = u, start
-            u = starts.get(word[start:] + end, -1)
-            if u >= 0 and arc[n] < 0 and (not start or allows(state, u)):
-                arc[n], source[n] = u, start
-        path, at = [], n
-        if n and arc[n] < 0:
+        for rank, (a, b, ab) in enumerate(merges):
+            if dead.intersection((a, b)) or not self.step(a, b):
+                dead.add(ab)  # an earlier merge takes its parts apart: its gadget finds no arcs, and adds none
+            of_state[ab] = list(of_state[b])
+            for arc, when in of_state[ab]:
+                self.lost[ab * n + arc] = when
+            of_state[a].append((b, rank))
+            self.lost[a * n + b] = rank
+            self._spine[ab] += ((a, rank), *self._spine[a][1:])
+        #: by node and symbol: the next node; tokens by node, -1 for none
+        self.next: dict[int, int] = {}
+        self.token = [-1]
+        letters = sorted({c for t in vocab for c in (t.removesuffix(end) if end else t)})
+        self._symbol = {c: i for i, c in enumerate(letters)}
+        self._symbols, self._closing = 2 * len(letters), len(letters) if end else 0
+        for label, t in vocab.items():
+            if t not in dead:
+                closed = bool(end) and label.endswith(end)
+                node = 0
+                for c in self._read(label.removesuffix(end) if closed else label, closed):
+                    key = node * self._symbols + c
+                    node = self.next.setdefault(key, len(self.token))
+                    if node == len(self.token):
+                        self.token.append(-1)
+                self.token[node] = t
+
+    def _read(self, word: str, closed: bool) -> list[int]:
+        symbol = self._symbol
+        out = [symbol.get(c, -1) for c in word]
+        if closed and out and out[-1] >= 0:
+            out[-1] += self._closing
+        return out
+
+    def step(self, state: int, arc: int) -> int:
+        """The state that an arc leads to, which has its name; 0 as false if the state has no such arc, 1 if it has."""
+        base, lost = state * self._states, self.lost
+        for part, used in self._spine[arc]:
+            when = lost.get(base + part)
+            if when is not None and when <= used:  # equal: a a -> aa leaves no aa after a
+                return 0
+        return 1
+
+    def encode(self, word: str) -> tuple[int, ...]:
+        """Ids along the word's path. A word without a path has none."""
+        step, following, token, width = self.step, self.next, self.token, self._symbols
+        symbols = self._read(word, True)
+        arc, source = [-1] * (len(symbols) + 1), [0] * (len(symbols) + 1)
+        open_: list[tuple[int, int]] = []  # where labels that may still end began, and their nodes
+        for at, c in enumerate(symbols):
+            if arc[at] >= 0 or not at:
+                open_.append((at, 0))
+            still = []
+            for start, node in open_:
+                node = following.get(node * width + c, -1)
+                if node >= 0:
+                    still.append((start, node))
+                    u = token[node]
+                    if u >= 0 and arc[at + 1] < 0 and (not start or step(arc[start], u)):
+                        arc[at + 1], source[at + 1] = u, start
+            open_ = still
+        path, at = [], len(symbols)
+        if arc[at] < 0:
             return ()
         while at:
             path.append(arc[at])
@@ -114,35 +122,34 @@ class WordBpe:
     """encode(text) and decode(ids) as the tokenizers library does with a lower-casing vocabulary of word ends."""
 
     def __init__(self, path: str | None = None):
-        with open(path or public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        path = path or public_tokenizers.path("word_bpe_49k.json")
+        with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
-        self._end = model["end_of_word_suffix"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.automaton = Automaton(model["vocab"], merges)
+        self.automaton = Automaton(model["vocab"], merges, model["end_of_word_suffix"])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         labels = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()}
         self.labels = [labels.get(i, "") for i in range(max(labels) + 1)]
         self._at_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split
-        self._split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        library = Tokenizer.from_file(path)
+        self._normalize, self._split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         self._split_latin = re.compile(rf"[{_L}]+|[{_N}]|'(?:s|t|re|ve|m|ll|d)|[^{_S}{_L}{_N}]+").findall
         self._letters = byte_letters()
-        self._cache = PieceCache(self._word)
+        self._cache, self._spelled = PieceCache(self._word), PieceCache(self.automaton.encode)
 
     def _word(self, word: str) -> tuple[int, ...]:
         letters = self._letters
-        return self.automaton.encode("".join([letters[b] for b in word.encode()]), self._end)
+        return self.automaton.encode("".join([letters[b] for b in word.encode()]))
 
     def _plain(self, text: str) -> list[int]:
-        if not unicodedata.is_normalized("NFC", text):
-            text = unicodedata.normalize("NFC", text)
-        text = text.replace("Σ", "σ").lower()  # letter by letter: no final sigma
         try:
             text.encode("latin-1")
-            words = self._split_latin(text)
         except UnicodeEncodeError:
-            words = self._split(text)
-        return list(chain.from_iterable(map(self._cache.__getitem__, words)))
+            words, cache = self._split(self._normalize(text)), self._spelled
+            return list(chain.from_iterable([cache[w] for w, _ in words]))
+        cache = self._cache
+        return list(chain.from_iterable([cache[w] for w in self._split_latin(text.lower())]))
 
     def encode(self, text: str | None) -> list[int]:
         if not text:
@@ -154,6 +161,7 @@ class WordBpe:
         else:
             ids = self._plain(text)
         self._cache.trim()
+        self._spelled.trim()
         return ids
 
     def decode(self, ids: Iterable[int]) -> str:

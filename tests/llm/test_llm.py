@@ -395,6 +395,42 @@ def test_search_of_few_vectors_finds_all(spark, n):
     assert got == [t[:3] for t in brute_nearest([(r["vec_id"], r["embedding"]) for r in df.collect()], [50], 5)]
 
 
+def found(spark, rows, ask, **how):
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string, rank string")
+    return sorted(tuple(r)[:4] for r in hilbert_ann.search(df, df.where(F.col("vec_id").isin(*ask)).select("vec_id"), **how).collect())
+
+
+def test_search_leaves_no_finite_vector_out(spark):
+    rng = np.random.default_rng(6)
+    plain = [(i, rng.normal(size=8).tolist()) for i in range(100, 170)]
+    rows = plain + [(50, [1e200] * 8), (51, [1e-200] * 8), (52, [5e-324] + [0.0] * 7), (53, [2.0, -1e308] + [0.0] * 6), (99, rng.normal(size=9).tolist())]
+    got = found(spark, [(i, v, None, None) for i, v in rows], [50, 51, 52, 99, 100])
+    assert Counter(q for q, *_ in got) == {50: 5, 51: 5, 52: 5, 100: 5}  # the only one of its length has no others
+    assert (50, 1, 51, 1.0) in got and (51, 1, 50, 1.0) in got
+    assert found(spark, [(i, v, None, None) for i, v in [*rows, (98, [1.0] * 9)]], [99])[0][:3] == (99, 1, 98)
+
+
+def test_multiples_of_a_vector_are_ties(spark):
+    rng = np.random.default_rng(7)
+    base = rng.integers(-9, 9, 8).astype(float)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(100, 200)] + [(i, (m * base).tolist()) for i, m in ((7, 3.0), (3, 5.0), (9, 1.0), (4, 0.5), (8, 7.0), (50, 11.0), (6, 2.0))]
+    got = found(spark, [(i, v, None, None) for i, v in rows], [50])
+    assert [r[:3] for r in got] == [(50, 1, 3), (50, 2, 4), (50, 3, 6), (50, 4, 7), (50, 5, 8)] and {r[3] for r in got} == {1.0}
+
+
+def test_each_vector_of_a_query_id_is_a_query(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(100, 200)]
+    one, two = rng.normal(size=6).tolist(), rng.normal(size=6).tolist()
+    df = spark.createDataFrame([*rows, (50, one), (50, two), (50, two), (50, two)], "vec_id long, embedding array<double>")
+    got = hilbert_ann.search(df, df.where("vec_id = 50").select("vec_id"), ranges=1).collect()
+    lists = {}
+    for r in sorted(got, key=lambda r: r["rank"]):
+        lists.setdefault(r["query_row"], []).append(r["vec_id"])
+    truth = [[t[2] for t in brute_nearest([*rows, (50, v)], [50], 5)] for v in (one, two)]
+    assert sorted(lists.values()) == sorted(truth)
+
+
 def test_hilbert_curve_steps_to_neighbours():
     side = np.arange(8)
     cells = np.stack(np.meshgrid(side, side, side), axis=-1).reshape(-1, 3)
@@ -451,6 +487,39 @@ def test_automaton_of_odd_texts(odd):
     assert bpe_automaton.token_ids(odd).count() == len(ODD)
 
 
+def test_automaton_equals_the_library_on_every_code_point():
+    tokenizer, bpe = library("word_bpe_49k.json"), bpe_automaton.word_bpe()
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{c}{c}1{c}b " for c in points[i : i + 64]) for i in range(0, len(points), 64)]
+    for text, e in zip(texts, tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+        assert bpe.encode(text) == e.ids
+
+
+def test_automaton_of_random_and_long_words():
+    tokenizer, bpe = library("word_bpe_49k.json"), bpe_automaton.word_bpe()
+    rng = np.random.default_rng(9)
+    letters = np.array(list("abcdefghijklmnoprstuvwz éß'19., "))
+    for text in ["".join(rng.choice(letters, n)) for n in rng.integers(1, 200, 400)] + ["".join(rng.choice(letters[:20], 60_000)), "ab" * 40_000, "a" * 60_001]:
+        assert bpe.encode(text) == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_automaton_table_is_compiled_by_gadgets():
+    auto = bpe_automaton.Automaton({"a": 0, "b": 1, "c": 2, "ab": 3, "bc": 4}, [("a", "b"), ("b", "c")])
+    assert {divmod(k, 5): v for k, v in auto.lost.items()} == {(0, 1): 0, (1, 2): 1}
+    assert [[u for u in range(5) if auto.step(s, u)] for s in range(5)] == [[0, 2, 3], [0, 1, 3, 4], [0, 1, 2, 3, 4], [0, 1, 2, 3, 4], [0, 1, 2, 3, 4]]
+
+
+def test_automaton_digests_of_odd_and_no_rows(odd, empty):
+    tokenizer = library("word_bpe_49k.json")
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    truth = []
+    for i, t in ODD:
+        ids = tokenizer.encode(t or "", add_special_tokens=False).ids
+        truth.append((i, len(ids), sha(" ".join(map(str, ids))), sha(tokenizer.decode(ids, skip_special_tokens=False))))
+    assert Counter(map(tuple, bpe_automaton.digests(odd).collect())) == Counter(truth)
+    assert bpe_automaton.digests(empty).count() == 0
+
+
 def test_small_automaton_against_merging():
     merges = [("a", "a"), ("a", "b"), ("aa", "b"), ("b", "a"), ("aa", "aa"), ("ab", "ab"), ("ba", "b")]
     vocab = {s: i for i, s in enumerate(dict.fromkeys(["a", "b"] + [x + y for x, y in merges]))}
