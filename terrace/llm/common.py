@@ -10,32 +10,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from terrace.shared import checkpoint_dir
+
 #: Documents handled at once inside a task; bounds a task's memory whatever the Arrow batch size.
 SLICE_ROWS = 256
+#: Kinds of label that are learned from at most, the most frequent ones.
+STRATA = 32
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own in local mode."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if named:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(named)
-        return named.rstrip("/")
-    if not sc.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    sc.setCheckpointDir("file:///tmp/checkpoints/terrace")
-    return sc.getCheckpointDir().rstrip("/")
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table written in the shared folder and read again: a cut in the lineage that survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/terrace/{name}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark)}/terrace/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -54,27 +44,31 @@ def fold(doc_id: Column, folds: int) -> Column:
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % folds).cast("int")
 
 
-def sampled(df: DataFrame, key: str, stratum: str, most: int) -> DataFrame:
-    """At most `most` rows of each stratum, chosen by a hash of the key.
+def sampled(df: DataFrame, key: str, stratum: str, most: int, strata: int = STRATA) -> DataFrame:
+    """At most `most` rows of each of the `strata` most frequent strata, chosen by a hash of the key.
 
     Two passes over two narrow columns: the strata are counted, then thinned by hash to about twice `most`, and only
-    what is left is ranked, so that no stratum meets whole in one task. The strata must be few.
+    what is left is ranked, so that no stratum meets whole in one task. Nothing is collected.
     """
-    counts = {r[0]: r[1] for r in df.groupBy(stratum).count().collect()}
-    share = F.lit(0.0)
-    for value, n in counts.items():
-        share = F.when(F.col(stratum).eqNullSafe(F.lit(value)), min(1.0, (2 * most + 50) / max(n, 1))).otherwise(share)
+    counts = df.groupBy(F.col(stratum).alias("_stratum")).count().orderBy(F.desc("count"), "_stratum").limit(strata)
+    shares = counts.select("_stratum", (F.lit(2.0 * most + 50) / F.col("count")).alias("_share"))
     at = F.abs(F.xxhash64(F.col(key).cast("string")) % 1_000_003) / 1_000_003.0
-    thin = df.where(at <= share)
+    thin = df.join(F.broadcast(shares), F.col(stratum).eqNullSafe(F.col("_stratum"))).where(at <= F.col("_share")).drop("_stratum", "_share")
     rank = F.row_number().over(Window.partitionBy(stratum).orderBy(F.xxhash64(F.col(key).cast("string")), key))
     return thin.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank")
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, folds: int = 5) -> DataFrame:
     """doc_id, text, label of at most `most` training rows for each label value; rows of fold 0 never get in."""
-    ok = labels.where((fold(F.col("doc_id"), folds) != 0) & F.col(label).isin(0, 1)).select("doc_id", F.col(label).alias("label")).distinct()
-    few = sampled(ok, "doc_id", "label", most)
-    return plain(docs).join(F.broadcast(few), "doc_id")
+    ok = labels.where((fold(F.col("doc_id"), folds) != 0) & F.col(label).isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).distinct()
+    return texts_of(docs, sampled(ok, "doc_id", "label", most))
+
+
+def texts_of(docs: DataFrame, few: DataFrame) -> DataFrame:
+    """The rows of few (a bounded number, with a doc_id) with one text each, that of least hash where a doc_id is repeated."""
+    others = [c for c in few.columns if c != "doc_id"]
+    found = plain(docs).join(F.broadcast(few), "doc_id").groupBy("doc_id", *others).agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("_one"))
+    return found.select("doc_id", F.col("_one.text").alias("text"), *others)
 
 
 def plain(docs: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ the geometric mean of their own counts. Landmarks are drawn from a bounded sampl
 kernel to them feeds one-versus-rest kernel ridge regression, fitted on the driver. A task turns its texts into 0/1 rows over
 the n-gram buckets and scores them by two matrix products: with the landmarks' rows, then with the coefficients.
 
-Whole texts are read, lower-cased. A null text, or one without a letter, is `und` with score 0; so is every text if no row
+At most the 32 most frequent languages are learned. Whole texts are read, lower-cased. A null text, or one without a letter, is `und` with score 0; so is every text if no row
 can be learned from. Repeated or null doc_ids are labelled row by row.
 """
 
@@ -58,7 +58,7 @@ class KernelModel:
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         if self._rows is None:
-            self._rows = np.unpackbits(self._packed, axis=1).astype(np.float32)
+            self._rows = unpacked(self._packed)
         return kernel(x, self._rows) @ self.coefficients
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
@@ -68,16 +68,20 @@ class KernelModel:
         return [self.languages[i] for i in p.argmax(axis=1)], p.max(axis=1)
 
 
-def fit_rows(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: float = 1e-2) -> KernelModel:
+def unpacked(packed: np.ndarray) -> np.ndarray:
+    return np.unpackbits(packed, axis=1).astype(np.float32)
+
+
+def fit_rows(packed: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, ridge: float = 1e-2) -> KernelModel:
+    """packed: the n-gram row of each text, eight buckets a byte. The first rows of each language are its landmarks."""
     names = sorted(set(langs))
-    x = np.concatenate([presence(texts[i : i + 64]) for i in range(0, len(texts), 64)])
     y = np.array([names.index(v) for v in langs])
     picked = np.concatenate([np.flatnonzero(y == k)[:landmarks] for k in range(len(names))])
-    mark = x[picked]
+    mark = unpacked(packed[picked])
     value, vector = np.linalg.eigh(kernel(mark, mark).astype(np.float64))
     good = value > 1e-6 * value.max()
     whiten = vector[:, good] / np.sqrt(value[good])  # K_mm to the power -1/2
-    z = kernel(x, mark) @ whiten
+    z = np.concatenate([kernel(unpacked(packed[i : i + 256]), mark) for i in range(0, len(packed), 256)]) @ whiten
     target = np.where(y[:, None] == np.arange(len(names)), 1.0, -1.0)
     weight = (len(y) / len(names) / np.bincount(y, minlength=len(names)))[y][:, None]  # every language weighs the same
     beta = np.linalg.solve(z.T @ (weight * z) + ridge * len(y) * np.eye(z.shape[1]) / 100, z.T @ (weight * target))
@@ -87,10 +91,27 @@ def fit_rows(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, rid
 def fit(docs: DataFrame, most: int = SAMPLE) -> KernelModel | None:
     """Learns from at most `most` rows of each language outside fold 1 of 3."""
     ok = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (common.fold(F.col("doc_id"), 3) != 1) & (F.trim("lang") != ""))
+    ok = ok.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     few = common.sampled(ok.select("doc_id", "lang").distinct(), "doc_id", "lang", most)
-    rows = docs.select("doc_id", "text", "lang").join(F.broadcast(few), ["doc_id", "lang"]).where("text is not null").collect()
-    rows = sorted(r for r in rows if any(map(str.isalpha, r["text"])))
-    return fit_rows([r["text"] for r in rows], [r["lang"] for r in rows]) if rows else None
+    one = ok.join(F.broadcast(few), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one"))
+    rows = grams(one.select("one.h", "one.text", "lang")).collect()
+    rows.sort(key=lambda r: (r["h"], r["lang"], r["packed"]))  # by hash, so that landmarks are drawn at random
+    if not rows:
+        return None
+    return fit_rows(np.stack([np.frombuffer(r["packed"], np.uint8) for r in rows]), [r["lang"] for r in rows])
+
+
+def grams(rows: DataFrame) -> DataFrame:
+    """h, lang and the packed n-gram row of each text with a letter; texts stay in their tasks."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = pa.schema([("h", pa.int64()), ("lang", pa.string()), ("packed", pa.binary())])
+        for batch in common.slices(batches, 128):
+            some = batch.filter(pa.array([any(map(str.isalpha, t)) for t in batch.column("text").to_pylist()], pa.bool_()))
+            packed = np.packbits(presence(some.column("text").to_pylist()).astype(np.uint8), axis=1)
+            yield common.record(out, [some.column("h"), some.column("lang"), [x.tobytes() for x in packed]])
+
+    return rows.mapInArrow(pack, "h long, lang string, packed binary")
 
 
 def predicted(docs: DataFrame, model: KernelModel | None) -> DataFrame:
