@@ -1,14 +1,18 @@
 """Toxicity by weak supervision.
 
 Voters look at a whole text and vote toxic (1), clean (-1) or nothing (0): lexicons of insults by theme, patterns for
-threats and for disguised spelling, lexicons mined from the labelled rows, and voters for clean texts. A generative model
-(a hidden class, each voter right with its own accuracy and voting at its own rate in each class) is fitted by expectation
-maximisation to the votes of a bounded sample, with the labelled rows held at their labels; correlations that voters keep
-within the classes divide their weight. Its posterior labels train a linear classifier on votes and on words, which scores all
-documents, task by task and without a shuffle.
-
-A null or empty text gets the score of a text without votes or words. Repeated or null doc_ids are scored row by row.
-Without labelled rows the lexicons' starting accuracies stand.
+threats and for disguised spelling, lexicons mined from the labelled rows, and voters for clean texts. Mined lexicons vote by
+cross-fitting: on a labelled row vote those that were mined from the other folds, so that their accuracies are honest.
+
+A generative model of a hidden class and the votes is fitted by expectation maximisation to the votes of a bounded sample.
+Voters correlate: within the class each vote hangs on one other voter's, along the maximum spanning tree of the conditional
+mutual information. Labels serve to estimate the voters' accuracies and correlations, and nothing else: the linear classifier
+on votes and words is trained on the model's posterior, for labelled and unlabelled rows alike. It scores all documents, task
+by task and without a shuffle.
+
+Votes and at most SENT words of a sampled text go to the driver, not texts. A null or empty text gets the score of a text
+without votes or words. Repeated or null doc_ids are scored row by row; other columns are ignored; an empty table yields no
+rows. Without labelled rows the lexicons' starting accuracies stand.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ from . import common
 SAMPLE, UNLABELLED = 2500, 2500
 #: Words of the linear classifier at most, each of five standard deviations from chance.
 WORDS = 500
+#: Distinct words of a sampled text that are learned from at most, those of least hash, and folds of the mined lexicons.
+SENT, FOLDS = 400, 3
 
 #: Common insults by theme.
 LEXICONS = {
@@ -51,8 +57,19 @@ PATTERNS = {
 DISGUISE = str.maketrans("013457@$!", "oieastasi")
 _WORD = re.compile(r"[^\W_]+(?:[-'][^\W_]+)*")
 _TOKEN = re.compile(r"[\w@$!*]+")
+_MIXED = re.compile(r"[^\W\d_][\d@$!_]|[\d@$!_][^\W\d_]")
 _RUN = re.compile(r"(.)\1{2,}")
+_THRICE = tuple(3 * c for c in "abcdefghijklmnopqrstuvwxyz")
+_LETTERS = frozenset("abcdefghijklmnopqrstuvwxyz")
+_MARKS = tuple("0123456789@$!_")
+_HYPHENS = re.compile(r"\b\w-\w-")
 _SPACED = re.compile(r"\b(?:\w[ .\-_*]){3,}\w\b")
+#: Words without which a pattern cannot match.
+NEEDED = {
+    "threat": frozenset("kill hurt beat destroy hang burn shut drop go get".split()),
+    "address": frozenset("you you're".split()),
+    "hatred": frozenset("hate despise loathe".split()),
+}
 
 
 class Voters:
@@ -61,67 +78,110 @@ class Voters:
     def __init__(self, mined: tuple[tuple[str, ...], ...] = ()):
         self.lexicons = [frozenset(v.split()) for v in LEXICONS.values()]
         self.all = frozenset().union(*self.lexicons)
-        self.patterns = [re.compile(p) for p in PATTERNS.values()]
-        any_of = lambda x: "|".join(re.escape(e.rstrip("*")) + ("" if e.endswith("*") else r"(?![^\W_])") for e in x) or "(?!)"
-        self.mined = [re.compile(rf"(?<![^\W_])(?:{any_of(x)})") for x in mined]
+        self.patterns = [(NEEDED[name], re.compile(p)) for name, p in PATTERNS.items()]
+        self.mined = mined
         self.names = [*LEXICONS, *PATTERNS, "disguised", "stretched", "spaced", "dense", *(f"mined_{i}" for i in range(len(mined))), "no_insult", "no_mined"]
+        self._words = frozenset(e for x in mined for e in x if not e.endswith("*"))
+        self._heads = frozenset(e[:4] for x in mined for e in x if e.endswith("*"))
 
-    def of(self, text: str) -> tuple[list[int], set[str]]:
+    def base(self, text: str) -> tuple[list[int], set[str]]:
+        """The votes that look at the text, and its words."""
         low = text.lower()
         words = _WORD.findall(low)
         held = set(words)
-        votes = [int(not held.isdisjoint(x)) for x in self.lexicons] + [int(bool(p.search(low))) for p in self.patterns]
-        odd = [t for t in set(_TOKEN.findall(low)) - held if not t.isalpha() and any(c.isalpha() for c in t)]
-        plain = {t.translate(DISGUISE).strip("i") for t in odd} | {t.translate(DISGUISE) for t in odd}
-        votes.append(int(not self.all.isdisjoint(plain)))
-        votes.append(int(bool(_RUN.search(low)) and any(_RUN.sub(r"\1", w) in self.all for w in held if _RUN.search(w))))
-        votes.append(int(any(re.sub(r"[ .\-_*]", "", m) in self.all for m in _SPACED.findall(low))))
-        hits = sum(1 for w in words if w in self.all) if any(votes) else 0
-        votes.append(int(hits >= 2))
-        mined = [int(bool(p.search(low))) for p in self.mined]
-        votes += mined
-        votes.append(-int(not any(votes[: len(votes) - len(mined)])))
-        votes.append(-int(bool(self.mined) and not any(mined)))
+        insults = held & self.all
+        votes = [int(not x.isdisjoint(insults)) for x in self.lexicons]
+        votes += [int(not held.isdisjoint(needed) and bool(p.search(low))) for needed, p in self.patterns]
+        disguised = stretched = spaced = False
+        if any(c in low for c in _MARKS) and _MIXED.search(low):
+            odd = {t for t in {*_TOKEN.findall(low)} | held if not t.isalpha() and any(map(str.isalpha, t))} - self.all
+            disguised = any(t.translate(DISGUISE) in self.all or t.translate(DISGUISE).strip("i") in self.all for t in odd)
+        if any(c in low for c in _THRICE):
+            stretched = any(_RUN.sub(r"\1", w) in self.all for w in held if _RUN.search(w))
+        if len(held & _LETTERS) > 1 or low.count("-") > 2 and _HYPHENS.search(low):
+            spaced = any(re.sub(r"[ .\-_*]", "", m) in self.all for m in _SPACED.findall(low))
+        votes += [int(disguised), int(stretched), int(spaced)]
+        votes.append(int(len(insults) > 0 and sum(1 for w in words if w in insults) >= 2))
         return votes, held
 
+    def whole(self, base: list[int], held: set[str]) -> list[int]:
+        """All votes, from those of base() and the words."""
+        entries = held & self._words
+        heads = {w[:4] for w in held} & self._heads if self._heads else ()
+        if heads:
+            entries |= {e for w in held if w[:4] in heads for e in _entries({w})}
+        mined = [int(not entries.isdisjoint(x)) for x in self.mined]
+        return [*base, *mined, -int(not any(base)), -int(bool(self.mined) and not any(mined))]
+
+    def of(self, text: str) -> tuple[list[int], set[str]]:
+        base, held = self.base(text)
+        return self.whole(base, held), held
+
+
+#: What is supposed of a voter before any vote is seen, as so many rows of each class: the chances of clean, nothing and toxic.
+SUPPOSED, SUPPOSED_ROWS = np.array([[0.3, 0.68, 0.02], [0.05, 0.65, 0.3]]), 3
+
 
 class LabelModel:
-    """Class prior, and for each voter the chance of each vote in each class; correlated voters share their weight."""
+    """Class prior, and for each voter the chance of each vote in each class, given one other voter's vote if they correlate."""
 
-    def fit(self, votes: np.ndarray, known: np.ndarray, turns: int = 30) -> LabelModel:
-        """known: 1 or 0 where the class is given, -1 elsewhere."""
-        n, m = votes.shape
+    def fit(self, votes: np.ndarray, known: np.ndarray, turns: int = 30, least: float = 0.01, parent: list[int] | None = None) -> LabelModel:
+        """known: 1 or 0 where the class is given, -1 elsewhere; least: information (in nats) that ties two voters; parent: of each
+        voter, -1 for none, if not to be found."""
+        pattern, times = np.unique(np.column_stack([votes, known]), axis=0, return_counts=True)  # equal rows once
+        votes, known, n, m = pattern[:, :-1], pattern[:, -1], len(pattern), votes.shape[1]
         q = np.where(known >= 0, known, np.clip(0.5 + 0.45 * np.sign(votes.sum(axis=1)), 0.05, 0.95)).astype(float)
-        one_hot = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float)
-        self.weight = np.ones(m)
+        held = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float).reshape(n, 3 * m)
         for turn in range(turns):
-            self.prior = np.clip(q.mean(), 0.01, 0.99)
-            self.chance = np.stack([(np.einsum("n,nmv->mv", r, one_hot) + 0.5) / (r.sum() + 1.5) for r in (1 - q, q)])
-            if turn % 10 == 5:
-                self.weight = 1 / (1 + self._correlation(votes, q))
-            found = self.posterior(votes)
-            q = np.where(known >= 0, known, found)
+            self.prior = float(np.clip(np.average(q, weights=times), 0.01, 0.99))
+            both = np.stack([(held * w[:, None]).T @ held for w in (times * (1 - q), times * q)]).reshape(2, m, 3, m, 3)
+            if turn in (0, 10):
+                self.parent = parent or _tree(both, least)
+            self._count(both)
+            q = np.where(known >= 0, known, self.posterior(votes))
         self.accuracy = self.prior * self.chance[1, :, 2] + (1 - self.prior) * self.chance[0, :, 0]
         return self
 
-    def _correlation(self, votes: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """What a voter shares with the others within the classes: the sum of its squared correlations."""
-        total = np.zeros((votes.shape[1],) * 2)
-        for r in (1 - q, q):
-            mean = (r[:, None] * votes).sum(0) / max(r.sum(), 1e-9)  # a class may have no row
-            d = votes - mean
-            cov = (r[:, None] * d).T @ d
-            sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-            total += r.mean() * (cov / np.outer(sd, sd)) ** 2
-        np.fill_diagonal(total, 0)
-        self.correlations = total
-        return total.sum(axis=1)
+    def _count(self, both: np.ndarray) -> None:
+        m = both.shape[1]
+        single = np.stack([[np.diag(both[y, j, :, j]) for j in range(m)] for y in (0, 1)])
+        self.chance = (single + SUPPOSED_ROWS * SUPPOSED[:, None, :]) / (single.sum(axis=2, keepdims=True) + SUPPOSED_ROWS)
+        #: by class, voter, the parent's vote and the vote; few counts fall back on the chance without the parent
+        self.table = np.repeat(self.chance[:, :, None, :], 3, axis=2)
+        for j, p in enumerate(self.parent):
+            if p >= 0:
+                pair = both[:, p, :, j, :]
+                self.table[:, j] = (pair + 2 * self.chance[:, j, None, :]) / (pair.sum(axis=2, keepdims=True) + 2)
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        v = votes + 1
-        m = np.arange(votes.shape[1])
-        odds = np.log(self.chance[1][m, v]) - np.log(self.chance[0][m, v])
-        return 1 / (1 + np.exp(-np.clip(np.log(self.prior / (1 - self.prior)) + odds @ self.weight, -30, 30)))
+        v, m = votes + 1, np.arange(votes.shape[1])
+        parent = np.array(self.parent)
+        given = np.where(parent >= 0, v[:, np.maximum(parent, 0)], 0)
+        odds = np.log(self.table[1][m, given, v]) - np.log(self.table[0][m, given, v])
+        return 1 / (1 + np.exp(-np.clip(np.log(self.prior / (1 - self.prior)) + odds.sum(axis=1), -30, 30)))
+
+
+def _tree(both: np.ndarray, least: float) -> list[int]:
+    """The parent of each voter in the maximum spanning tree of what two votes tell of each other within the classes."""
+    m = both.shape[1]
+    told = np.zeros((m, m))
+    n = max(both[:, 0, :, 0].sum(), 1e-9)
+    for pair in both:
+        size = max(pair[0, :, 0].sum(), 1e-9)
+        joint = pair.transpose(0, 2, 1, 3) / size  # voter, voter, vote, vote
+        alone = np.stack([np.diag(pair[j, :, j]) for j in range(m)]) / size
+        expected = alone[:, None, :, None] * alone[None, :, None, :]
+        told += size / n * np.where(joint > 0, joint * np.log(np.maximum(joint, 1e-300) / np.maximum(expected, 1e-300)), 0).sum(axis=(2, 3))
+    parent, near, by = [-1] * m, np.full(m, -1.0), np.zeros(m, int)
+    left = set(range(m))
+    while left:
+        j = max(left, key=lambda i: (near[i], -i))
+        left.remove(j)
+        if near[j] >= least:
+            parent[j] = int(by[j])
+        closer = told[j] > near
+        near[closer], by[closer] = told[j][closer], j
+    return parent
 
 
 class LinearModel:
@@ -164,8 +224,8 @@ class LinearModel:
         return self._sigmoid(np.array([self.weights[r].sum() for r in rows]) + self.bias)
 
 
-def mine(held: list[set[str]], y: np.ndarray, share: float = 0.02) -> tuple[tuple[str, ...], ...]:
-    """Words and beginnings of words (`stem*`) that mark toxic training rows, in six lexicons.
+def mine(entries: list[set[str]], y: np.ndarray, share: float = 0.02) -> tuple[tuple[str, ...], ...]:
+    """Words and beginnings of words (`stem*`) that mark toxic training rows, in six lexicons. entries: those of each row.
 
     Of those 19 times as frequent in toxic rows as in clean ones, the one in most toxic rows is taken, its rows are set aside,
     and so on, until none is in `share` of the toxic rows (and in 4) among those left: what only comes along stays out. These
@@ -174,12 +234,10 @@ def mine(held: list[set[str]], y: np.ndarray, share: float = 0.02) -> tuple[tupl
     """
     n1, n0 = max(1, y.sum()), max(1, (1 - y).sum())
     least = max(4, share * n1)
-    toxic = [_entries(h) for h, v in zip(held, y, strict=True) if v]
-    bad = Counter(e for h in toxic for e in h)
-    able = {e for e, c in bad.items() if c >= least}
-    good = Counter(e for h, v in zip(held, y, strict=True) if not v for e in _entries(h) & able)
-    able = {e for e in able if bad[e] / n1 >= 19 * good[e] / n0}
-    rest = [h & able for h in toxic]
+    bad = Counter(e for h, v in zip(entries, y, strict=True) if v for e in h)
+    good = Counter(e for h, v in zip(entries, y, strict=True) if not v for e in h)
+    able = {e for e, c in bad.items() if c >= least and c / n1 >= 19 * good[e] / n0}
+    rest = [h & able for h, v in zip(entries, y, strict=True) if v]
     found: list[str] = []
     while rest:
         counts = Counter(e for h in rest for e in h)
@@ -188,9 +246,7 @@ def mine(held: list[set[str]], y: np.ndarray, share: float = 0.02) -> tuple[tupl
             break
         found.append(entry)
         rest = [h for h in rest if entry not in h]
-    some = Counter(w for h, v in zip(held, y, strict=True) if v for w in h)
-    some = {w: c for w, c in some.items() if c >= 4 and w not in found}
-    good = Counter(w for h, v in zip(held, y, strict=True) if not v for w in h if w in some)
+    some = {w: c for w, c in bad.items() if c >= 4 and w not in found and not w.endswith("*")}
     wide = sorted(w for w, c in some.items() if c / n1 >= 19 * good[w] / n0 and _surprise(c, good[w], n1 / (n1 + n0)) >= 14)
     return (*(tuple(found[i::4]) for i in range(4)), *(tuple(wide[i::2]) for i in range(2)))
 
@@ -216,37 +272,62 @@ def _entries(words: set[str]) -> set[str]:
 def train(texts: list[str], known: np.ndarray) -> LinearModel:
     """known: 1 or 0 for labelled texts, -1 for the others."""
     base = Voters()
-    held = [base.of(t)[1] for t in texts]
-    some = _first_copies(held)
-    texts, known, held = [texts[i] for i in some], known[some], [held[i] for i in some]
+    return train_votes([base.base(t) for t in texts], known)
+
+
+def train_votes(found: list[tuple[list[int], set[str]]], known: np.ndarray) -> LinearModel:
+    """found: Voters().base() of each text."""
+    some = _first_copies([h for _, h in found])
+    base, held, known = [found[i][0] for i in some], [found[i][1] for i in some], known[some]
     lab = np.flatnonzero(known >= 0)
-    mined = mine([held[i] for i in lab], known[lab]) if len(lab) else ()
-    voters = Voters(mined)
-    votes = np.array([voters.of(t)[0] for t in texts]).reshape(len(texts), len(voters.names))
-    labels = LabelModel().fit(votes, known)
-    q = np.where(known >= 0, 0.9 * known + 0.1 * labels.posterior(votes), labels.posterior(votes))
+    often = Counter(e for i in np.flatnonzero(known == 1) for e in _entries(held[i]))
+    often = {e for e, c in often.items() if c >= 4}
+    entries = {i: _entries(held[i]) & often for i in lab.tolist()}
+    mined = lambda rows: mine([entries[i] for i in rows.tolist()], known[rows]) if len(rows) else ((),) * 6
+    voters = Voters(mined(lab))
+    votes = np.array([voters.whole(b, h) for b, h in zip(base, held, strict=True)], np.int64).reshape(len(base), len(voters.names))
+    honest = votes.copy()
+    for k in range(FOLDS):
+        others = Voters(mined(lab[np.arange(len(lab)) % FOLDS != k]))
+        for i in lab[np.arange(len(lab)) % FOLDS == k]:
+            honest[i] = others.whole(base[i], held[i])
+    q = LabelModel().fit(honest, known).posterior(honest)
     seen = Counter(w for h in held for w in h)
     bad = Counter()
     for h, p in zip(held, q, strict=True):
         for w in h:
             bad[w] += p
     rate = q.mean()
-    spread = {w: (bad[w] - rate * c) / np.sqrt(c * rate * (1 - rate) + 1e-9) for w, c in seen.items() if c >= max(5, 0.002 * len(texts))}
+    spread = {w: (bad[w] - rate * c) / np.sqrt(c * rate * (1 - rate) + 1e-9) for w, c in seen.items() if c >= max(5, 0.002 * len(held))}
     telling = sorted((w for w, z in spread.items() if abs(z) >= 5), key=lambda w: (-abs(spread[w]), w))
     model = LinearModel(voters, {w: i for i, w in enumerate(telling[:WORDS])})
-    return model.fit(votes, held, q)
+    return model.fit(honest, held, q)
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, unlabelled: int = UNLABELLED) -> LinearModel:
     known = common.labelled(docs, labels, "toxic", most)
-    rest = docs.where(common.fold(F.col("doc_id"), 5) != 0).select("doc_id").distinct()
+    rest = docs.where(common.fold(F.col("doc_id"), 5) != 0).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     rest = rest.orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)), "doc_id").limit(unlabelled).withColumn("label", F.lit(-1))
-    other = common.plain(docs).join(F.broadcast(rest), "doc_id")
-    rows = known.union(other.join(F.broadcast(known.select("doc_id")), "doc_id", "left_anti")).where("text is not null").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["label"], r["text"]))
-    if not rows:
+    rows = known.union(common.texts_of(docs, rest)).where("text is not null")
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        voters = Voters()
+        out = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("votes", pa.list_(pa.int32())), ("words", pa.list_(pa.string()))])
+        for batch in common.slices(batches):
+            votes, words = [], []
+            for text in batch.column("text").to_pylist():
+                base, held = voters.base(text)
+                votes.append(base)
+                words.append(sorted((w for w in held if len(w) < 50), key=lambda w: zlib.crc32(w.encode()))[:SENT])
+            yield common.record(out, [batch.column("doc_id"), batch.column("label").cast(pa.int32()), votes, words])
+
+    found = rows.mapInArrow(seen, "doc_id long, label int, votes array<int>, words array<string>").collect()
+    found.sort(key=lambda r: (r["doc_id"], -r["label"]))
+    first = {r["doc_id"]: r for r in reversed(found)}  # a labelled row over the same one unlabelled
+    found = [first[i] for i in sorted(first)]
+    if not found:
         return train(["", *(" ".join(sorted(x)) for x in Voters().lexicons)], np.array([0] + [1] * len(LEXICONS)))
-    return train([r["text"] for r in rows], np.array([r["label"] for r in rows]))
+    return train_votes([(r["votes"], set(r["words"])) for r in found], np.array([r["label"] for r in found]))
 
 
 def scored(docs: DataFrame, model: LinearModel) -> DataFrame:
