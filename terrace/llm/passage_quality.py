@@ -1,9 +1,10 @@
 """Quality classifier: attention-based multiple-instance learning over passages.
 
-A document is a bag of passages of 64 words. Every passage is encoded by a dense layer from its character and word
-statistics, a gated attention layer weighs the passages, and the weighted mean of their codes is scored. All layers are
-learned together from document labels alone, by Adam on a bounded sample of labelled rows; each task then scores its own
-documents, so there is no shuffle.
+A document is a bag of passages of 64 words. Every passage is encoded by a dense layer from what it says and how it is
+written: the embeddings of its words and word pairs, by hash, and its character and word statistics. A gated attention layer
+weighs the passages, and the weighted mean of their codes is scored. All layers, embeddings included, are learned together
+from document labels alone, by Adam on a bounded sample of labelled rows; of a longer document PASSAGES evenly spaced
+passages are learned from. Each task then scores its own documents, every passage of them, so there is no shuffle.
 
 A null or empty text is a bag of one passage of zeros. Repeated or null doc_ids are scored row by row. Without labelled rows
 of both kinds every score is the share of good rows in the sample, or 0.5.
@@ -22,26 +23,64 @@ from . import common, textstats
 
 #: Labelled rows of each kind that the model is fitted on.
 SAMPLE = 2500
+#: Passages of a document that the model is fitted on at most, and hashed words and word pairs that have embeddings.
+PASSAGES, BUCKETS = 16, 1024
+#: Passages that a task encodes at a time.
+BLOCK = 2048
 #: A score from here on predicts label 1; the scores are shifted so that the sample is split best here.
 CUT = 0.3
 
 
+def contents(row: np.ndarray, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(passage, bucket) of each word and of each pair of neighbours in a passage, passages in order."""
+    top = np.uint64(65 - BUCKETS.bit_length())
+    one = words * np.uint64(0x9E3779B97F4A7C15) >> top
+    two = (words[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + words[1:]) * np.uint64(0x9E3779B97F4A7C15) >> top
+    rows, buckets = np.concatenate([row, row[1:][~first[1:]]]), np.concatenate([one, two[~first[1:]]]).astype(np.int64)
+    order = np.argsort(rows, kind="stable")
+    return rows[order], buckets[order]
+
+
+def inputs(table: np.ndarray, row: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    """The statistics of each passage, then the square root of each bucket's share of its words and pairs."""
+    n = len(table)
+    held = np.bincount(row * BUCKETS + bucket, minlength=n * BUCKETS).reshape(n, BUCKETS).astype(np.float32)
+    held /= np.maximum(1, held.sum(axis=1, keepdims=True))
+    return np.concatenate([table.astype(np.float32), np.sqrt(held, out=held)], axis=1)
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
 class BagModel:
-    """Encoder h = tanh(xW + b); attention a ~ exp((tanh(hV) * sigmoid(hU))w); score sigmoid(c . sum(a h) + d)."""
+    """Encoder h = tanh(xW + b); attention a ~ exp((tanh(hV) * sigmoid(hU))w); score sigmoid(c . sum(a h) + d).
+
+    The first `features` inputs are statistics; a row of W for each of the `embedded` others is the embedding of a bucket.
+    """
 
-    def __init__(self, features: int, width: int = 24, gate: int = 12, seed: int = 5):
+    def __init__(self, features: int, width: int = 24, gate: int = 12, seed: int = 5, embedded: int = 0):
         rng = np.random.default_rng(seed)
         init = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape)
+        self.features = features
         self.p = {"W": init(features, width), "b": np.zeros(width), "V": init(width, gate), "U": init(width, gate), "w": init(gate), "c": init(width), "d": np.zeros(1)}
+        if embedded:
+            self.p["W"] = np.concatenate([self.p["W"], rng.normal(0, 0.1, (embedded, width))])
         self.mean, self.scale, self.shift = np.zeros(features), np.ones(features), 0.0
 
+    def _scale(self, x: np.ndarray) -> np.ndarray:
+        """x itself, with its statistics scaled."""
+        x[:, : self.features] = np.clip((x[:, : self.features] - self.mean) / self.scale, -8, 8)
+        return x
+
+    def code(self, x: np.ndarray) -> np.ndarray:
+        return np.tanh(x @ self.p["W"].astype(x.dtype) + self.p["b"])
+
     def _forward(self, x: np.ndarray, bag: np.ndarray, n: int) -> dict:
+        return self.attend(self.code(x), bag, n)
+
+    def attend(self, h: np.ndarray, bag: np.ndarray, n: int) -> dict:
         p = self.p
-        h = np.tanh(x @ p["W"] + p["b"])
         t, s = np.tanh(h @ p["V"]), _sigmoid(h @ p["U"])
         e = np.exp(np.clip((t * s) @ p["w"], -30, 30))
         a = e / np.bincount(bag, e, n)[bag]
@@ -59,12 +98,12 @@ class BagModel:
         dt, ds = dt * (1 - f["t"] ** 2), ds * f["s"] * (1 - f["s"])
         dh += dt @ p["V"].T + ds @ p["U"].T
         dh *= 1 - f["h"] ** 2
-        return {"W": x.T @ dh, "b": dh.sum(0), "V": f["h"].T @ dt, "U": f["h"].T @ ds, "w": (f["t"] * f["s"]).T @ du, "c": f["z"].T @ dlogit, "d": np.array([dlogit.sum()])}
+        return {"W": x.T @ dh.astype(x.dtype), "b": dh.sum(0), "V": f["h"].T @ dt, "U": f["h"].T @ ds, "w": (f["t"] * f["s"]).T @ du, "c": f["z"].T @ dlogit, "d": np.array([dlogit.sum()])}
 
     def fit(self, bags: list[np.ndarray], y: np.ndarray, epochs: int = 25, batch: int = 64, rate: float = 0.01, decay: float = 1e-4, seed: int = 6) -> BagModel:
-        rows = np.concatenate(bags)
+        rows = np.concatenate([b[:, : self.features] for b in bags])
         self.mean, self.scale = rows.mean(0), rows.std(0) + 1e-3
-        bags = [np.clip((b - self.mean) / self.scale, -8, 8) for b in bags]
+        bags = [self._scale(b) for b in bags]
         weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
         rng, step = np.random.default_rng(seed), 0
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -81,12 +120,13 @@ class BagModel:
                     m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.999 * v[k] + 0.001 * g * g
                     self.p[k] = self.p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
         bag = np.repeat(np.arange(len(y)), [len(b) for b in bags])
-        self.shift = _best_cut(self._forward(np.concatenate(bags), bag, len(y))["logit"], y)
+        codes = np.concatenate([self.code(b) for b in bags])
+        self.shift = _best_cut(self.attend(codes, bag, len(y))["logit"], y)
         return self
 
-    def scores(self, x: np.ndarray, bag: np.ndarray, n: int) -> np.ndarray:
-        x = np.clip((x - self.mean) / self.scale, -8, 8)
-        return _sigmoid(self._forward(x, bag, n)["logit"] - self.shift + np.log(CUT / (1 - CUT)))
+    def scores(self, codes: np.ndarray, bag: np.ndarray, n: int) -> np.ndarray:
+        """Of n bags of passages with these codes."""
+        return _sigmoid(self.attend(codes, bag, n)["logit"] - self.shift + np.log(CUT / (1 - CUT)))
 
 
 def _best_cut(logit: np.ndarray, y: np.ndarray) -> float:
@@ -103,26 +143,40 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
     """The model, or the share of label 1 if the sample holds one kind only."""
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("x", pa.binary())])
+        out = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("x", pa.binary()), ("row", pa.binary()), ("bucket", pa.binary())])
         for batch in common.slices(batches):
-            owner, x = textstats.passages(common.text_bytes(batch))
+            owner, x, *words = textstats.passages_and_words(common.text_bytes(batch))
+            row, bucket = contents(*words)
             at = np.searchsorted(owner, np.arange(batch.num_rows + 1))
-            yield common.record(out, [batch.column("doc_id"), batch.column("label").cast(pa.int32()), [x[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]])
-
-    rows = common.labelled(docs, labels, label, most).mapInArrow(encoded, "doc_id long, label int, x binary").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["label"], r["x"]))
+            parts = []
+            for a, b in zip(at[:-1], at[1:], strict=True):
+                some = np.unique(np.linspace(a, b - 1, min(PASSAGES, b - a)).astype(np.int64))
+                i, j = np.searchsorted(row, [a, b])
+                held = np.isin(row[i:j], some)
+                parts.append((x[some].tobytes(), np.searchsorted(some, row[i:j][held]).astype(np.uint16).tobytes(), bucket[i:j][held].astype(np.uint16).tobytes()))
+            yield common.record(out, [batch.column("doc_id"), batch.column("label").cast(pa.int32()), *zip(*parts, strict=True)])
+
+    ddl = "doc_id long, label int, x binary, row binary, bucket binary"
+    rows = common.labelled(docs, labels, label, most).mapInArrow(encoded, ddl).collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["label"], r["x"], r["bucket"]))
     y = np.array([r["label"] for r in rows], float)
     if not 0 < y.sum() < len(y):
         return float(y.mean()) if len(y) else 0.5
-    bags = [np.frombuffer(r["x"], np.float32).reshape(-1, len(textstats.PASSAGE)).astype(float) for r in rows]
-    return BagModel(len(textstats.PASSAGE)).fit(bags, y)
+    whole = lambda b: np.frombuffer(b, np.uint16).astype(np.int64)
+    bags = [inputs(np.frombuffer(r["x"], np.float32).reshape(-1, len(textstats.PASSAGE)), whole(r["row"]), whole(r["bucket"])) for r in rows]
+    return BagModel(len(textstats.PASSAGE), embedded=BUCKETS).fit(bags, y)
 
 
 def score_texts(texts: list[bytes], model: BagModel | float) -> np.ndarray:
     if isinstance(model, float):
         return np.full(len(texts), model)
-    bag, x = textstats.passages(texts)
-    return model.scores(x, bag, len(texts))
+    bag, table, *words = textstats.passages_and_words(texts)
+    row, bucket = contents(*words)
+    codes = []
+    for at in range(0, len(table), BLOCK):
+        i, j = np.searchsorted(row, [at, at + BLOCK])
+        codes.append(model.code(model._scale(inputs(table[at : at + BLOCK], row[i:j] - at, bucket[i:j]))))
+    return model.scores(np.concatenate(codes), bag, len(texts))
 
 
 def scored(docs: DataFrame, model: BagModel | float) -> DataFrame:

@@ -61,13 +61,20 @@ PASSAGE = ("words", "doc_words", "chars", "upper", "digits", "symbols", "shouts"
 
 def passages(texts: list[bytes], words_each: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """(document of each passage, its features named in PASSAGE). Every text has a passage at least; one without words has zeros."""
+    return passages_and_words(texts, words_each)[:2]
+
+
+def passages_and_words(texts: list[bytes], words_each: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """passages(), then the passage of each word, a 64-bit hash of each word, and whether it is the first of its passage, in
+    order of the texts."""
     n_docs = len(texts)
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     kind = CLASS[data]
     white = kind == 1
     begins = np.flatnonzero(~white & np.concatenate([[True], white[:-1]]))
     if not len(begins):
-        return np.arange(n_docs), np.zeros((n_docs, len(PASSAGE)), np.float32)
+        none = np.zeros(0, np.int64)
+        return np.arange(n_docs), np.zeros((n_docs, len(PASSAGE)), np.float32), none, none.astype(np.uint64), none.astype(bool)
     ends = np.flatnonzero(white & np.concatenate([[False], ~white[:-1]]))
     doc_starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
     doc = np.searchsorted(doc_starts, begins, side="right") - 1
@@ -102,7 +109,9 @@ def passages(texts: list[bytes], words_each: int = 64) -> tuple[np.ndarray, np.n
     owners = np.concatenate([doc[heads], missing])
     table = np.concatenate([table, np.zeros((len(missing), len(PASSAGE)))]).astype(np.float32)
     order = np.argsort(owners, kind="stable")
-    return owners[order], table[order]
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return owners[order], table[order], place[passage], words, first
 
 
 def _keys(group: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -118,9 +127,10 @@ def _repeats(doc: np.ndarray, words: np.ndarray) -> np.ndarray:
     """Whether the pair that a word begins occurs again in its document."""
     out = np.zeros(len(words), bool)
     if len(words) > 1:
-        keys = _keys(doc[:-1], words[:-1] * np.uint64(31) + words[1:])
+        inside = np.flatnonzero(doc[1:] == doc[:-1])
+        keys = _keys(doc[inside], words[inside] * np.uint64(31) + words[inside + 1])
         order = np.argsort(keys)
         same = keys[order[1:]] == keys[order[:-1]]
-        out[order[1:][same]] = True
-        out[order[:-1][same]] = True
+        out[inside[order[1:][same]]] = True
+        out[inside[order[:-1][same]]] = True
     return out
