@@ -1,19 +1,21 @@
 """Line dedup by patience alignment with earlier documents.
 
-A window is a stretch of lines that holds `min_words` words and would hold fewer without its last or without its first line.
-A block of `min_words` words that stands in one piece in two documents is made of windows they share, so windows, not lines,
-tie documents: each window of a later document to the one of smallest doc_id that holds it. As every such block is covered,
-no earlier document is missed, and a window that very many documents hold makes one tie for each of them, not all pairs.
-
-For a pair, the windows that are unique in both are aligned by patience (the longest run of growing positions). What that
-leaves are moved and repeated blocks; each window among them is itself a run of `min_words` words in both texts, so they go as
-well. The order of blocks thus names a block as kept in order or moved, but does not change which lines go: all those in a
-block of `min_words` words that stands in one piece in some earlier document. Blocks of several partners are united last.
-
-Windows are compared by 128 bits of hash over hashes of their lines; only lines with a word count, and blank lines inside a
+Two kinds of unit tie a later document to an earlier one: single lines of LINE_WORDS words or more, and windows, which are
+stretches of lines that hold `min_words` words and would hold fewer without their last or without their first line. Each unit
+of a later document is tied to the one document of smallest doc_id that holds it, so a unit that very many documents hold
+makes one tie for each of them, not all pairs, and no unit is too frequent to count.
+
+For a pair, the units that stand once in either are aligned by patience (the longest run of growing positions). Neighbours in
+this chain with no more than GAP other lines between them in either document form an edited block: what was one passage, with
+lines changed, put in or left out. Its aligned lines go if they hold `edited_words` words, and the lines between them stay.
+Lines in another order do not align, and stay. What the chain leaves out goes only as a moved or repeated block: a run of
+`min_words` words in one piece in both documents, which is made of windows they share. Such a run goes whichever earlier
+document holds it, as windows, not lines, find its partner; edited blocks are looked for in the first holders of the lines.
+
+Units are compared by 128 bits of hash over hashes of their lines; only lines with a word count, and blank lines inside a
 run go with it. A null text stays null and an empty one empty; a document whose lines all go is left with an empty text. Rows
 with a null doc_id are left alone. Rows that repeat a doc_id are not compared with each other, and their windows are counted
-row by row. All other columns pass unchanged, but n_chars follows the text.
+row by row. All other columns pass unchanged, but n_chars follows the text. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -29,12 +31,14 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Words that a run of aligned lines must hold to be deleted.
+#: Words that a run of lines in one piece in both documents must hold to be deleted.
 MIN_WORDS = 20
+#: Words that the aligned lines of an edited block must hold, other lines between two of them at most, and words of a line that is aligned.
+EDITED_WORDS, GAP, LINE_WORDS = 50, 1, 4
 
 
-def windows(text: str, min_words: int) -> tuple[list[int], dict[bytes, list[tuple[int, int]]]]:
-    """(indices of the lines with words, for the hash of each window its places among these lines as start and stop)."""
+def units(text: str, min_words: int) -> tuple[list[int], list[int], dict[bytes, list[tuple[int, int]]]]:
+    """(indices of the lines with words, their numbers of words, for the hash of each unit its places among them as start and stop)."""
     solid, words, hashes = [], [], []
     for i, line in enumerate(text.encode().split(b"\n")):
         n = len(line.split())
@@ -42,7 +46,8 @@ def windows(text: str, min_words: int) -> tuple[list[int], dict[bytes, list[tupl
             solid.append(i)
             words.append(n)
             hashes.append(xxhash.xxh3_128_digest(line))
-    least, found, stop, total = max(1, min_words), set(), 0, 0
+    found = {(i, i + 1) for i, n in enumerate(words) if n >= LINE_WORDS}
+    least, stop, total = max(1, min_words), 0, 0
     for start, n in enumerate(words):  # the shortest window from each line on
         while stop < len(words) and total < least:
             total += words[stop]
@@ -62,26 +67,26 @@ def windows(text: str, min_words: int) -> tuple[list[int], dict[bytes, list[tupl
     places: dict[bytes, list[tuple[int, int]]] = {}
     for a, b in sorted(found):
         places.setdefault(xxhash.xxh3_128_digest(b"".join(hashes[a:b])), []).append((a, b))
-    return solid, places
+    return solid, words, places
 
 
 def ties(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """_doc_id, _row (hash of the text), _ties: for each document with windows of earlier ones, (window hash, first document, first position there,
-    whether that is the only one) of each such window."""
+    """_doc_id, _row (hash of the text), _ties: for each document with units of earlier ones, (unit's hash, first document, first position there,
+    whether that is the only one) of each such unit."""
     out = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("h", pa.int64()), ("g", pa.int64()), ("at", pa.int32()), ("once", pa.bool_())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
             rows = []
             for doc_id, row, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "text")), strict=True):
-                for h, places in windows(text, min_words)[1].items():
+                for h, places in units(text, min_words)[2].items():
                     rows.append((doc_id, row, *struct.unpack("<qq", h), places[0][0], len(places) == 1))
             yield common.record(out, list(zip(*rows, strict=True)) or [[]] * 6)
 
     held = common.plain(docs).withColumn("row", F.xxhash64("text")).where("doc_id is not null and text is not null").mapInArrow(cut, "doc_id long, row long, h long, g long, at int, once boolean")
-    held = common.written(held, "windows")
+    held = common.written(held, "units")
     shared = held.groupBy("h", "g").agg(F.min(F.struct("doc_id", "row", "at", "once")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id < last")
-    shared = common.written(shared, "shared-windows")  # so that the join shuffles both sides anew and can split a very common window
+    shared = common.written(shared, "shared-units")  # so that the join shuffles both sides anew and can split a very common unit
     tied = held.select("doc_id", "row", "h", "g").join(shared, ["h", "g"]).where("doc_id > first.doc_id")
     one = F.struct("h", "g", F.col("first.doc_id").alias("first_doc"), F.col("first.row").alias("first_row"), F.col("first.at").alias("first_at"), F.col("first.once").alias("first_once"))
     return tied.groupBy(F.col("doc_id").alias("_doc_id"), F.col("row").alias("_row")).agg(F.collect_set(one).alias("_ties"))
@@ -107,34 +112,42 @@ def _longest_growing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def align(found: list[dict], places: dict[bytes, list[tuple[int, int]]]) -> list[tuple[int, int]]:
-    """The blocks (start, stop) that a document has in common with earlier ones, for each of them those in order, then the
-    moved and repeated ones. places: of each window."""
+def align(found: list[dict], words: list[int], places: dict[bytes, list[tuple[int, int]]], min_words: int = MIN_WORDS, edited_words: int = EDITED_WORDS) -> list[tuple[int, int]]:
+    """The blocks (start, stop) that a document has in common with earlier ones: of each of them the edited blocks of the aligned
+    chain, then the moved and repeated ones. words: of each line, places: of each unit."""
     by_doc: dict[tuple[int, int], list[dict]] = {}
     for t in found:
         by_doc.setdefault((t["first_doc"], t["first_row"]), []).append(t)
     blocks = []
     for some in by_doc.values():
-        stops, unique, rest = {}, [], []
+        stops: dict[tuple[int, int], int] = {}
         for t in some:
             here = places.get(struct.pack("<qq", t["h"], t["g"]), [])
             if len(here) == 1 and t["first_once"]:
                 pair = (here[0][0], t["first_at"])
                 stops[pair] = max(stops.get(pair, 0), here[0][1])
-                unique.append(pair)
+            blocks += [x for x in here if sum(words[x[0] : x[1]]) >= min_words]  # in one piece in both, moved or not
+        runs: list[list[tuple[int, int]]] = []
+        end = first_end = 0
+        for start, first in _longest_growing(sorted(stops)):
+            stop = stops[start, first]
+            if runs and start - end <= GAP and first - first_end <= GAP:
+                runs[-1].append((start, stop))
+                end, first_end = max(end, stop), max(first_end, first + stop - start)
             else:
-                rest += here
-        aligned = _longest_growing(sorted(set(unique)))
-        blocks += [(pair[0], stops.pop(pair)) for pair in aligned]
-        blocks += [(pair[0], stop) for pair, stop in stops.items()] + rest
+                runs.append([(start, stop)])
+                end, first_end = stop, first + stop - start
+        for run in runs:
+            if sum(words[i] for i in {i for a, b in run for i in range(a, b)}) >= edited_words:
+                blocks += run
     return blocks
 
 
 def remove(text: str, found: list[dict], min_words: int = MIN_WORDS) -> tuple[str, list[tuple[int, int]]]:
     """(the text without the blocks it has in common with earlier documents, first and last line of each run of them)."""
-    solid, places = windows(text, min_words)
+    solid, words, places = units(text, min_words)
     runs, end = [], -1
-    for start, stop in sorted(align(found, places)):
+    for start, stop in sorted(align(found, words, places, min_words)):
         if start <= end:  # blank lines aside, the next line or one of the run
             end = max(end, stop)
             runs[-1] = (runs[-1][0], solid[end - 1])
