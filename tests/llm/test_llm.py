@@ -23,6 +23,7 @@ from terrace.llm import (
     passage_quality,
     quality_rules,
     simhash,
+    textstats,
     token_store,
     toxicity,
 )
@@ -268,6 +269,68 @@ def test_label_model_finds_accuracies():
     assert list(np.argsort(-model.accuracy)) == [0, 1, 2, 3]
 
 
+def brute_em(votes, known, parent, turns):
+    q = [k if k >= 0 else min(0.95, max(0.05, 0.5 + 0.45 * np.sign(sum(v)))) for v, k in zip(votes, known, strict=True)]
+    for _ in range(turns):
+        prior = min(0.99, max(0.01, sum(q) / len(q)))
+
+        def chance(y, j, v, given=None):
+            held = [(w if y else 1 - w, row) for w, row in zip(q, votes, strict=True)]
+            alone = (sum(w for w, row in held if row[j] == v) + 3 * toxicity.SUPPOSED[y][v + 1]) / (sum(w for w, _ in held) + 3)
+            if given is None:
+                return alone
+            same = [(w, row) for w, row in held if row[parent[j]] == given]
+            return (sum(w for w, row in same if row[j] == v) + 2 * alone) / (sum(w for w, _ in same) + 2)
+
+        after = []
+        for row in votes:
+            likely = [1 - prior, prior]
+            for y in (0, 1):
+                for j, v in enumerate(row):
+                    likely[y] *= chance(y, j, v, row[parent[j]] if parent[j] >= 0 else None)
+            after.append(likely[1] / sum(likely))
+        q = [k if k >= 0 else p for p, k in zip(after, known, strict=True)]
+    return after
+
+
+def test_label_model_against_brute_force():
+    rng = np.random.default_rng(10)
+    votes = rng.integers(-1, 2, (60, 4))
+    votes[:, 1] = np.where(rng.random(60) < 0.8, votes[:, 0], votes[:, 1])
+    known = np.where(rng.random(60) < 0.3, votes[:, 0] > 0, -1).astype(int)
+    parent = [-1, 0, -1, 2]
+    model = toxicity.LabelModel().fit(votes, known, turns=5, parent=parent)
+    assert np.allclose(model.posterior(votes), brute_em(votes.tolist(), known.tolist(), parent, 5))
+
+
+def test_label_model_ties_correlated_voters():
+    rng = np.random.default_rng(14)
+    y = rng.random(3000) < 0.4
+    vote = lambda a: np.where(rng.random(3000) < a, 1, -1) * np.where(y, 1, -1)
+    one, two = vote(0.7), vote(0.85)
+    votes = np.stack([one, two, one, one], axis=1)  # three voters say the same
+    model = toxicity.LabelModel().fit(votes, np.where(np.arange(3000) < 900, y.astype(int), -1))
+    tied = {frozenset((j, p)) for j, p in enumerate(model.parent) if p >= 0}
+    assert len(tied) == 2 and tied <= {frozenset(x) for x in ((0, 2), (0, 3), (2, 3))}
+    assert model.posterior(np.array([[-1, 1, -1, -1]]))[0] > 0.5 > model.posterior(np.array([[1, -1, 1, 1]]))[0]
+
+
+def test_labels_are_no_targets_of_toxicity():
+    texts = [f"some plain words of text {i} and number {i % 7}" for i in range(80)] + [f"you stupid idiot moron {i}" for i in range(40)]
+    model = toxicity.train(texts, np.array([i % 2 for i in range(80)] + [-1] * 40))  # labels that no voter bears out
+    s = model.scores(texts)
+    assert abs(s[:80:2].mean() - s[1:80:2].mean()) < 0.05
+
+
+def test_samples_are_bounded_by_rows(spark):
+    docs = spark.range(20_000).select(F.lit(3).cast("long").alias("doc_id"), F.concat(F.lit("text "), (F.col("id") % 9).cast("string")).alias("text")).union(spark.createDataFrame([(4, "b"), (6, None)], "doc_id long, text string"))
+    labels = spark.createDataFrame([(i, i % 2, 1) for i in (3, 4, 4, 6, 8)], LABELS)
+    got = common.labelled(docs, labels, "quality", 10).collect()
+    assert sorted(r["doc_id"] for r in got) == [i for i in (3, 4, 6) if zlib.crc32(str(i).encode()) % 5]
+    many = spark.range(900).select(F.col("id").alias("doc_id"), (F.col("id") % 300).cast("string").alias("s"))
+    assert common.sampled(many, "doc_id", "s", 100).select("s").distinct().count() == common.STRATA
+
+
 def test_learned_operators_without_labels(spark, odd, empty):
     none = spark.createDataFrame([], LABELS)
     assert toxicity.scored(odd, toxicity.fit(odd, none)).count() == len(ODD)
@@ -334,6 +397,55 @@ def test_quality_held_out(spark):
     assert np.mean([rules[r["doc_id"]]["kept"] == bool(r["quality"]) for r in labels]) > 0.97
 
 
+def test_bag_score_against_brute_force():
+    rng = np.random.default_rng(15)
+    words = ["the", "fine", "words", "of!!", "a", "TEXT", "###", "9", "passage"]
+    texts = [" ".join(rng.choice(words, n)) for n in (1, 63, 64, 65, 200)] + ["", " \n"]
+    texts = [t.encode() for t in texts]
+    k = len(textstats.PASSAGE)
+    model = passage_quality.BagModel(k, embedded=passage_quality.BUCKETS)
+    model.p = {name: rng.normal(0, 0.3, p.shape) for name, p in model.p.items()}
+    model.mean, model.scale, model.shift = rng.normal(size=k), 1 + rng.random(k), 0.2
+    for text, got in zip(texts, passage_quality.score_texts(texts, model), strict=True):
+        _, table, _, hashes, _ = textstats.passages_and_words([text])
+        p, sig, codes, gates = model.p, (lambda x: 1 / (1 + np.exp(-x))), [], []
+        for i, stats in enumerate(table.tolist()):
+            mine = [int(x) for x in hashes[64 * i : 64 * i + 64]]
+            mask = (1 << 64) - 1
+            held = Counter(x * 0x9E3779B97F4A7C15 & mask for x in mine)
+            held.update(((x * 0xC2B2AE3D27D4EB4F + y) & mask) * 0x9E3779B97F4A7C15 & mask for x, y in zip(mine, mine[1:], strict=False))
+            shares = Counter()
+            for x, n in held.items():
+                shares[x >> 54] += n / (2 * len(mine) - 1)
+            z = p["b"] + sum(min(8, max(-8, (x - m) / c)) * w for x, m, c, w in zip(stats, model.mean, model.scale, p["W"], strict=False))
+            z = z + sum(np.sqrt(x) * p["W"][k + b] for b, x in shares.items())
+            codes.append(np.tanh(z))
+            gates.append(np.exp(np.tanh(codes[-1] @ p["V"]) * sig(codes[-1] @ p["U"]) @ p["w"]))
+        whole = sum(g * c for g, c in zip(gates, codes, strict=True)) / sum(gates)
+        assert abs(got - sig(whole @ p["c"] + p["d"][0] - 0.2 + np.log(3 / 7))) < 1e-5
+
+
+def test_passages_do_not_hang_on_other_texts():
+    texts = [t.encode() for t in ("a b a b c", "b c", "", "c c c " * 50, "b")]
+    owner, table = textstats.passages(texts)
+    for i, t in enumerate(texts):
+        assert (table[owner == i] == textstats.passages([t])[1]).all()
+
+
+def test_quality_reads_the_words():
+    good, bad = "river stone garden window morning letter".split(), "offer click winner casino prize bonus".split()
+    rng = np.random.default_rng(16)
+    texts = [" ".join(rng.choice(good if i % 2 else bad, 80)).encode() for i in range(120)]
+    bags = []
+    for t in texts:
+        _, table, *words = textstats.passages_and_words([t])
+        bags.append(passage_quality.inputs(np.zeros_like(table), *passage_quality.contents(*words)))  # without statistics
+    y = np.arange(120) % 2
+    model = passage_quality.BagModel(len(textstats.PASSAGE), embedded=passage_quality.BUCKETS).fit(bags[:80], y[:80].astype(float))
+    score = [model.scores(model.code(b), np.zeros(len(b), int), 1)[0] for b in bags[80:]]
+    assert ((np.array(score) >= passage_quality.CUT) == y[80:]).all()
+
+
 def test_bag_gradient():
     rng = np.random.default_rng(3)
     model = passage_quality.BagModel(4, 3, 2)
@@ -461,6 +573,31 @@ def documents_without_language(spark):
     return spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
 
 
+def test_language_score_against_brute_force():
+    texts = ["the red house", "ein rotes haus", "la maison rouge", "ein", "a b, c!  d1"]
+
+    def grams(text):
+        kept = " " + re.sub(r"[^a-z\u00aa-\U0010ffff]+", " ", text.lower()) + " "
+        return {kept[i : i + n] for n in (1, 2, 3) for i in range(len(kept) - n + 1)}
+
+    kernel = [[len(grams(a) & grams(b)) / np.sqrt(len(grams(a)) * len(grams(b))) for b in texts[:3]] for a in texts]
+    x = language_id.presence(texts)
+    assert np.allclose(language_id.kernel(x, x[:3]), kernel, atol=1e-6)  # no two of these share a bucket
+    weights = np.random.default_rng(17).normal(size=(3, 2)).astype(np.float32)
+    model = language_id.KernelModel(["de", "en"], x[:3], weights)
+    langs, scores = model.predict(texts)
+    for row, lang, score in zip(kernel, langs, scores, strict=True):
+        s = [sum(k * float(w) for k, w in zip(row, column, strict=True)) for column in weights.T]
+        p = [np.exp(6 * v) / sum(np.exp(6 * u) for u in s) for v in s]
+        assert lang == ["de", "en"][int(np.argmax(p))] and abs(score - max(p)) < 1e-4
+
+
+def test_language_of_no_rows_and_clashing_columns(spark, empty):
+    docs = spark.createDataFrame([(i, "the house and the garden" if i % 2 else "das haus und der garten", "en" if i % 2 else "de", 1.0, "x") for i in range(40)], "doc_id long, text string, lang string, score double, lang_pred string")
+    model = language_id.fit(docs)
+    assert language_id.predicted(empty, model).count() == 0 and language_id.predicted(docs, model).columns == ["doc_id", "held_out", "lang_pred", "score"]
+
+
 def test_presence_kernel_is_shared_grams_over_the_mean():
     x = language_id.presence(["abc", "abd"])
     k = language_id.kernel(x, x)
@@ -599,6 +736,83 @@ def test_moved_blocks_go_if_long_enough(spark):
     assert lines_left(spark, f"{a}\nmiddle\n{b}\nend\n{small}", f"{small}\nnew\n{b}\n\n{a}\nlast")[1] == f"{small}\nnew\nlast"
 
 
+def edited(lines, every, tag):
+    return [f"new words of text {tag} line {i}" if i % every == every - 1 else line for i, line in enumerate(lines)]
+
+
+def test_the_order_of_an_edited_passage_decides(spark):
+    lines = [f"line {i} has six words here" for i in range(18)]
+    first, mixed = "\n".join(lines), [lines[i] for i in np.random.default_rng(11).permutation(18)]
+    own = [x for x in edited(lines, 3, "b") if x.startswith("new")]
+    later = "\n".join(edited(lines, 3, "b"))
+    assert lines_left(spark, first, later) == [first, "\n".join(own)]  # 12 lines of 6 words in order, none beside two others
+    for other in ("\n".join(edited(mixed, 3, "c")), "\n".join(edited(lines[::-1], 3, "d"))):
+        assert lines_left(spark, first, other) == [first, other]
+    short = "\n".join(edited(lines[:11], 3, "e"))  # 8 lines: 48 words
+    assert lines_left(spark, first, short) == [first, short]
+    wide = "\n".join(x for line in edited(lines, 3, "f") for x in (line, f"own line one after {line}", f"own line two after {line}"))
+    assert lines_left(spark, first, wide) == [first, wide]  # too far apart
+
+
+def brute_chain(pairs):
+    """Length of the longest growing run, of all choices."""
+    best = [1] * len(pairs)
+    for i, (x, y) in enumerate(pairs):
+        best[i] += max((best[j] for j in range(i) if pairs[j][0] < x and pairs[j][1] < y), default=0)
+    return max(best, default=0)
+
+
+def test_patience_against_all_choices():
+    rng = np.random.default_rng(12)
+    for n in range(1, 60):
+        pairs = list(enumerate(rng.permutation(n).tolist()))
+        chain = line_dedup._longest_growing(pairs)
+        assert len(chain) == brute_chain(pairs) and set(chain) <= set(pairs)
+        assert all(a[0] < b[0] and a[1] < b[1] for a, b in zip(chain, chain[1:], strict=False))
+
+
+def brute_edited(mine, other, gap=1, least=50):
+    """Lines of mine in edited blocks with other, if the longest chain of lines that are unique in both is the only one."""
+    pairs = [(i, other.index(x)) for i, x in enumerate(mine) if mine.count(x) == other.count(x) == 1 and len(x.split()) >= 4]
+    n, chain = brute_chain(pairs), []
+    for p in pairs:  # every longest chain holds it: without it the rest has a shorter one
+        if brute_chain([q for q in pairs if q != p]) < n:
+            chain.append(p)
+    if len(chain) < n:
+        return None
+    gone, run = set(), []
+    for p in [*chain, (10**6, 10**6)]:
+        if run and (p[0] - run[-1][0] - 1 > gap or p[1] - run[-1][1] - 1 > gap):
+            if sum(len(mine[i].split()) for i, _ in run) >= least:
+                gone |= {i for i, _ in run}
+            run = []
+        run.append(p)
+    return gone
+
+
+def test_edited_blocks_against_brute_force(spark):
+    rng, seen = np.random.default_rng(13), 0
+    base = [f"base line number {i} of text" for i in range(40)]
+    for _ in range(12):
+        a = int(rng.integers(0, 15))
+        mine = [f"other words {rng.integers(1 << 30)} in line" if rng.random() < 0.3 else x for x in base[a : a + 25] if rng.random() < 0.9]
+        if rng.random() < 0.5:
+            mine = mine[9:] + mine[:9]
+        gone = brute_edited(mine, base)
+        if gone is None:
+            continue
+        for i in range(len(mine)):  # and blocks in one piece
+            for j in range(len(base)):
+                k = 0
+                while i + k < len(mine) and j + k < len(base) and mine[i + k] == base[j + k]:
+                    k += 1
+                if sum(len(x.split()) for x in mine[i : i + k]) >= line_dedup.MIN_WORDS:
+                    gone |= set(range(i, i + k))
+        seen += 0 < len(gone) < len(mine)
+        assert lines_left(spark, "\n".join(base), "\n".join(mine))[1] == "\n".join(x for i, x in enumerate(mine) if i not in gone)
+    assert seen > 2
+
+
 def test_repeated_blocks_go(spark):
     a, b = ("\n".join(f"block {x} has six words {i}" for i in range(10)) for x in "ab")
     first, later = f"{a}\nmiddle\n{b}", f"{a}\nnew\n{b}"
@@ -657,8 +871,9 @@ def test_packing_query(spark, sf_dir):
     pieces = packing.op9_harmonic_packing(spark, sf_dir).collect()
     assert check_pieces(rows, pieces) < 0.01
     tokenizer, texts = library("byte_bpe_50k.json"), dict(rows)
-    for p in pieces[:300]:
-        ids = np.array([*tokenizer.encode(texts[p["doc_id"]], add_special_tokens=False).ids, 0], "<u4")
+    held = {i: np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 0], "<u4") for i, t in texts.items()}
+    for p in pieces:
+        ids = held[p["doc_id"]]
         assert p["doc_tokens"] == len(ids) and zlib.crc32(ids[p["start"] : p["start"] + p["length"]].tobytes()) == p["ids_crc32"]
 
 
@@ -698,6 +913,19 @@ def test_pipeline_stages(spark):
     assert check_pieces([(r["doc_id"], r["text"]) for r in fourth.collect()], fifth) < 0.01
 
 
+def test_pipeline_stages_of_odd_rows_and_none(spark):
+    import corpus_pipeline
+
+    text = "\n".join(" ".join(f"word{(7 * i + j) % 90}" for j in range(12)) + "." for i in range(8))
+    rows = [(1, text, "en", "s", 5, 1), (1, text, "en", "s", 5, 2), (None, text, None, None, None, 3), (2, None, "en", "s", 0, 4), (3, "", "en", "s", 0, 5), (4, "x" * 40_000, "en", "s", 40_000, 6), (5, text + "\nmore", "en", "s", 9, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _row long")
+    for some in (docs, docs.limit(0)):
+        for _, stage in corpus_pipeline.STAGES[:4]:
+            out = stage(spark, some, SF1)
+            assert out.columns == docs.columns and out.count() <= len(rows)
+        assert corpus_pipeline.STAGES[4][1](spark, some, SF1).count() >= some.count()
+
+
 def test_sample_is_bounded_by_stratum(spark):
     df = spark.range(5000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 40, "rare").when(F.col("id") < 4000, "often").alias("s"))
     got = {r[0]: r[1] for r in common.sampled(df, "doc_id", "s", 100).groupBy("s").count().collect()}
