@@ -20,7 +20,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -189,7 +189,7 @@ class LinearModel:
         self.voters, self.words = voters, words
         self.weights, self.bias = np.zeros(2 * len(voters.names) + len(words)), 0.0
 
-    def _rows(self, votes: np.ndarray, held: list[set[str]]) -> list[np.ndarray]:
+    def _rows(self, votes: np.ndarray, held: list[Iterable[str]]) -> list[np.ndarray]:
         m, words = votes.shape[1], self.words
         out = []
         for v, h in zip(votes, held, strict=True):
@@ -197,7 +197,7 @@ class LinearModel:
             out.append(np.concatenate([np.flatnonzero(v > 0), m + np.flatnonzero(v < 0), np.array(at, np.int64)]).astype(np.int64))
         return out
 
-    def fit(self, votes: np.ndarray, held: list[set[str]], target: np.ndarray, steps: int = 400, rate: float = 0.3, ridge: float = 3e-4) -> LinearModel:
+    def fit(self, votes: np.ndarray, held: list[Iterable[str]], target: np.ndarray, steps: int = 400, rate: float = 0.3, ridge: float = 3e-4) -> LinearModel:
         """Logistic regression on the posterior labels, by gradient descent with a step for each feature (AdaGrad)."""
         rows = self._rows(votes, held)
         col = np.concatenate(rows)
@@ -257,7 +257,7 @@ def _surprise(bad: int, good: int, rate: float) -> float:
     return bad * np.log(bad / n / rate) + (good * np.log(good / n / (1 - rate)) if good else 0.0)
 
 
-def _first_copies(held: list[set[str]]) -> list[int]:
+def _first_copies(held: list[tuple[str, ...]]) -> list[int]:
     """One of the texts that share their five words of least hash, as copies do."""
     seen: dict[tuple, int] = {}
     for i, h in enumerate(held):
@@ -265,6 +265,17 @@ def _first_copies(held: list[set[str]]) -> list[int]:
     return list(seen.values())
 
 
+def _often(rows: list[tuple[str, ...]], least: int = 4) -> set[str]:
+    """Entries of `least` rows or more. Buckets by hash sort out most others before any is kept."""
+    size = 1 << 22
+    counts = np.zeros(size, np.int32)
+    for words in rows:
+        counts[np.unique(np.fromiter((hash(e) % size for e in _entries(set(words))), np.int64))] += 1
+    full = counts >= least
+    some = Counter(e for words in rows for e in _entries(set(words)) if full[hash(e) % size])
+    return {e for e, c in some.items() if c >= least}
+
+
 def _entries(words: set[str]) -> set[str]:
     return words | {w[:k] + "*" for w in words for k in range(4, min(8, len(w)) + 1)}
 
@@ -272,25 +283,24 @@ def _entries(words: set[str]) -> set[str]:
 def train(texts: list[str], known: np.ndarray) -> LinearModel:
     """known: 1 or 0 for labelled texts, -1 for the others."""
     base = Voters()
-    return train_votes([base.base(t) for t in texts], known)
+    return train_votes([(votes, tuple(sorted(words))) for votes, words in map(base.base, texts)], known)
 
 
-def train_votes(found: list[tuple[list[int], set[str]]], known: np.ndarray) -> LinearModel:
-    """found: Voters().base() of each text."""
+def train_votes(found: list[tuple[list[int], tuple[str, ...]]], known: np.ndarray) -> LinearModel:
+    """found: the votes of Voters().base() and distinct words of each text."""
     some = _first_copies([h for _, h in found])
     base, held, known = [found[i][0] for i in some], [found[i][1] for i in some], known[some]
     lab = np.flatnonzero(known >= 0)
-    often = Counter(e for i in np.flatnonzero(known == 1) for e in _entries(held[i]))
-    often = {e for e, c in often.items() if c >= 4}
-    entries = {i: _entries(held[i]) & often for i in lab.tolist()}
+    often = _often([held[i] for i in np.flatnonzero(known == 1)])
+    entries = {i: _entries(set(held[i])) & often for i in lab.tolist()}
     mined = lambda rows: mine([entries[i] for i in rows.tolist()], known[rows]) if len(rows) else ((),) * 6
     voters = Voters(mined(lab))
-    votes = np.array([voters.whole(b, h) for b, h in zip(base, held, strict=True)], np.int64).reshape(len(base), len(voters.names))
+    votes = np.array([voters.whole(b, set(h)) for b, h in zip(base, held, strict=True)], np.int64).reshape(len(base), len(voters.names))
     honest = votes.copy()
     for k in range(FOLDS):
         others = Voters(mined(lab[np.arange(len(lab)) % FOLDS != k]))
         for i in lab[np.arange(len(lab)) % FOLDS == k]:
-            honest[i] = others.whole(base[i], held[i])
+            honest[i] = others.whole(base[i], set(held[i]))
     q = LabelModel().fit(honest, known).posterior(honest)
     seen = Counter(w for h in held for w in h)
     bad = Counter()
@@ -312,22 +322,26 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, unlabelled: int
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voters = Voters()
-        out = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("votes", pa.list_(pa.int32())), ("words", pa.list_(pa.string()))])
+        out = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("votes", pa.list_(pa.int32())), ("words", pa.string())])
         for batch in common.slices(batches):
             votes, words = [], []
             for text in batch.column("text").to_pylist():
                 base, held = voters.base(text)
                 votes.append(base)
-                words.append(sorted((w for w in held if len(w) < 50), key=lambda w: zlib.crc32(w.encode()))[:SENT])
+                words.append("\n".join(sorted((w for w in held if len(w) < 50), key=lambda w: zlib.crc32(w.encode()))[:SENT]))
             yield common.record(out, [batch.column("doc_id"), batch.column("label").cast(pa.int32()), votes, words])
 
-    found = rows.mapInArrow(seen, "doc_id long, label int, votes array<int>, words array<string>").collect()
+    found = rows.mapInArrow(seen, "doc_id long, label int, votes array<int>, words string").collect()
     found.sort(key=lambda r: (r["doc_id"], -r["label"]))
     first = {r["doc_id"]: r for r in reversed(found)}  # a labelled row over the same one unlabelled
     found = [first[i] for i in sorted(first)]
     if not found:
         return train(["", *(" ".join(sorted(x)) for x in Voters().lexicons)], np.array([0] + [1] * len(LEXICONS)))
-    return train_votes([(r["votes"], set(r["words"])) for r in found], np.array([r["label"] for r in found]))
+    one: dict[str, str] = {}  # each word held once
+    rows_of = [(r["votes"], tuple(one.setdefault(w, w) for w in r["words"].split("\n") if w)) for r in found]
+    known = np.array([r["label"] for r in found])
+    del found, first
+    return train_votes(rows_of, known)
 
 
 def scored(docs: DataFrame, model: LinearModel) -> DataFrame:
