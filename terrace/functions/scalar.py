@@ -98,8 +98,8 @@ def find(c: Column, text: str, start: int = 1) -> Column:
 
 
 def find_nth(c: Column, text: str, n: int) -> Column:
-    pieces = F.size(F.split(c, "\\Q" + text + "\\E", -1))
-    return F.when(c.isNull(), None).when(pieces > n, F.length(F.substring_index(c, text, n)) + 1).otherwise(0)
+    times = F.floor((F.length(c) - F.length(F.replace(c, F.lit(text), F.lit("")))) / len(text))
+    return F.when(c.isNull(), None).when(times >= n, F.length(F.substring_index(c, text, n)) + 1).otherwise(0)
 
 
 def split(c: Column, delimiter: str, token: int = 1) -> Column:
@@ -124,8 +124,8 @@ def regexp_match(c: Column, pattern: str) -> Column:
 
 
 def regexp_extract(c: Column, pattern: str, group: int = 1) -> Column:
-    """NULL without a match."""
-    return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))
+    """NULL without a match; an empty match is empty."""
+    return F.when(c.rlike(pattern), F.regexp_extract(c, pattern, group))
 
 
 def regexp_replace(c: Column, pattern: str, new: str) -> Column:

@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import spread
+from .spread import beside
+
 _FORMS = {
     "linear": (lambda x: x, lambda y: y),
     "logarithmic": (lambda x: F.when(x > 0, F.ln(x)), lambda y: y),
@@ -36,8 +39,10 @@ def polynomial_trend(df: DataFrame, x: str, y: str, order: int) -> list[float]:
 
 def reference_lines(df: DataFrame, c: str, keys: Sequence[str] = (), percentiles: Sequence[float] = (0.25, 0.75)) -> DataFrame:
     """mean, median, low, high and percentiles of a scope: a pane's keys, or none for the table."""
-    lines = [F.avg(c).alias("mean"), F.median(c).alias("median"), F.min(c).alias("low"), F.max(c).alias("high")]
-    return df.groupBy(*keys).agg(*lines, *[F.percentile(c, F.lit(p)).alias(f"p{int(100 * p)}") for p in percentiles])
+    lines = df.groupBy(*keys).agg(F.avg(c).alias("mean"), F.min(c).alias("low"), F.max(c).alias("high"))
+    names = {"median": 0.5} | {f"p{int(100 * p)}": p for p in percentiles}
+    found = beside(lines, spread.percentiles(df, keys, c, names), keys)
+    return found.select(*keys, "mean", "median", "low", "high", *[n for n in names if n != "median"])
 
 
 def confidence(df: DataFrame, c: str, z: float = 1.96, keys: Sequence[str] = ()) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Column operators: DataFrame in, DataFrame out, all lazy."""
+"""Column operators: DataFrame in, DataFrame out, lazy but for add_index and promote_headers, which number rows and so run a job."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..shared import checkpoint_dir
+from .spread import ranged
 
 #: Spark types of the type names that flows and models use.
 TYPES = {
@@ -90,13 +90,10 @@ def add_index(df: DataFrame, new: str, order: Sequence[Column | str], start: int
     Rows are dealt out by ranges of the order; each range counts its rows, and what stands before it is added, so that no
     task meets all rows. The ranges are a checkpoint, as their ends depend on a sample and must not be drawn twice.
     """
-    checkpoint_dir(df.sparkSession)
-    keys = [F.col(o) if isinstance(o, str) else o for o in order]
-    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__at", F.monotonically_increasing_id()).checkpoint()
-    ranged = ranged.withColumns({"__part": F.shiftright("__at", 33), "__nth": F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))})
-    sizes = ranged.groupBy("__part").agg(F.count("*").alias("__n"))  # a row for each partition
+    cut = ranged(df, [F.col(o) if isinstance(o, str) else o for o in order]).withColumn("__nth", F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = cut.groupBy("__part").agg(F.count("*").alias("__n"))  # a row for each partition
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    at = ranged.join(F.broadcast(sizes.select("__part", before.alias("__before"))), "__part")
+    at = cut.join(F.broadcast(sizes.select("__part", before.alias("__before"))), "__part")
     return at.withColumn(new, (F.col("__before") + F.col("__nth")) * step + start).drop("__part", "__nth", "__before", "__at")
 
 
@@ -108,21 +105,23 @@ def transpose(df: DataFrame, key: str, keys: Sequence[str]) -> DataFrame:
 
 
 def promote_headers(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    """The first row in that order names the columns and goes."""
-    first = df.orderBy(*order).first()
-    named = df.toDF(*[str(v) for v in first])
-    same = None
-    for old, value in zip(named.columns, first, strict=True):
-        hit = name(old).eqNullSafe(F.lit(value))
-        same = hit if same is None else same & hit
-    return named.where(~same)
-
-
-def demote_headers(df: DataFrame) -> DataFrame:
-    """The names become a row of text, the columns Column1 to ColumnN."""
+    """The first row in that order names the columns and goes; rows that equal it stay. A column without a name keeps its old one."""
+    numbered = add_index(df, "__row", order)
+    first = numbered.where("__row = 1").drop("__row").first()
+    if first is None:
+        raise ValueError("no row to take the names from")
+    return numbered.where("__row > 1").drop("__row").toDF(*[c if v is None else str(v) for c, v in zip(df.columns, first, strict=True)])
+
+
+def demote_headers(df: DataFrame, position: str | None = None) -> DataFrame:
+    """The names become a row of text, the columns Column1 to ColumnN. Rows have no order of their own: `position` names a column
+    that is 0 for the row of names and 1 for the others, to sort by."""
     header = df.sparkSession.createDataFrame([tuple(df.columns)], T.StructType([T.StructField(c, T.StringType()) for c in df.columns]))
     new = [f"Column{i + 1}" for i in range(len(df.columns))]
-    return header.toDF(*new).union(df.select([name(c).cast("string") for c in df.columns]).toDF(*new))
+    rows = df.select([name(c).cast("string") for c in df.columns]).toDF(*new)
+    if position:
+        return header.toDF(*new).withColumn(position, F.lit(0)).union(rows.withColumn(position, F.lit(1)))
+    return header.toDF(*new).union(rows)
 
 
 def expand_struct(df: DataFrame, column: str, fields: Sequence[str], prefix: str = "") -> DataFrame:

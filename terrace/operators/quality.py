@@ -24,17 +24,18 @@ def null_ratio(c: Column) -> Column:
 
 
 def profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row for each column: rows, nulls, distinct, least, greatest, from one pass."""
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for i, c in enumerate(columns):
-        aggs += [F.count(c).alias(f"c{i}"), F.count_distinct(c).alias(f"d{i}"), F.min(c).cast("string").alias(f"a{i}"), F.max(c).cast("string").alias(f"b{i}")]
-    one = df.agg(*aggs)
-    rows = F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col("n").alias("n_rows"), (F.col("n") - F.col(f"c{i}")).alias("n_nulls"), F.col(f"d{i}").alias("n_distinct"),
-                 F.col(f"a{i}").alias("least"), F.col(f"b{i}").alias("greatest"))
-        for i, c in enumerate(columns)
-    ])
-    return one.select(F.inline(rows))
+    """One row for each column: rows, nulls, distinct, least, greatest. Each column is counted by value on its own, from a scan of
+    that column, so that no row is multiplied and no task holds the distinct values."""
+    found = None
+    for c in columns:
+        values = df.groupBy(F.col(c).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+        total = lambda n: F.coalesce(F.sum(n), F.lit(0).cast("bigint"))
+        row = values.agg(
+            total("n").alias("n_rows"), total(F.when(F.col("v").isNull(), F.col("n"))).alias("n_nulls"), F.count("v").alias("n_distinct"),
+            F.min("v").cast("string").alias("least"), F.max("v").cast("string").alias("greatest"),
+        ).select(F.lit(c).alias("column_name"), "*")
+        found = row if found is None else found.union(row)
+    return found
 
 
 def cardinality(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -20,7 +20,10 @@ def windowed(aggregate, c: Column, w: WindowSpec, first: int = ALL[0], last: int
 
 
 def window_percentile(c: Column, p: float, w: WindowSpec, first: int = ALL[0], last: int = ALL[1]) -> Column:
-    """Interpolated percentile of a frame, from its sorted values (a framed percentile is no window function in Spark)."""
+    """Interpolated percentile of a frame. Of the whole partition it is computed once; of a bounded frame from its sorted values
+    (a framed percentile is no window function in Spark)."""
+    if (first, last) == ALL:
+        return F.percentile(c, F.lit(p)).over(w.rowsBetween(*ALL))
     v = F.array_sort(F.collect_list(c).over(w.rowsBetween(first, last)))
     at = (F.size(v) - 1) * F.lit(p)
     low = F.floor(at).cast("int")

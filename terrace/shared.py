@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -16,3 +18,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
     return (sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()).rstrip("/")
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """df as a table written in the shared folder (under buffered/) and read again: what follows cannot fold into it, and what
+    reads it twice makes it once. The caller removes the folder when it is read no more."""
+    path = f"{checkpoint_dir(df.sparkSession)}/buffered/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
