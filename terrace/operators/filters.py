@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -92,6 +92,20 @@ def top_by(df: DataFrame, dimension: str, measure: Column, n: int, bottom: bool
     return df.join(chosen, dimension, "left_semi")
 
 
+def in_order(
+    df: DataFrame, context: Sequence[Column] = (), sets: Sequence[Callable[[DataFrame], DataFrame]] = (), dimensions: Sequence[Column] = (), measures: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
+    """Filters in their order of operations: context filters, then what is computed from what these leave (top-N members, sets,
+    FIXED columns), then dimension filters, which do not change what was computed, then the view and its measure filter."""
+    for c in context:
+        df = df.where(c)
+    for make in sets:
+        df = make(df)
+    for c in dimensions:
+        df = df.where(c)
+    return measures(df) if measures else df
+
+
 def castable(c: Column, kind: str) -> Column:
     """Rows whose value is NULL or can be read as that type."""
     return c.isNull() | c.try_cast(kind).isNotNull()

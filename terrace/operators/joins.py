@@ -7,7 +7,8 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .quality import widened
+from ..shared import checkpoint_dir
+from .quality import name_similarity, widened
 
 HOW = {
     "inner": "inner", "left": "left", "right": "right", "full": "full",
@@ -32,9 +33,14 @@ def join(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, str]], how
     return left.join(right, _on(left, right, keys, nulls_match), HOW[how])
 
 
-def cross(left: DataFrame, right: DataFrame) -> DataFrame:
-    """All pairs; for small tables, as dimensions are."""
-    return left.crossJoin(right)
+def cross(left: DataFrame, right: DataFrame, most: int = 10_000) -> DataFrame:
+    """All pairs, which is what is asked for; the side that is known to hold `most` rows or fewer is sent to the other's tasks.
+    Two larger tables are an error, as nobody reads all pairs of them."""
+    for small, other, first in ((right, left, True), (left, right, False)):
+        if small.limit(most + 1).count() <= most:
+            pairs = other.crossJoin(F.broadcast(small))
+            return pairs if first else pairs.select(*[left[c] for c in left.columns], *[right[c] for c in right.columns])
+    raise ValueError(f"both sides hold more than {most} rows")
 
 
 def range_join(left: DataFrame, right: DataFrame, point: str, low: str, high: str, width: float, keys: Sequence[tuple[str, str]] = ()) -> DataFrame:
@@ -56,12 +62,14 @@ def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_tim
     """For each left row the values of the last right row of its key at or before its time; of right rows at one time, the
     largest values. Right rows without key or time match nothing.
 
-    Both sides are laid in one ordered window by key, so no left row meets more than its own key's rows. With `bucket`, a function
-    of time that never falls (its day, say), windows are by key and bucket, and the last right row before each bucket comes from
-    one row for each bucket: a key with a large share of all rows is then spread over its buckets.
+    Both sides are laid in one ordered window by key and bucket of time, and the last right row before each bucket comes from one
+    row for each bucket: a key with a large share of all rows is spread over its buckets. `bucket` is a function of time that
+    never falls; dates and timestamps go by day if none is given, other kinds of time by key alone.
     """
     from pyspark.sql.window import Window
 
+    if bucket is None and dict(left.dtypes)[left_time] in ("date", "timestamp", "timestamp_ntz"):
+        bucket = lambda at: F.date_trunc("day", at)
     picked = F.struct(F.col("_t"), *values)
     a = left.select("*", F.col(left_time).alias("_t"), F.lit(1).alias("_side"))
     b = right.where(F.col(key).isNotNull() & F.col(right_time).isNotNull()).select(F.col(key), F.col(right_time).alias("_t"), *values, F.lit(0).alias("_side"))
@@ -123,29 +131,60 @@ def aligned_join(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, st
     return join(left, right, keys, how)
 
 
-def inclusion(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:
-    """One row: share of the child's keys that the parent holds, by rows, and whether the parent's key names a row."""
-    keys = child.where(F.col(child_key).isNotNull()).groupBy(F.col(child_key).alias("_k")).agg(F.count("*").alias("_n"))
-    held = parent.where(F.col(parent_key).isNotNull()).groupBy(F.col(parent_key).alias("_p")).agg(F.count("*").alias("_m"))
-    most = held.agg((F.max("_m") <= 1).alias("parent_is_unique"))
-    share = keys.join(held, F.col("_k") == F.col("_p"), "left").agg(F.try_divide(F.sum(F.when(F.col("_p").isNotNull(), F.col("_n"))).cast("double"), F.sum("_n")).alias("share"))
-    return share.crossJoin(most)  # one row each
+#: Types whose values can be a key, by family: keys of one family compare as text.
+_FAMILY = {"tinyint": "whole", "smallint": "whole", "int": "whole", "bigint": "whole", "string": "text", "date": "date"}
 
 
-def inferred(tables: Mapping[str, DataFrame], least: float = 0.95) -> DataFrame:
-    """child, child_column, parent, parent_column, share of the relationships that the data bear out: columns of one type whose
-    names agree after their table's prefix, the parent's naming a row and holding that share of the child's keys."""
-    found = None
+def _stems(df: DataFrame) -> dict[str, str]:
+    """Column names in lower case, without the prefix that all columns of a table share."""
+    head = df.columns[0].partition("_")[0] + "_"
+    shared = len(df.columns) > 1 and all(c.startswith(head) for c in df.columns)
+    return {c: (c[len(head) :] if shared else c).lower() for c in df.columns}
+
+
+def _alike(tables: Mapping[str, DataFrame], least: float) -> list[tuple[str, str, str, str, float]]:
+    """Pairs of key columns (child, child_column, parent, parent_column) of one family with names alike: those of the columns, or
+    the child's and the parent's table and column together."""
+    stems = {t: _stems(df) for t, df in tables.items()}
+    out = []
     for c, child in tables.items():
         for p, parent in tables.items():
             for x, a in child.dtypes:
                 for y, b in parent.dtypes:
-                    if c != p and a == b and x.partition("_")[2] and x.partition("_")[2] == y.partition("_")[2] and "key" in x:
-                        row = inclusion(child, parent, x, y).select(*[F.lit(v).alias(n) for n, v in (("child", c), ("child_column", x), ("parent", p), ("parent_column", y))], "share", "parent_is_unique")
-                        found = row if found is None else found.union(row)
-    if found is None:
-        raise ValueError("no columns whose names agree")
-    return found.where(F.col("parent_is_unique") & (F.col("share") >= least)).drop("parent_is_unique")
+                    if c != p and a in _FAMILY and _FAMILY[a] == _FAMILY.get(b):
+                        named = max(name_similarity(stems[c][x], stems[p][y]), name_similarity(stems[c][x].replace("_", ""), (p + stems[p][y]).replace("_", "").lower()))
+                        if named >= least:
+                            out.append((c, x, p, y, named))
+    return out
+
+
+def inferred(tables: Mapping[str, DataFrame], least: float = 0.95, alike: float = 0.5) -> DataFrame:
+    """child, child_column, parent, parent_column, share, score of the relationships that names suggest and data bear out: the
+    parent's column names a row, and holds that share of the child's rows with a key. score: mean of share and likeness of names.
+
+    Every table is read once: the values of all its candidate columns are counted together, and columns meet by value.
+    """
+    pairs = _alike(tables, alike)
+    columns = {(t, c) for a, x, b, y, _ in pairs for t, c in ((a, x), (b, y))}
+    if not columns:
+        raise ValueError("no columns whose names are alike")
+    spark, long = next(iter(tables.values())).sparkSession, None
+    for t, df in tables.items():
+        cells = [F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in df.columns if (t, c) in columns]
+        if cells:
+            rows = df.select(F.explode(F.array(*cells)).alias("_x")).select(F.lit(t).alias("table"), "_x.column", "_x.value").where("value is not null")
+            long = rows if long is None else long.unionByName(rows)
+    checkpoint_dir(spark)
+    counts = long.groupBy("table", "column", "value").agg(F.count("*").alias("n")).checkpoint()
+    seen = counts.groupBy("table", "column").agg(F.sum("n").alias("rows"), F.max("n").alias("most"))  # a row for each column
+    asked = spark.createDataFrame(pairs, "child string, child_column string, parent string, parent_column string, named double")
+    asked = asked.join(seen.select(F.col("table").alias("child"), F.col("column").alias("child_column"), "rows"), ["child", "child_column"])
+    asked = asked.join(seen.where("most = 1").select(F.col("table").alias("parent"), F.col("column").alias("parent_column")), ["parent", "parent_column"])
+    held = counts.select(F.col("table").alias("parent"), F.col("column").alias("parent_column"), "value")
+    child = counts.select(F.col("table").alias("child"), F.col("column").alias("child_column"), "value", "n").join(F.broadcast(asked), ["child", "child_column"])  # a row for each pair of columns
+    met = child.join(held, ["parent", "parent_column", "value"]).groupBy("child", "child_column", "parent", "parent_column", "named", "rows").agg(F.sum("n").alias("met"))
+    share = F.col("met") / F.col("rows")
+    return met.select("child", "child_column", "parent", "parent_column", share.alias("share"), ((share + F.col("named")) / 2).alias("score")).where(F.col("share") >= least)
 
 
 def active_edges(edges: Sequence[tuple[str, str]]) -> list[bool]:

@@ -32,9 +32,11 @@ JDBC = {
     "dremio": ("jdbc:dremio:direct={host}:{port};schema={database}", 31010, "com.dremio.jdbc.Driver"),
     "clickhouse": ("jdbc:clickhouse://{host}:{port}/{database}", 8123, "com.clickhouse.jdbc.ClickHouseDriver"),
     "firebolt": ("jdbc:firebolt:{database}?host={host}&port={port}", 443, "com.firebolt.FireboltDriver"),
-    "essbase": ("jdbc:essbase://{host}:{port}/{database}", 9000, "com.essbase.jdbc.Driver"),
-    "sap_bw": ("jdbc:sapbw://{host}:{port}/{database}", 8000, "com.sap.bw.jdbc.Driver"),
 }
+#: Kinds without a JDBC driver of their own: read through a bridge, whose url and driver the caller names.
+BRIDGED = ("essbase", "sap_bw")
+#: Kinds of file store: the path says where, `kind` of what format.
+STORES = ("azure_blob", "prep_input")
 #: Kinds that a connector on the classpath reads, by its format name.
 CONNECTORS = {"bigquery": "bigquery", "snowflake": "snowflake", "mongodb": "mongodb", "cosmosdb": "cosmos.oltp", "delta": "delta", "iceberg": "iceberg"}
 #: Kinds that are tables of the session's catalog.
@@ -49,6 +51,14 @@ def read(spark: SparkSession, kind: str, **at) -> DataFrame:
     """A table by kind of source. Files: path and options; servers: host, database, table or query; catalog: table; web services: url and schema."""
     if kind in ("parquet", "orc", "text", "csv", "json", "xml"):
         return {"csv": csv, "json": json, "xml": xml}.get(kind, lambda s, path, **o: s.read.format(kind).options(**o).load(path))(spark, **at)
+    if kind in STORES:
+        return read(spark, at.pop("format", "parquet"), **at)
+    if kind == "excel":
+        return excel(spark, **at)
+    if kind == "staged":
+        return staged(spark, at["path"])[at["table"]]
+    if kind in BRIDGED:
+        return spark.read.format("jdbc").options(**{k: str(v) for k, v in at.items()}).load()
     if kind in JDBC:
         return jdbc(spark, kind, **at)
     if kind in CONNECTORS:
@@ -105,12 +115,76 @@ def xml(spark: SparkSession, path: str, row_tag: str, schema: str | None = None)
     return (reader.schema(schema) if schema else reader).load(path)
 
 
-def geojson(spark: SparkSession, path: str) -> DataFrame:
+def geojson(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     """A row for each feature: its properties, and its geometry as text."""
-    schema = spark.read.option("multiLine", True).json(path).select(F.explode("features").alias("f"))
+    schema = spark.read.option("multiLine", multiline).json(path).select(F.explode("features").alias("f"))
     return schema.select("f.properties.*", F.to_json("f.geometry").alias("geometry"))
 
 
+_SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+
+
+def _sheet_rows(content: bytes, sheet: int) -> list[dict[int, str]]:
+    """The cells of a workbook's sheet (from 1), by row and column from 0, as text."""
+    import io
+    import zipfile
+    from xml.etree import ElementTree
+
+    def text_of(node) -> str:
+        return "".join(t.text or "" for t in node.iter(_SHEET + "t"))
+
+    with zipfile.ZipFile(io.BytesIO(content)) as book:
+        shared = []
+        if "xl/sharedStrings.xml" in book.namelist():
+            shared = [text_of(x) for x in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(_SHEET + "si")]
+        rows = []
+        for row in ElementTree.fromstring(book.read(f"xl/worksheets/sheet{sheet}.xml")).iter(_SHEET + "row"):
+            cells: dict[int, str] = {}
+            for nth, cell in enumerate(row.iter(_SHEET + "c")):
+                letters = cell.get("r", "").rstrip("0123456789")
+                at = nth
+                if letters:
+                    at = 0
+                    for c in letters:
+                        at = 26 * at + ord(c) - 64
+                    at -= 1
+                value, kind = cell.find(_SHEET + "v"), cell.get("t")
+                if kind == "inlineStr":
+                    cells[at] = text_of(cell)
+                elif value is not None and value.text is not None:
+                    cells[at] = shared[int(value.text)] if kind == "s" else value.text
+            rows.append(cells)
+        return rows
+
+
+def excel(spark: SparkSession, path: str, schema: str, sheet: int = 1, header: bool = True) -> DataFrame:
+    """A sheet of each workbook that matches: its columns by place, as the schema names and types them; cells that do not fit are
+    NULL. A workbook is read in one task, as its format has no parts; many workbooks are read side by side."""
+    from pyspark.sql import types as T
+
+    wanted = T.StructType.fromDDL(schema)
+    as_text = ", ".join(f"`{f.name}` string" for f in wanted)
+
+    def cells(frames):
+        import pandas as pd
+
+        for frame in frames:
+            for content in frame["content"]:
+                rows = _sheet_rows(bytes(content), sheet)[int(header) :]
+                yield pd.DataFrame([[r.get(i) for i in range(len(wanted))] for r in rows], columns=wanted.names, dtype=object)
+
+    found = spark.read.format("binaryFile").load(path).select("content").mapInPandas(cells, as_text)
+    return found.select([F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in wanted])
+
+
+def staged(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The Parquet tables of a folder of staged extracts (a file or a folder each), by name."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    listed = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+    names = sorted(s.getPath().getName() for s in listed)
+    return {n.removesuffix(".parquet"): spark.read.parquet(f"{folder}/{n}") for n in names if not n.startswith(("_", "."))}
+
+
 def inline(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(list(rows), schema)
 
