@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 from ..operators import cleaning as K
 from ..operators import columns as C
 from ..operators import filters as X
+from ..operators.aggregates import fixed
 from .catalogue import query
 
 
@@ -77,12 +78,30 @@ def steps_demote_headers(t):
     return C.demote_headers(t("region"))
 
 
+@query("""SELECT o_orderkey, o_custkey, round(share, 6) AS share FROM (SELECT o.*, o_totalprice / sum(o_totalprice) OVER (PARTITION BY o_custkey) AS share FROM orders o WHERE o_orderstatus = 'F'
+AND o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' GROUP BY 1 ORDER BY round(sum(o_totalprice), 2) DESC, 1 LIMIT 10)) WHERE o_orderpriority = '1-URGENT'""")
+def filter_context(t):
+    """The ten largest customers and each one's whole among finished orders; their urgent orders' shares of it."""
+    top = lambda df: X.top_by(df, "o_custkey", F.round(F.sum("o_totalprice"), 2), 10)
+    whole = lambda df: fixed(df, ["o_custkey"], F.sum("o_totalprice"), "whole")
+    df = X.in_order(t("orders"), [F.col("o_orderstatus") == "F"], [top, whole], [F.col("o_orderpriority") == "1-URGENT"])
+    return df.select("o_orderkey", "o_custkey", F.round(F.col("o_totalprice") / F.col("whole"), 6).alias("share"))
+
+
 @query("SELECT CAST(r_regionkey AS VARCHAR) AS r_regionkey, r_name FROM region")
 def steps_promote_headers(t):
     df = C.demote_headers(t("region")).withColumn("_o", F.when(F.col("Column1") == "r_regionkey", 0).otherwise(1))
     return C.promote_headers(df, ["_o", "Column1"]).select("r_regionkey", "r_name")
 
 
+@query("SELECT 'r_regionkey' AS r_regionkey, 'r_name' AS r_name UNION ALL SELECT CAST(r_regionkey AS VARCHAR), r_name FROM region")
+def steps_promote_repeated_headers(t):
+    """Only the first of two rows of names goes."""
+    df = C.demote_headers(t("region"), "at")
+    twice = df.union(df.where("at = 0").withColumn("at", F.lit(2)))
+    return C.promote_headers(twice, ["at", "Column1"]).select("r_regionkey", "r_name")
+
+
 @query("SELECT n_nationkey, r.r_name AS region_name FROM nation JOIN region r ON n_regionkey = r_regionkey")
 def steps_expand_joined(t):
     side = t("region").select("r_regionkey", F.struct("r_name").alias("region"))

@@ -97,8 +97,8 @@ def stream_tumbling(t):
 
 @query("""SELECT user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS i FROM events) WHERE i = 1""")
 def stream_latest(t):
-    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    return t("events").withColumn("i", F.row_number().over(w)).where("i = 1").select("user_id", "event_type", "value")
+    last = t("events").groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type", "value")).alias("last"))
+    return last.select("user_id", "last.event_type", "last.value")
 
 
 @query("SELECT l_shipmonth AS m, l_returnflag, n FROM (SELECT strftime(l_shipdate, '%Y-%m') AS l_shipmonth, l_returnflag, count(*) AS n FROM lineitem GROUP BY 1, 2) WHERE n > 10")

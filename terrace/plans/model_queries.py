@@ -6,14 +6,14 @@ import datetime as dt
 import uuid
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import scalar as S
 from ..functions import scripts
 from ..operators import analytics as N
 from ..operators import model as M
 from ..operators import quality as Q
-from ..shared import checkpoint_dir
+from ..operators.joins import join
+from ..shared import checkpoint_dir, materialised
 from ..sources import readers, writers
 from ..streaming import incremental
 from .catalogue import query
@@ -239,8 +239,6 @@ def quality_coercions(t):
 
 @query("SELECT r_name, round(sum(c_acctbal), 2) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_acctbal > 0 GROUP BY 1")
 def flow_prepared(t):
-    from ..operators.joins import join
-
     flow = Flow({"customer": t("customer"), "nation": t("nation"), "region": t("region")})
     flow.step("positive", lambda c: c.where("c_acctbal > 0"), "customer")
     flow.step("places", lambda n, r: join(n, r, [("n_regionkey", "r_regionkey")]), "nation", "region")
@@ -307,23 +305,66 @@ def sink_xml_and_source_xml(t):
 
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
 def stream_windowed(t):
-    """Streams the events table once into a memory table."""
-    name = f"events_{uuid.uuid4().hex}"
-    folder = _folder(t)
+    """Streams the events table once into a table that each micro-batch replaces."""
+    folder, result = _folder(t), _folder(t)
     t("events").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(folder)
     stream = incremental.watch(t.spark, folder, t.spark.read.parquet(folder).schema)
     measures = {"n": F.count("*"), "total": F.round(F.sum("value"), 2)}
     out = incremental.windowed(stream, "ts", "1 hour", ["event_type"], measures)
-    query_ = out.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", _folder(t)).trigger(availableNow=True).start()
-    query_.awaitTermination()
-    return t.spark.table(name).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    replace = lambda batch, _: batch.write.mode("overwrite").parquet(result)
+    out.writeStream.foreachBatch(replace).outputMode("complete").option("checkpointLocation", _folder(t)).trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema(out.schema).parquet(result).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @query("SELECT user_id, max(ts) AS ts, count(*) AS n FROM events GROUP BY 1")
 def stream_table_twin(t):
-    w = Window.partitionBy("user_id")
-    df = t("events").select("user_id", F.max("ts").over(w).alias("ts"), F.count("*").over(w).alias("n"))
-    return df.distinct()
+    return t("events").groupBy("user_id").agg(F.max("ts").alias("ts"), F.count("*").alias("n"))
+
+
+@query("SELECT n_name, n_nationkey FROM nation")
+def source_geojson(t):
+    """Features written as text, one collection for each region, and read again."""
+    path = _folder(t)
+    place = F.struct(F.lit("Point").alias("type"), F.array(F.lit(1.5), F.col("n_regionkey").cast("double")).alias("coordinates"))
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct("n_name", "n_nationkey").alias("properties"), place.alias("geometry"))
+    collections = t("nation").groupBy("n_regionkey").agg(F.collect_list(feature).alias("features"))
+    collections.select(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features"))).write.text(path)
+    df = readers.geojson(t.spark, path, multiline=False)
+    return df.where(F.get_json_object("geometry", "$.type") == "Point").select("n_name", F.col("n_nationkey").cast("int").alias("n_nationkey"))
+
+
+@query("SELECT o_orderkey, CAST(substr(o_orderpriority, 1, 1) AS INT) AS p, CAST(NULL AS VARCHAR) AS p_error FROM orders WHERE o_orderstatus <> 'F' UNION ALL SELECT o_orderkey, NULL, o_orderpriority FROM orders WHERE o_orderstatus = 'F'")
+def source_guarded(t):
+    p = F.when(F.col("o_orderstatus") != "F", F.substring("o_orderpriority", 1, 1)).otherwise(F.col("o_orderpriority"))
+    return readers.guarded(t("orders").select("o_orderkey", p.alias("p")), "p", "int")
+
+
+@query("SELECT n_regionkey, count(*) AS n, true AS named FROM nation GROUP BY 1")
+def source_wildcard_union(t):
+    """A file for each region, read as one table that names the files."""
+    path = _folder(t)
+    writers.write_file(t("nation").withColumn("folder", F.col("n_regionkey")), path, "csv", partition_by=["folder"])
+    df = readers.wildcard_union(t.spark, f"{path}/folder=*/*.csv", schema="n_nationkey int, n_name string, n_regionkey int")
+    named = F.col("source_file").contains(F.concat(F.lit("folder="), F.col("n_regionkey")))
+    return df.groupBy("n_regionkey").agg(F.count("*").alias("n"), F.bool_and(named).alias("named"))
+
+
+@query("SELECT s_suppkey, s_name FROM supplier")
+def source_staged(t):
+    """A folder of staged tables: each is found by its name."""
+    path = _folder(t)
+    writers.write_file(t("supplier"), f"{path}/supplier.parquet")
+    writers.write_file(t("region"), f"{path}/region")
+    found = readers.staged(t.spark, path)
+    if sorted(found) != ["region", "supplier"]:
+        raise ValueError(f"staged tables {sorted(found)}")
+    return found["supplier"].select("s_suppkey", "s_name")
+
+
+@query("SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+def join_buffered(t):
+    """The joined side is made once, in the shared folder."""
+    return join(t("nation"), materialised(t("region")), [("n_regionkey", "r_regionkey")]).select("n_name", "r_name")
 
 
 @query("SELECT o_orderstatus, round(sum(o_totalprice), 2) AS total_o_totalprice FROM orders GROUP BY 1")

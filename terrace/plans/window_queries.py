@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from ..operators import reshape as R
 from ..operators import tablecalc as W
+from ..operators.spread import running_total
 from .catalogue import query
 
 _MONTHS = """WITH m AS (SELECT o_orderpriority AS p, date_trunc('month', o_orderdate) AS mon, round(sum(o_totalprice), 2) AS v, count(*) AS n FROM orders GROUP BY 1, 2) """
@@ -102,8 +103,9 @@ def calc_previous_value(t):
 
 @query("""SELECT user_id, event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 4) AS total FROM events""")
 def calc_running_events(t):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return t("events").select("user_id", "event_id", F.round(W.running(F.sum, F.col("value"), w), 4).alias("total"))
+    """Over rows, not marks: a user may hold any share of them."""
+    df = running_total(t("events").select("user_id", "ts", "event_id", "value"), ["user_id"], ["ts", "event_id"], F.col("value"), "total")
+    return df.select("user_id", "event_id", F.round("total", 4).alias("total"))
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 20")
@@ -160,14 +162,14 @@ def set_distinct_subset(t):
     return R.distinct(t("orders"), ["o_custkey"], [F.desc("o_orderdate"), F.asc("o_orderkey")]).select("o_custkey", "o_orderkey")
 
 
-@query("SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier WHERE s_suppkey % 3 = 0")
+@query("SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
 def set_intersect(t):
-    return t("customer").select(F.col("c_nationkey").alias("k")).intersect(t("supplier").where("s_suppkey % 3 = 0").select("s_nationkey"))
+    return t("customer").select(F.col("c_nationkey").alias("k")).intersect(t("supplier").select("s_nationkey"))
 
 
-@query("SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey % 3 = 0")
+@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
 def set_except(t):
-    return t("customer").select(F.col("c_nationkey").alias("k")).subtract(t("supplier").where("s_suppkey % 3 = 0").select("s_nationkey"))
+    return t("customer").select(F.col("c_custkey").alias("k")).subtract(t("orders").select("o_custkey"))
 
 
 @query("SELECT nullif(c_nationkey, 1) AS k FROM customer INTERSECT SELECT CASE WHEN s_nationkey % 3 <> 0 THEN s_nationkey END FROM supplier")

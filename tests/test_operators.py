@@ -1,6 +1,8 @@
 """Edge cases of the operators: nulls, ties, empty tables, names."""
 
 import datetime as dt
+import uuid
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,6 +18,7 @@ from terrace.operators import joins as J
 from terrace.operators import model as M
 from terrace.operators import quality as Q
 from terrace.operators import reshape as R
+from terrace.operators import spread
 from terrace.operators import tablecalc as W
 from terrace.plans.flow import Flow
 from terrace.sources import readers, writers
@@ -271,3 +274,85 @@ def test_whole_numbers_stay_exact(spark):
     assert one(spark, S.div(F.lit(-7), 2)) == -3 and one(spark, S.div(F.lit(7), 0)) is None
     assert one(spark, S.to_int(F.lit("3.7"))) == 3 and one(spark, S.to_int(F.lit("x"))) is None
     assert one(spark, S.make_time(F.lit(24), F.lit(0), F.lit(0))) is None and one(spark, S.make_datetime(*[F.lit(x) for x in (2023, 2, 30, 0, 0, 0)])) is None
+
+
+def test_promote_headers_keeps_rows_that_equal_the_names(spark):
+    df = spark.createDataFrame([(1, "id", "name"), (2, "jd", "b"), (3, "id", "name"), (4, "kc", "d")], "at int, a string, b string")
+    got = C.promote_headers(df, ["at"])
+    assert got.columns == ["1", "id", "name"] and rows(got, "id", "name") == [("id", "name"), ("jd", "b"), ("kc", "d")]
+    with pytest.raises(ValueError):
+        C.promote_headers(df.limit(0), ["at"])
+    demoted = C.demote_headers(df, "position")
+    assert demoted.orderBy("position").first()[0] == "at" and demoted.where("position = 1").count() == 4
+
+
+def test_percentiles_of_hot_and_null_groups(spark):
+    data = [("a", float(i % 50)) for i in range(1000)] + [("b", 1.0), ("b", 4.0), ("b", None), (None, 7.0), ("c", None)]
+    df = spark.createDataFrame(data, "k string, v double")
+    got = rows(spread.percentiles(df, ["k"], "v", {"lo": 0.1, "mid": 0.5, "top": 1.0}), "k", "lo", "mid", "top")
+    plain = df.where("v is not null").groupBy("k").agg(*[F.percentile("v", F.lit(p)).alias(n) for n, p in (("lo", 0.1), ("mid", 0.5), ("top", 1.0))])
+    assert [tuple(x) for x in got] == [tuple(x) for x in rows(plain, "k", "lo", "mid", "top")] and len(got) == 3
+    assert rows(spread.percentiles(df, [], "v", {"mid": 0.5}), "mid") == [(24.0,)]
+    assert spread.percentiles(df.limit(0), ["k"], "v", {"mid": 0.5}).count() == 0
+    med = rows(A.group(df, ["k"], [("v", "MEDIAN", "m"), ("v", "COUNT", "n")]), "k", "m", "n")
+    assert ("c", None, 0) in med and ("b", 2.5, 2) in med
+
+
+def test_running_totals_by_ranges(spark):
+    df = spark.createDataFrame([("a", i, None if i % 7 == 0 else float(i)) for i in range(300)] + [("b", 1, 2.0), (None, 1, 3.0), ("c", 1, None)], "k string, i int, v double")
+    w = Window.partitionBy("k").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    plain = df.withColumn("t", F.sum("v").over(w))
+    assert rows(spread.running_total(df, ["k"], ["i"], F.col("v"), "t"), "k", "i", "t") == rows(plain, "k", "i", "t")
+
+
+def test_inferred_by_names_and_values(spark):
+    sales = spark.createDataFrame([(1, 10, "x"), (2, 10, "y"), (3, 11, None), (4, None, "x")], "sale_id int, customer_id int, code string")
+    customer = spark.createDataFrame([(10, "n"), (11, "m"), (12, "k")], "id bigint, label string")
+    got = J.inferred({"sales": sales, "customer": customer})
+    assert rows(got, "child", "child_column", "parent", "parent_column", "share") == [("sales", "customer_id", "customer", "id", 1.0)]
+
+
+def test_cross_of_two_large_tables_is_an_error(spark):
+    a, b = spark.range(5).toDF("a"), spark.range(30).toDF("b")
+    assert J.cross(a, b, 5).columns == ["a", "b"] == J.cross(b, a, 5).select("a", "b").columns and J.cross(a, b, 5).count() == 150
+    with pytest.raises(ValueError):
+        J.cross(a, b, 4)
+
+
+def test_regex_and_nth_of_odd_texts(spark):
+    df = spark.createDataFrame([("a.b\\Ec\\Ed",), ("",), (None,)], "s string")
+    got = df.select(S.find_nth(F.col("s"), "\\E", 2).alias("n"), S.regexp_extract(F.col("s"), "(z*)", 1).alias("e"), S.regexp_extract(F.col("s"), "(q)", 1).alias("q")).collect()
+    assert [tuple(r) for r in got] == [(7, "", None), (0, "", None), (None, None, None)]
+
+
+def workbook(path, shared, sheets):
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(path, "w") as book:
+        book.writestr("xl/sharedStrings.xml", f"<sst {ns}>" + "".join(f"<si><t>{x}</t></si>" for x in shared) + "</sst>")
+        for i, sheet in enumerate(sheets, 1):
+            book.writestr(f"xl/worksheets/sheet{i}.xml", f"<worksheet {ns}><sheetData>{sheet}</sheetData></worksheet>")
+
+
+def test_excel_sheets_are_read(spark, tmp_path):
+    head = '<row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c><c r="C1" t="inlineStr"><is><t>when</t></is></c></row>'
+    body = '<row r="2"><c r="A2"><v>7</v></c><c r="C2" t="inlineStr"><is><t>2024-02-03</t></is></c></row><row r="3"><c r="A3" t="s"><v>2</v></c><c r="B3"><v>1.5</v></c></row>'
+    for name in "ab":
+        workbook(tmp_path / f"{name}.xlsx", ["id", "price", "no number"], ["", head + body])
+    got = readers.read(spark, "excel", path=f"{tmp_path}/*.xlsx", schema="id int, price double, `at day` date", sheet=2)
+    assert [tuple(r) for r in got.orderBy(F.desc_nulls_last("id")).collect()] == [(7, None, dt.date(2024, 2, 3))] * 2 + [(None, 1.5, None)] * 2
+
+
+def test_bridged_kinds_name_their_driver(spark):
+    assert not set(readers.BRIDGED) & set(readers.JDBC)
+    with pytest.raises(Exception, match="NoSuch|ClassNotFound|not.found|driver"):
+        readers.read(spark, "essbase", url="jdbc:nowhere:x", driver="no.such.Driver", dbtable="t")
+
+
+def test_buckets_of_a_written_table_spare_the_shuffle(spark):
+    names = [f"bucketed_{uuid.uuid4().hex}" for _ in range(2)]
+    for n in names:
+        writers.write_table(spark.range(100).select("id", (F.col("id") % 3).alias("v")), n, bucket_by=["id"], buckets=4)
+    joined = spark.table(names[0]).hint("merge").join(spark.table(names[1]), "id")
+    assert joined.count() == 100 and "Exchange hashpartitioning(id" not in joined._jdf.queryExecution().executedPlan().toString()
+    for n in names:
+        spark.sql(f"DROP TABLE {n}")
