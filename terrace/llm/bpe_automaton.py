@@ -211,4 +211,5 @@ def digests(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
 
 
 def op6_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Count and digests of every document's ids and decoded text. Null and empty texts have none; rows of one doc_id are encoded each."""
     return digests(common.table(spark, sf_dir, "documents"))

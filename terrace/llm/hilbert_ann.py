@@ -12,8 +12,8 @@ makes no large group. A range with more vectors than `held` is dealt out by hash
 holds one part, and queries pass. A score comes from one formula, whatever window found it.
 
 Vectors are compared with those of their own length, and each length has curves of its own. A length with fewer than FIT
-distinct vectors in the sample, too few to set ranges by, has none: its queries, and those whose windows held fewer than k
-others, are compared with all vectors of the length, block by block.
+distinct vectors in the sample has none, as ranges set by so few hold too few vectors for a recall of 0.9: its queries, and
+those whose windows held fewer than k others, are compared with all vectors of the length, block by block.
 
 Recall at 5 against brute force is in the README; it depends on the share of a curve that a window covers, not on the size.
 Vectors that are null, zero, or hold null or non-finite components take no part. A repeated vec_id is one candidate for each
@@ -37,7 +37,7 @@ CURVES, DIMENSIONS, BITS, RANGES, REACH = 32, 8, 3, 64, 1
 #: Rows that the index is fitted on, and vectors of a range that a task holds.
 SAMPLE, HELD = 8192, 4096
 #: Distinct vectors of a length in the sample that its ranges are set by, at least.
-FIT = 64
+FIT = 256
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -260,5 +260,6 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, **index) -> DataF
 
 
 def op4_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors to each row whose vec_id is divisible by 50. Rows without a usable vector take no part."""
     vectors = common.table(spark, sf_dir, "embeddings")
     return search(vectors, vectors.where("vec_id % 50 = 0").select("vec_id"))

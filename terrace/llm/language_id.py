@@ -134,5 +134,6 @@ def predicted(docs: DataFrame, model: KernelModel | None) -> DataFrame:
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from at most SAMPLE rows of each language outside fold 1. Texts without a letter are `und`; rows of one doc_id are labelled each."""
     docs = common.table(spark, sf_dir, "documents")
     return predicted(docs, fit(docs))

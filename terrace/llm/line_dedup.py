@@ -215,4 +215,5 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text without the blocks it has in common with earlier ones. Null texts and null doc_ids stay as they are; rows of one doc_id are not compared."""
     return removals(common.table(spark, sf_dir, "documents"))

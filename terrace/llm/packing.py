@@ -122,4 +122,5 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 0, tokenizer_p
 
 
 def op9_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every piece of every document in sequences of 1,024 ids. Null and empty texts are their end id; rows of one doc_id are packed each."""
     return pack(common.table(spark, sf_dir, "documents"))

@@ -202,5 +202,6 @@ def keep(docs: DataFrame, model: BagModel | float) -> DataFrame:
 
 
 def op10_passage_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document, learned from at most SAMPLE labelled rows of each kind outside fold 0. Null and empty texts are scored as one passage of zeros; rows of one doc_id each."""
     docs = common.table(spark, sf_dir, "documents")
     return scored(docs, fit(docs, common.table(spark, sf_dir, "labels")))

@@ -1,8 +1,8 @@
 """Quality rules: fixed base rules, then gradient-boosted trees over document statistics.
 
 The trees are grown on statistics of a bounded sample of labelled rows, with a score that may only fall as the shares of
-symbols, repeated lines, repeated words and capitals rise, and are laid out as complete binary trees in numpy arrays, which
-score all documents of a batch level by level. Each task scores its own rows: there is no shuffle.
+symbols, repeated lines, repeated and doubled words, capitals and exclamation marks rise (six constraints set by hand). They
+are laid out as complete binary trees in numpy arrays, which score all documents of a batch level by level. Each task scores its own rows: there is no shuffle.
 
 A null or empty text has no words and fails the base rules. Repeated or null doc_ids are judged row by row. Without labelled
 rows of both kinds the base rules alone decide.
@@ -155,5 +155,6 @@ def keep(docs: DataFrame, trees: Trees | None) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document, by base rules and then trees learned outside fold 0. Null and empty texts fail the base rules; rows of one doc_id are judged each."""
     docs = common.table(spark, sf_dir, "documents")
     return verdicts(docs, fit(docs, common.table(spark, sf_dir, "labels")))

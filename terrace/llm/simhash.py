@@ -272,4 +272,5 @@ def keep_first(docs: DataFrame) -> DataFrame:
 
 
 def op2_simhash_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and group of every document. Null and empty texts have fingerprint zero; rows of one doc_id are listed each."""
     return groups(common.table(spark, sf_dir, "documents"))

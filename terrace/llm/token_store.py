@@ -283,6 +283,7 @@ def document_digests(store: DataFrame) -> DataFrame:
 
 
 def op1_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Start, length and checksum of every document's ids, read back from Re-Pair shards. Null and empty texts are their end id; equal and null doc_ids are documents of their own."""
     docs = common.table(spark, sf_dir, "documents")
     store = common.written(encode_shards(docs), "token-shards")
     return document_digests(store)

@@ -357,5 +357,6 @@ def scored(docs: DataFrame, model: LinearModel) -> DataFrame:
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document, learned from at most SAMPLE labelled rows of each kind outside fold 0. Null and empty texts are scored as texts without words; rows of one doc_id each."""
     docs = common.table(spark, sf_dir, "documents")
     return scored(docs, fit(docs, common.table(spark, sf_dir, "labels")))
