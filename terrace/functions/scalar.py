@@ -184,6 +184,17 @@ def cot(c: Column) -> Column:
     return F.try_divide(F.lit(1.0), F.tan(c))
 
 
+def hexbin(x: Column, y: Column) -> tuple[Column, Column]:
+    """The centre of the hexagon of side 1 that the point lies in: the centres are two rectangular grids, shifted by half a cell,
+    and the nearer of a point's two nearest is its own."""
+    wide = F.sqrt(F.lit(3.0))
+    a = (wide * F.round(x / wide), F.lit(3.0) * F.round(y / 3.0))
+    b = (wide * (F.floor(x / wide) + 0.5), F.lit(3.0) * (F.floor(y / 3.0) + 0.5))
+    away = lambda c: (x - c[0]) * (x - c[0]) + (y - c[1]) * (y - c[1])
+    near = away(a) <= away(b)
+    return F.when(near, a[0]).otherwise(b[0]), F.when(near, a[1]).otherwise(b[1])
+
+
 def distance(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = 6371.0) -> Column:
     """Great-circle distance in the radius's unit."""
     a, b = F.radians(lat1), F.radians(lat2)

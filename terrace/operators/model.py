@@ -121,6 +121,11 @@ def any_role(predicates: Sequence[Column]) -> Column:
     return out
 
 
+def user_domain(user: str) -> Column:
+    """What stands before the backslash of a login; empty without one."""
+    return F.lit(user.rpartition("\\")[0])
+
+
 def user_attribute(attributes: Mapping[str, str], name: str) -> Column:
     """NULL for an attribute that the user has not."""
     return F.lit(attributes.get(name)).cast("string")

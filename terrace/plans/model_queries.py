@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..functions import scripts
 from ..operators import analytics as N
+from ..operators import cleaning as K
 from ..operators import model as M
 from ..operators import quality as Q
 from ..operators.joins import join
@@ -206,10 +207,14 @@ def analytics_clusters(t):
     return N.clusters(t("supplier"), ["s_acctbal", "s_nationkey"], 3).select("s_suppkey", "cluster")
 
 
-@query()
+@query("""WITH s AS (SELECT count(*)::DOUBLE AS a, sum(q) AS b, sum(q * q) AS c, sum(q * q * q) AS d, sum(q * q * q * q) AS e, sum(p) AS x, sum(q * p) AS y, sum(q * q * p) AS z
+FROM (SELECT CAST(l_quantity AS DOUBLE) AS q, CAST(l_extendedprice AS DOUBLE) AS p FROM lineitem)), m AS (SELECT *, a * (c * e - d * d) - b * (b * e - c * d) + c * (b * d - c * c) AS w FROM s)
+SELECT 0 AS power, round((x * (c * e - d * d) - b * (y * e - d * z) + c * (y * d - c * z)) / w, 3) AS coefficient FROM m
+UNION ALL SELECT 1, round((a * (y * e - d * z) - x * (b * e - c * d) + c * (b * z - y * c)) / w, 3) FROM m
+UNION ALL SELECT 2, round((a * (c * z - y * d) - b * (b * z - y * c) + x * (b * d - c * c)) / w, 3) FROM m""")
 def analytics_trend_polynomial(t):
     c = N.polynomial_trend(t("lineitem"), "l_quantity", "l_extendedprice", 2)
-    return t.spark.createDataFrame([(i, v) for i, v in enumerate(c)], "power int, coefficient double")
+    return t.spark.createDataFrame([(i, round(v, 3) + 0.0) for i, v in enumerate(c)], "power int, coefficient double")
 
 
 @query("""SELECT c_nationkey, e AS expected, a AS actual, a IS NOT NULL AND abs(e - a) <= 0.01 * abs(e) AS ok FROM (SELECT c_nationkey, round(sum(c_acctbal), 2) AS e FROM customer GROUP BY 1)
@@ -264,6 +269,22 @@ def source_custom_sql(t):
     return readers.custom_sql(t.spark, sql, {"least": 30.0}, lineitem=t("lineitem"))
 
 
+@query("""WITH h AS (SELECT o_orderkey, o_totalprice / 1000.0 AS x, o_custkey / 7.0 AS y FROM orders), c AS (SELECT *, sqrt(3.0) * round(x / sqrt(3.0)) AS ax, 3.0 * round(y / 3.0) AS ay,
+sqrt(3.0) * (floor(x / sqrt(3.0)) + 0.5) AS bx, 3.0 * (floor(y / 3.0) + 0.5) AS by_ FROM h), d AS (SELECT *, (x - ax) * (x - ax) + (y - ay) * (y - ay) <= (x - bx) * (x - bx) + (y - by_) * (y - by_) AS near FROM c)
+SELECT o_orderkey, round(CASE WHEN near THEN ax ELSE bx END, 6) AS hx, round(CASE WHEN near THEN ay ELSE by_ END, 6) AS hy FROM d""")
+def scalar_hexbin(t):
+    x, y = S.hexbin(F.col("o_totalprice") / 1000.0, F.col("o_custkey") / 7.0)
+    return t("orders").select("o_orderkey", F.round(x, 6).alias("hx"), F.round(y, 6).alias("hy"))
+
+
+@query("SELECT n_nationkey, n_name AS name, n_regionkey AS region FROM nation")
+def clean_parse_xml(t):
+    """Fields of a text column of XML records."""
+    record = F.concat(F.lit("<row><name>"), F.col("n_name"), F.lit("</name><region>"), F.col("n_regionkey"), F.lit("</region></row>"))
+    df = t("nation").select("n_nationkey", K.xml_record(record, "name string, region int").alias("x"))
+    return df.select("n_nationkey", "x.name", "x.region")
+
+
 @query("SELECT 1 AS id, 'a' AS name UNION ALL SELECT 2, NULL")
 def source_inline(t):
     return readers.inline(t.spark, [(1, "a"), (2, None)], "id int, name string")

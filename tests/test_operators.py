@@ -356,3 +356,7 @@ def test_buckets_of_a_written_table_spare_the_shuffle(spark):
     assert joined.count() == 100 and "Exchange hashpartitioning(id" not in joined._jdf.queryExecution().executedPlan().toString()
     for n in names:
         spark.sql(f"DROP TABLE {n}")
+
+
+def test_user_domain(spark):
+    assert one(spark, M.user_domain("corp\\ann")) == "corp" and one(spark, M.user_domain("ann")) == ""
