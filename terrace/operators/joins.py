@@ -187,6 +187,59 @@ def inferred(tables: Mapping[str, DataFrame], least: float = 0.95, alike: float
     return met.select("child", "child_column", "parent", "parent_column", share.alias("share"), ((share + F.col("named")) / 2).alias("score")).where(F.col("share") >= least)
 
 
+def resolve(columns: Sequence[str], wanted: str) -> str | None:
+    """The column that a relationship means: of that very name, else the only one that is the same but for case, spaces, marks
+    and a table in front; None if there is none or more than one."""
+    if wanted in columns:
+        return wanted
+    plain = lambda c: "".join(x for x in c.rpartition(".")[2].lower() if x.isalnum())
+    found = [c for c in columns if plain(c) == plain(wanted)]
+    return found[0] if len(found) == 1 else None
+
+
+def join_path(edges: Sequence[tuple[str, str]], start: str, end: str) -> list[str] | None:
+    """The tables from start to end along the fewest relationships, the earlier ones first; None if they do not meet."""
+    back: dict[str, str] = {start: start}
+    queue = [start]
+    for table in queue:
+        for a, b in edges:
+            for x, y in ((a, b), (b, a)):
+                if x == table and y not in back:
+                    back[y] = x
+                    queue.append(y)
+    if end not in back:
+        return None
+    path = [end]
+    while path[-1] != start:
+        path.append(back[path[-1]])
+    return path[::-1]
+
+
+def diagnose(tables: Mapping[str, DataFrame], relationships: Sequence[tuple[str, str, str, str]]) -> list[tuple[str, str]]:
+    """(problem, where) of a model's relationships (child, child column, parent, parent column), from schemas alone: a table or
+    column that is not there, keys whose types do not compare, a second path between two tables, a table that nothing joins."""
+    out, sound = [], []
+    for c, x, p, y in relationships:
+        where, kinds = f"{c}.{x} -> {p}.{y}", []
+        for t, column in ((c, x), (p, y)):
+            found = resolve(tables[t].columns, column) if t in tables else None
+            if t not in tables:
+                out.append(("no such table", t))
+            elif found is None:
+                out.append(("no such column", f"{t}.{column}"))
+            else:
+                kinds.append(dict(tables[t].dtypes)[found])
+        if len(kinds) == 2:
+            sound.append((c, p, where))
+            if kinds[0] != kinds[1] and widened(*kinds) == "string":
+                out.append(("types do not compare", where))
+    for (_, _, where), active in zip(sound, active_edges([(c, p) for c, p, _ in sound]), strict=True):
+        if not active:
+            out.append(("second path", where))
+    joined = {t for c, p, _ in sound for t in (c, p)}
+    return out + [("joined by nothing", t) for t in tables if t not in joined]
+
+
 def active_edges(edges: Sequence[tuple[str, str]]) -> list[bool]:
     """Which relationships stay active so that any two tables have one path: the earlier ones win."""
     parent: dict[str, str] = {}

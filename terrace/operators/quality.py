@@ -122,6 +122,20 @@ def personal_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if re.search(_PERSONAL, c)]
 
 
+def definition_conflicts(models: Mapping[str, Mapping[str, str]]) -> list[tuple[str, list[str]]]:
+    """Measures that several models define unlike each other (spaces and case aside), with the models."""
+    plain = lambda text: "".join(text.lower().split())
+    names = sorted({m for held in models.values() for m in held})
+    unlike = [m for m in names if len({plain(held[m]) for held in models.values() if m in held}) > 1]
+    return [(m, [model for model, held in models.items() if m in held]) for m in unlike]
+
+
+def unmet(needs: Mapping[str, Sequence[str]], columns: Sequence[str]) -> list[tuple[str, str]]:
+    """(measure, name) of what measures need and neither a measure nor a column is. A cycle of measures is an error."""
+    order_of([(n, m) for m, all_of in needs.items() for n in all_of])
+    return [(m, n) for m, all_of in needs.items() for n in all_of if n not in needs and n not in columns]
+
+
 def order_of(edges: Sequence[tuple[str, str]]) -> list[str]:
     """Names so that each comes after what it needs; edges (needed, needing). A cycle is an error."""
     from graphlib import TopologicalSorter

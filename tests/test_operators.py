@@ -360,3 +360,23 @@ def test_buckets_of_a_written_table_spare_the_shuffle(spark):
 
 def test_user_domain(spark):
     assert one(spark, M.user_domain("corp\\ann")) == "corp" and one(spark, M.user_domain("ann")) == ""
+
+
+def test_relationships_are_resolved_and_diagnosed(spark):
+    assert J.resolve(["Order ID", "order_date"], "[Orders].[order_id]") == "Order ID"
+    assert J.resolve(["a b", "a_b"], "AB") is None and J.resolve(["a b", "a_b"], "a_b") == "a_b" and J.resolve([], "x") is None
+    edges = [("sales", "customer"), ("customer", "city"), ("sales", "city")]
+    assert J.join_path(edges[:2], "city", "sales") == ["city", "customer", "sales"] and J.join_path(edges, "city", "sales") == ["city", "sales"]
+    assert J.join_path(edges, "city", "other") is None
+    empty = lambda ddl: spark.createDataFrame([], ddl)
+    tables = {"sales": empty("id int, customer_id int, city string"), "customer": empty("id bigint, city string"), "city": empty("name string, code int"), "log": empty("at date")}
+    found = J.diagnose(tables, [("sales", "Customer ID", "customer", "id"), ("customer", "city", "city", "name"), ("sales", "city", "city", "code"), ("sales", "x", "shop", "id")])
+    assert found == [("types do not compare", "sales.city -> city.code"), ("no such column", "sales.x"), ("no such table", "shop"), ("second path", "sales.city -> city.code"), ("joined by nothing", "log")]
+
+
+def test_measures_are_checked_across_models():
+    models = {"a": {"total": "SUM(x)", "mean": "AVG(x)"}, "b": {"total": "sum( x )", "mean": "SUM(x) / COUNT(x)"}, "c": {}}
+    assert Q.definition_conflicts(models) == [("mean", ["a", "b"])]
+    assert Q.unmet({"share": ["total", "whole"], "total": ["x"]}, ["x"]) == [("share", "whole")]
+    with pytest.raises(Exception, match="cycle"):
+        Q.unmet({"a": ["b"], "b": ["a"]}, [])
