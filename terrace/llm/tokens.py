@@ -14,7 +14,7 @@ import regex
 from tokenizers import Tokenizer
 
 #: Pre-tokens kept in a task: two generations of so many.
-KEPT = 300_000
+KEPT = 200_000
 
 #: public_tokenizers.PATTERN for texts of Latin-1 letters only, where re is three times as fast as regex.
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", " \\t-\\r\\x85\\xa0"
