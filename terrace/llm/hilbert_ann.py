@@ -6,8 +6,8 @@ on every curve, a query to its own range and to the next on either side. There i
 keeps its nearest; the windows of all curves merge by query and are ranked once more.
 
 The index (directions, quantiles, range ends) is fitted on the distinct vectors of a bounded sample; every row is indexed.
-A vector is divided by its largest component first, so that no norm over- or underflows and exact multiples of one vector are
-equal. Equal vectors are searched once, with the smallest ids they stand for, so that a vector a third of the table holds
+A vector is brought to components of 1 or less by a power of two, which keeps all its bits, so that no norm over- or underflows;
+scores divide it by its largest component, so that exact multiples of one vector are ties. Equal vectors are searched once, with the smallest ids they stand for, so that a vector a third of the table holds
 makes no large group. A range with more vectors than `held` is dealt out by hash, and its queries go to each part: a task
 holds one part, and queries pass. A score comes from one formula, whatever window found it.
 
@@ -96,17 +96,21 @@ def _rows(vectors: list[bytes], width: int) -> np.ndarray:
     return np.frombuffer(b"".join(vectors), np.float64).reshape(-1, width)
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    return x / np.abs(x).max(axis=1, keepdims=True)
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Cosine of each row of x with the same row of y, whose largest components are 1 or -1."""
+    """Cosine of each row of x with the same row of y, as scaled by _scaled()."""
     return np.clip((x * y).sum(axis=1) / np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1)), -1.0, 1.0)
 
 
 def valid(vectors: DataFrame) -> DataFrame:
-    """vec_id and the vector over its largest component in doubles (v, little-endian bytes; n of them) of the rows that take part."""
+    """vec_id and the vector over a power of two in doubles (v, little-endian bytes; n of them) of the rows that take part."""
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = pa.schema([("vec_id", pa.int64()), ("n", pa.int32()), ("v", pa.binary())])
@@ -118,7 +122,7 @@ def valid(vectors: DataFrame) -> DataFrame:
                     top = np.abs(a).max()
                     if 0 < top < np.inf:
                         ids.append(vec_id)
-                        found.append((a / top + 0.0).tobytes())  # -0.0 and 0.0 are equal
+                        found.append((np.ldexp(a, -int(np.frexp(top)[1])) + 0.0).tobytes())  # -0.0 and 0.0 are equal
             yield common.record(out, [ids, [len(b) // 8 for b in found], found])
 
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
@@ -186,9 +190,9 @@ def compared(placed: DataFrame, k: int) -> DataFrame:
                 ids += many[:m]
                 if m < b - a and vectors:
                     if held is None or len(held) != len(vectors):
-                        held = _rows(vectors, len(vectors[0]) // 8)
+                        held = _scaled(_rows(vectors, len(vectors[0]) // 8))
                         unit = _unit(held)
-                    for i, j, score in _nearest(_rows(v[m:], held.shape[1]), [x[0] for x in many[m:]], held, unit, ids, k):
+                    for i, j, score in _nearest(_scaled(_rows(v[m:], held.shape[1])), [x[0] for x in many[m:]], held, unit, ids, k):
                         found.append((number[m + i], ids[j][0], ids[j], score))
             yield common.record(out, list(zip(*found, strict=True)) or [[]] * 4)
 
