@@ -35,7 +35,6 @@ from . import common
 from .tokens import _L, _N, _S, PieceCache, byte_letters
 
 
-
 class Automaton:
     """The automaton of an ordered list of merges over a vocabulary of symbols and tokens. A symbol is a letter, or the letter and
     `end` that closes a word."""
@@ -51,7 +50,8 @@ class Automaton:
         dead = set()
         for rank, (a, b, ab) in enumerate(merges):
             if dead.intersection((a, b)) or not self.step(a, b):
-                dead.add(ab)  # an earlier merge takes its parts apart: its gadget finds no arcs, and adds none
+                dead.add(ab)  # an earlier merge takes its parts apart: its gadget finds no arcs, adds none and takes none
+                continue
             of_state[ab] = list(of_state[b])
             for arc, when in of_state[ab]:
                 self.lost[ab * n + arc] = when

@@ -657,29 +657,46 @@ def test_automaton_digests_of_odd_and_no_rows(odd, empty):
     assert bpe_automaton.digests(empty).count() == 0
 
 
+def plain_merging(word, merges, vocab):
+    parts = list(word)
+    for x, y in merges:
+        out, i = [], 0
+        while i < len(parts):
+            if parts[i : i + 2] == [x, y]:
+                out.append(x + y)
+                i += 2
+            else:
+                out.append(parts[i])
+                i += 1
+        parts = out
+    return tuple(vocab[p] for p in parts)
+
+
 def test_small_automaton_against_merging():
     merges = [("a", "a"), ("a", "b"), ("aa", "b"), ("b", "a"), ("aa", "aa"), ("ab", "ab"), ("ba", "b")]
     vocab = {s: i for i, s in enumerate(dict.fromkeys(["a", "b"] + [x + y for x, y in merges]))}
     auto = bpe_automaton.Automaton(vocab, merges)
 
-    def merged(word):
-        parts = list(word)
-        for x, y in merges:
-            out, i = [], 0
-            while i < len(parts):
-                if parts[i : i + 2] == [x, y]:
-                    out.append(x + y)
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
-        return tuple(vocab[p] for p in parts)
-
     for n in range(1, 11):
         for bits in range(1 << n):
             word = "".join("ab"[bits >> i & 1] for i in range(n))
-            assert auto.encode(word) == merged(word), word
+            assert auto.encode(word) == plain_merging(word, merges, vocab), word
+
+
+def test_random_automata_against_merging():
+    rng = np.random.default_rng(6)
+    words = ["".join("abc"[d] for d in digits) for n in range(1, 7) for digits in np.ndindex(*[3] * n)]
+    for _ in range(60):
+        labels, merges = ["a", "b", "c"], []
+        for _ in range(int(rng.integers(2, 12))):
+            x, y = (labels[i] for i in rng.integers(0, len(labels), 2))
+            if (x, y) not in merges and x + y not in labels:  # a label is made by one merge
+                merges.append((x, y))
+                labels.append(x + y)
+        vocab = {s: i for i, s in enumerate(labels)}
+        auto = bpe_automaton.Automaton(vocab, merges)
+        for word in words:
+            assert auto.encode(word) == plain_merging(word, merges, vocab), (merges, word)
 
 
 # 8: lines
