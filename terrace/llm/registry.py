@@ -14,6 +14,7 @@ from .packing import op9_harmonic_packing
 from .passage_quality import op10_passage_quality
 from .quality_rules import op7_quality_rules
 from .simhash import op2_simhash_anchor
+from .spelling import op13_spelling_variants
 from .token_store import op1_repair_tokens
 from .toxicity import op3_toxicity
 
@@ -28,6 +29,7 @@ OPERATORS = (
     op8_line_dedup,
     op9_harmonic_packing,
     op10_passage_quality,
+    op13_spelling_variants,
 )
 
 
