@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_automaton import op6_bpe_automaton
+from .hard_negatives import op12_hard_negatives
 from .hilbert_ann import op4_hilbert_ann
 from .language_id import op5_language_id
 from .line_dedup import op8_line_dedup
@@ -29,6 +30,7 @@ OPERATORS = (
     op8_line_dedup,
     op9_harmonic_packing,
     op10_passage_quality,
+    op12_hard_negatives,
     op13_spelling_variants,
 )
 
