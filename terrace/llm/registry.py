@@ -16,6 +16,7 @@ from .passage_quality import op10_passage_quality
 from .quality_rules import op7_quality_rules
 from .simhash import op2_simhash_anchor
 from .spelling import op13_spelling_variants
+from .token_counts import op11_token_counts
 from .token_store import op1_repair_tokens
 from .toxicity import op3_toxicity
 
@@ -30,6 +31,7 @@ OPERATORS = (
     op8_line_dedup,
     op9_harmonic_packing,
     op10_passage_quality,
+    op11_token_counts,
     op12_hard_negatives,
     op13_spelling_variants,
 )

@@ -76,14 +76,24 @@ class ByteBpe:
         if any(s in text for s in self.special):
             return b"".join([i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
         cache = self._cache
+        ids = b"".join([cache[p] for p in self.pieces(text)])
+        cache.trim()
+        return ids
+
+    def pieces(self, text: str) -> list[str]:
+        """The pre-tokens of a text without special strings."""
         try:
             text.encode("latin-1")
-            pieces = self._split_latin(text)
         except UnicodeEncodeError:
-            pieces = self._split(text)
-        ids = b"".join([cache[p] for p in pieces])
-        cache.trim()
-        return ids
+            return self._split(text)
+        return self._split_latin(text)
+
+    def ids(self, piece: str) -> bytes:
+        """The ids of a pre-token, which are kept until trim()."""
+        return self._cache[piece]
+
+    def trim(self) -> None:
+        self._cache.trim()
 
 
 @lru_cache(maxsize=2)
