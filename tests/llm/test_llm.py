@@ -947,3 +947,46 @@ def test_sample_is_bounded_by_stratum(spark):
     df = spark.range(5000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 40, "rare").when(F.col("id") < 4000, "often").alias("s"))
     got = {r[0]: r[1] for r in common.sampled(df, "doc_id", "s", 100).groupBy("s").count().collect()}
     assert got == {"rare": 40, "often": 100, None: 100}
+
+
+def test_partners_are_the_holders_of_rare_lines(spark):
+    lines = [f"line {i} has six words here" for i in range(24)]
+    evens, odds = ("\n".join(x for i, line in enumerate(lines) if i % 2 == k for x in (line, f"own words {i}")) for k in (0, 1))
+    later = "\n".join(edited(lines, 3, "z"))
+    own = "\n".join(x for x in later.split("\n") if x.startswith("new"))
+    assert lines_left(spark, evens, odds, "\n".join(lines), later)[3] == own  # the first two hold its lines first, the third its order
+
+
+def test_blocks_come_from_alignments(spark, monkeypatch):
+    rows = [(r["doc_id"], r["text"]) for r in documents(spark, SF1).collect()]
+    texts = dict(rows)
+    whole = by_patience = 0
+    for p in line_dedup.partners(documents(spark, SF1)).collect():
+        (_, words, mine), (_, _, other) = (line_dedup.solid_lines(texts[p[c]]) for c in ("doc_id", "first_doc"))
+        found = [b - a for a, b in line_dedup.joined(line_dedup.common_blocks(mine, other, words))]
+        with monkeypatch.context() as m:
+            m.setattr(line_dedup, "growing_chains", lambda pairs: [])
+            by_patience += sum(b - a for a, b in line_dedup.joined(line_dedup.common_blocks(mine, other, words)))
+            m.setattr(line_dedup, "patience", lambda *x: [])
+            assert line_dedup.common_blocks(mine, other, words) == []
+        whole += sum(found)
+    assert whole >= by_patience > 0.9 * whole
+
+
+def test_growing_chains_are_as_few_as_can_be():
+    rng = np.random.default_rng(14)
+    for n in range(1, 50):
+        pairs = list(enumerate(rng.integers(0, 20, n).tolist()))
+        chains = line_dedup.growing_chains(pairs)
+        assert sorted(p for c in chains for p in c) == pairs and all(a[1] < b[1] for c in chains for a, b in zip(c, c[1:], strict=False))
+        falling = brute_chain([(x, 20 * n - n * y + x) for x, y in pairs])  # the longest choice whose values do not grow
+        assert len(chains) == falling
+
+
+def test_very_common_lines_of_odd_documents(spark):
+    license_text = "\n".join(f"license line {i} with some words in it" for i in range(12))
+    rows = [(i, f"own line of document {i}\n{license_text}") for i in range(300)] + [(7, "same id other text\n" + license_text), (None, license_text), (400, None), (401, ""), (402, license_text + "\nown words after it")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["text"]) for r in line_dedup.removals(df).collect()), key=str)
+    cut = [(i, t if i in (0, None) or not t else t.replace("\n" + license_text, "").replace(license_text + "\n", "")) for i, t in rows]
+    assert got == sorted(cut, key=str)
