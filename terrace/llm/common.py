@@ -14,7 +14,7 @@ from terrace.shared import checkpoint_dir
 
 #: Documents handled at once inside a task; bounds a task's memory whatever the Arrow batch size.
 SLICE_ROWS = 256
-#: Kinds of label that are learned from at most, the most frequent ones.
+#: Strata of a sample unless said otherwise, the most frequent ones.
 STRATA = 32
 
 
@@ -58,6 +58,14 @@ def sampled(df: DataFrame, key: str, stratum: str, most: int, strata: int = STRA
     return thin.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank")
 
 
+def bounded(rows: DataFrame, size: str, total: int, key: str = "doc_id") -> DataFrame:
+    """Of a sample of rows (a bounded number), in the order of a hash of their key, as many as have sizes of `total` in all; a row that
+    has a sixteenth of it alone is left out. Rows are taken whole or not at all."""
+    order = Window.orderBy(F.xxhash64(F.col(key).cast("string"), F.lit(3)), key, size)
+    fit = rows.where(F.col(size) <= total // 16).withColumn("_sum", F.sum(size).over(order))
+    return fit.where(F.col("_sum") <= total).drop("_sum")
+
+
 def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, folds: int = 5) -> DataFrame:
     """doc_id, text, label of at most `most` training rows for each label value; rows of fold 0 never get in."""
     ok = labels.where((fold(F.col("doc_id"), folds) != 0) & F.col(label).isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).distinct()

@@ -11,9 +11,9 @@ scores divide it by its largest component, so that exact multiples of one vector
 makes no large group. A range with more vectors than `held` is dealt out by hash, and its queries go to each part: a task
 holds one part, and queries pass. A score comes from one formula, whatever window found it.
 
-Vectors are compared with those of their own length, and each length has curves of its own. A length with fewer than FIT
-distinct vectors in the sample has none, as ranges set by so few hold too few vectors for a recall of 0.9: its queries, and
-those whose windows held fewer than k others, are compared with all vectors of the length, block by block.
+Vectors are compared with those of their own length, and each length has curves of its own, fitted on its own part of the
+sample. A length with fewer than FIT distinct vectors has none, as ranges set by so few hold too few vectors for a recall of
+0.9: its queries, and those whose windows held fewer than k others, are compared with all vectors of the length, block by block.
 
 Recall at 5 against brute force is in the README; it depends on the share of a curve that a window covers, not on the size.
 Vectors that are null, zero, or hold null or non-finite components take no part. A repeated vec_id is one candidate for each
@@ -34,10 +34,10 @@ from pyspark.sql.window import Window
 from . import common
 
 CURVES, DIMENSIONS, BITS, RANGES, REACH = 32, 8, 3, 64, 1
-#: Rows that the index is fitted on, and vectors of a range that a task holds.
+#: Distinct vectors that the index is fitted on, and vectors of a range that a task holds.
 SAMPLE, HELD = 8192, 4096
-#: Distinct vectors of a length in the sample that its ranges are set by, at least.
-FIT = 256
+#: Distinct vectors of a length that has curves, at least; and such lengths at most, the most frequent ones.
+FIT, LENGTHS = 256, 8
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -204,11 +204,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, **index) -> DataF
     """query_id, rank, vec_id, score, query_row: the k nearest vectors(vec_id, embedding) found for each of the rows that have a
     vec_id of queries."""
     rows = common.written(valid(vectors), "vectors")
+    data = common.written(distinct_vectors(rows, k), "distinct-vectors")
+    lengths = data.select("n").distinct().limit(LENGTHS).count()
     sample: dict[int, set[bytes]] = {}
-    for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect():
+    for r in common.sampled(data.select(F.col("ids")[0].alias("id"), "n", "v"), "id", "n", SAMPLE // max(1, lengths), LENGTHS).collect():
         sample.setdefault(r["n"], set()).add(bytes(r["v"]))
     curves = {n: Curves(_unit(_rows(sorted(some), n)), **index) for n, some in sample.items() if len(some) >= FIT}
-    data = common.written(distinct_vectors(rows, k), "distinct-vectors")
     asked = rows.join(queries.select(F.col("vec_id").cast("long").alias("vec_id")).distinct(), "vec_id", "left_semi").distinct()
     asked = asked.select(F.monotonically_increasing_id().alias("query"), "vec_id", F.xxhash64("v").alias("query_row"), "n", "v")
     asked = common.written(asked, "queries")  # the numbers of the queries are settled here
@@ -254,8 +255,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, **index) -> DataF
     blocks = -(-data.count() // HELD) or 1
     # the rest: against all vectors of the length, in blocks
     place_of = lambda block: F.shiftleft(F.col("n").cast("long"), 32) + block
-    lengths = rest.select("n").distinct()
-    every = data.join(lengths, "n", "left_semi").select(place_of(F.pmod(F.xxhash64("v"), F.lit(blocks))).alias("place"), F.lit(False).alias("is_query"), F.col("ids")[0].alias("id"), "ids", "v")
+    every = data.join(rest.select("n").distinct(), "n", "left_semi").select(place_of(F.pmod(F.xxhash64("v"), F.lit(blocks))).alias("place"), F.lit(False).alias("is_query"), F.col("ids")[0].alias("id"), "ids", "v")
     block = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("_block")
     passing = rest.select("n", "v", "query", "vec_id", block).select(place_of(F.col("_block")).alias("place"), F.lit(True).alias("is_query"), F.col("query").alias("id"), F.array("vec_id").alias("ids"), "v")
     whole = ranked(compared(every.union(passing), k))

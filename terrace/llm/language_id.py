@@ -5,7 +5,8 @@ the geometric mean of their own counts. Landmarks are drawn from a bounded sampl
 kernel to them feeds one-versus-rest kernel ridge regression, fitted on the driver. A task turns its texts into 0/1 rows over
 the n-gram buckets and scores them by two matrix products: with the landmarks' rows, then with the coefficients.
 
-At most the 32 most frequent languages are learned. Whole texts are read, lower-cased. A null text, or one without a letter, is `und` with score 0; so is every text if no row
+Every language with a labelled row is learned, up to ROWS of them; ROWS and MARKS are shared out among the languages where there
+are many. Whole texts are read, lower-cased. A null text, or one without a letter, is `und` with score 0; so is every text if no row
 can be learned from. Repeated or null doc_ids are labelled row by row.
 """
 
@@ -23,6 +24,8 @@ from . import common
 BUCKETS = 1 << 14
 #: Rows of each language that are learned from, and those of them that are landmarks.
 SAMPLE, LANDMARKS = 300, 48
+#: Rows, and landmarks, of all languages.
+ROWS, MARKS = 20_000, 1536
 _MIX = np.array([2654435761, 2246822519, 3266489917, 668265263], np.uint32)
 
 
@@ -75,6 +78,7 @@ def unpacked(packed: np.ndarray) -> np.ndarray:
 def fit_rows(packed: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, ridge: float = 1e-2) -> KernelModel:
     """packed: the n-gram row of each text, eight buckets a byte. The first rows of each language are its landmarks."""
     names = sorted(set(langs))
+    landmarks = max(1, min(landmarks, MARKS // len(names)))
     y = np.array([names.index(v) for v in langs])
     picked = np.concatenate([np.flatnonzero(y == k)[:landmarks] for k in range(len(names))])
     mark = unpacked(packed[picked])
@@ -88,17 +92,18 @@ def fit_rows(packed: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, r
     return KernelModel(names, mark, (whiten @ beta).astype(np.float32))
 
 
-def fit(docs: DataFrame, most: int = SAMPLE) -> KernelModel | None:
-    """Learns from at most `most` rows of each language outside fold 1 of 3."""
+def fit(docs: DataFrame, most: int = SAMPLE, rows: int = ROWS) -> KernelModel | None:
+    """Learns from at most `most` rows of each language outside fold 1 of 3, and `rows` of all."""
     ok = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (common.fold(F.col("doc_id"), 3) != 1) & (F.trim("lang") != ""))
     ok = ok.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    few = common.sampled(ok.select("doc_id", "lang").distinct(), "doc_id", "lang", most)
+    languages = ok.select("lang").distinct().count()
+    few = common.sampled(ok.select("doc_id", "lang").distinct(), "doc_id", "lang", max(1, min(most, rows // max(1, languages))), rows)
     one = ok.join(F.broadcast(few), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one"))
-    rows = grams(one.select("one.h", "one.text", "lang")).collect()
-    rows.sort(key=lambda r: (r["h"], r["lang"], r["packed"]))  # by hash, so that landmarks are drawn at random
-    if not rows:
+    found = grams(one.select("one.h", "one.text", "lang")).collect()
+    found.sort(key=lambda r: (r["h"], r["lang"], r["packed"]))  # by hash, so that landmarks are drawn at random
+    if not found:
         return None
-    return fit_rows(np.stack([np.frombuffer(r["packed"], np.uint8) for r in rows]), [r["lang"] for r in rows])
+    return fit_rows(np.stack([np.frombuffer(r["packed"], np.uint8) for r in found]), [r["lang"] for r in found])
 
 
 def grams(rows: DataFrame) -> DataFrame:

@@ -3,8 +3,8 @@
 A document is a bag of passages of 64 words. Every passage is encoded by a dense layer from what it says and how it is
 written: the embeddings of its words and word pairs, by hash, and its character and word statistics. A gated attention layer
 weighs the passages, and the weighted mean of their codes is scored. All layers, embeddings included, are learned together
-from document labels alone, by Adam on a bounded sample of labelled rows; of a longer document PASSAGES evenly spaced
-passages are learned from. Each task then scores its own documents, every passage of them, so there is no shuffle.
+from document labels alone, by Adam on a bounded sample of labelled rows: of SAMPLE rows of each kind as many as hold PASSAGES
+passages, each with all of its own. Each task then scores its own documents, every passage of them, so there is no shuffle.
 
 A null or empty text is a bag of one passage of zeros. Repeated or null doc_ids are scored row by row. Without labelled rows
 of both kinds every score is the share of good rows in the sample, or 0.5.
@@ -23,8 +23,8 @@ from . import common, textstats
 
 #: Labelled rows of each kind that the model is fitted on.
 SAMPLE = 2500
-#: Passages of a document that the model is fitted on at most, and hashed words and word pairs that have embeddings.
-PASSAGES, BUCKETS = 16, 1024
+#: Passages of all these rows, and hashed words and word pairs that have embeddings.
+PASSAGES, BUCKETS = 50_000, 1024
 #: Passages that a task encodes at a time.
 BLOCK = 2048
 #: A score from here on predicts label 1; the scores are shifted so that the sample is split best here.
@@ -143,21 +143,19 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
     """The model, or the share of label 1 if the sample holds one kind only."""
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("x", pa.binary()), ("row", pa.binary()), ("bucket", pa.binary())])
+        out = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("n", pa.int32()), ("x", pa.binary()), ("row", pa.binary()), ("bucket", pa.binary())])
         for batch in common.slices(batches):
             owner, x, *words = textstats.passages_and_words(common.text_bytes(batch))
             row, bucket = contents(*words)
             at = np.searchsorted(owner, np.arange(batch.num_rows + 1))
             parts = []
             for a, b in zip(at[:-1], at[1:], strict=True):
-                some = np.unique(np.linspace(a, b - 1, min(PASSAGES, b - a)).astype(np.int64))
                 i, j = np.searchsorted(row, [a, b])
-                held = np.isin(row[i:j], some)
-                parts.append((x[some].tobytes(), np.searchsorted(some, row[i:j][held]).astype(np.uint16).tobytes(), bucket[i:j][held].astype(np.uint16).tobytes()))
+                parts.append((int(b - a), x[a:b].tobytes(), (row[i:j] - a).astype(np.uint16).tobytes(), bucket[i:j].astype(np.uint16).tobytes()))
             yield common.record(out, [batch.column("doc_id"), batch.column("label").cast(pa.int32()), *zip(*parts, strict=True)])
 
-    ddl = "doc_id long, label int, x binary, row binary, bucket binary"
-    rows = common.labelled(docs, labels, label, most).mapInArrow(encoded, ddl).collect()
+    ddl = "doc_id long, label int, n int, x binary, row binary, bucket binary"
+    rows = common.bounded(common.labelled(docs, labels, label, most).mapInArrow(encoded, ddl), "n", PASSAGES).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["label"], r["x"], r["bucket"]))
     y = np.array([r["label"] for r in rows], float)
     if not 0 < y.sum() < len(y):

@@ -10,7 +10,7 @@ mutual information. Labels serve to estimate the voters' accuracies and correlat
 on votes and words is trained on the model's posterior, for labelled and unlabelled rows alike. It scores all documents, task
 by task and without a shuffle.
 
-Votes and at most SENT words of a sampled text go to the driver, not texts. A null or empty text gets the score of a text
+Votes and the distinct words of a sampled text go to the driver, not texts: of the sampled rows as many as have SENT bytes of words. A null or empty text gets the score of a text
 without votes or words. Repeated or null doc_ids are scored row by row; other columns are ignored; an empty table yields no
 rows. Without labelled rows the lexicons' starting accuracies stand.
 """
@@ -33,8 +33,8 @@ from . import common
 SAMPLE, UNLABELLED = 2500, 2500
 #: Words of the linear classifier at most, each of five standard deviations from chance.
 WORDS = 500
-#: Distinct words of a sampled text that are learned from at most, those of least hash, and folds of the mined lexicons.
-SENT, FOLDS = 400, 3
+#: Bytes of the distinct words of all sampled rows, and folds of the mined lexicons.
+SENT, FOLDS = 24_000_000, 3
 
 #: Common insults by theme.
 LEXICONS = {
@@ -328,10 +328,11 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, unlabelled: int
             for text in batch.column("text").to_pylist():
                 base, held = voters.base(text)
                 votes.append(base)
-                words.append("\n".join(sorted((w for w in held if len(w) < 50), key=lambda w: zlib.crc32(w.encode()))[:SENT]))
+                words.append("\n".join(sorted(held)))
             yield common.record(out, [batch.column("doc_id"), batch.column("label").cast(pa.int32()), votes, words])
 
-    found = rows.mapInArrow(seen, "doc_id long, label int, votes array<int>, words string").collect()
+    sent = rows.mapInArrow(seen, "doc_id long, label int, votes array<int>, words string").withColumn("bytes", F.octet_length("words"))
+    found = common.bounded(sent, "bytes", SENT).drop("bytes").collect()
     found.sort(key=lambda r: (r["doc_id"], -r["label"]))
     first = {r["doc_id"]: r for r in reversed(found)}  # a labelled row over the same one unlabelled
     found = [first[i] for i in sorted(first)]
