@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import web
@@ -122,10 +122,39 @@ def geojson(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame
 
 
 _SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
 
-def _sheet_rows(content: bytes, sheet: int) -> list[dict[int, str]]:
-    """The cells of a workbook's sheet (from 1), by row and column from 0, as text."""
+def _column(letters: str) -> int:
+    """A column's place, from 0, by its letters."""
+    at = 0
+    for c in letters:
+        at = 26 * at + ord(c) - 64
+    return at - 1
+
+
+def _sheet_file(book, sheet: int | str) -> tuple[str | None, bool]:
+    """The part that holds a sheet, by its name or its place among the tabs from 1, and whether the workbook counts days from 1904."""
+    import posixpath
+    from xml.etree import ElementTree
+
+    if "xl/workbook.xml" not in book.namelist():
+        name = f"xl/worksheets/sheet{sheet}.xml"
+        return name if name in book.namelist() else None, False
+    root = ElementTree.fromstring(book.read("xl/workbook.xml"))
+    since_1904 = any(x.get("date1904") in ("1", "true") for x in root.iter(_SHEET + "workbookPr"))
+    tabs = list(root.iter(_SHEET + "sheet"))
+    found = next((t for i, t in enumerate(tabs, 1) if sheet == i or sheet == t.get("name")), None)
+    if found is None:
+        return None, since_1904
+    links = ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))
+    target = next(x.get("Target") for x in links if x.get("Id") == found.get(_LINK))
+    return posixpath.normpath(posixpath.join("/xl", target)).lstrip("/"), since_1904
+
+
+def _sheet_rows(content: bytes, sheet: int | str) -> tuple[list[dict[int, str]], bool]:
+    """The cells of a workbook's sheet, by row and column from 0, as text, and whether days count from 1904. A workbook without
+    the sheet has no rows."""
     import io
     import zipfile
     from xml.etree import ElementTree
@@ -134,47 +163,66 @@ def _sheet_rows(content: bytes, sheet: int) -> list[dict[int, str]]:
         return "".join(t.text or "" for t in node.iter(_SHEET + "t"))
 
     with zipfile.ZipFile(io.BytesIO(content)) as book:
+        part, since_1904 = _sheet_file(book, sheet)
         shared = []
         if "xl/sharedStrings.xml" in book.namelist():
             shared = [text_of(x) for x in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(_SHEET + "si")]
         rows = []
-        for row in ElementTree.fromstring(book.read(f"xl/worksheets/sheet{sheet}.xml")).iter(_SHEET + "row"):
+        for row in ElementTree.fromstring(book.read(part)).iter(_SHEET + "row") if part else ():
             cells: dict[int, str] = {}
             for nth, cell in enumerate(row.iter(_SHEET + "c")):
                 letters = cell.get("r", "").rstrip("0123456789")
-                at = nth
-                if letters:
-                    at = 0
-                    for c in letters:
-                        at = 26 * at + ord(c) - 64
-                    at -= 1
+                at = _column(letters) if letters else nth
                 value, kind = cell.find(_SHEET + "v"), cell.get("t")
                 if kind == "inlineStr":
                     cells[at] = text_of(cell)
-                elif value is not None and value.text is not None:
+                elif value is not None and value.text is not None and kind != "e":
                     cells[at] = shared[int(value.text)] if kind == "s" else value.text
             rows.append(cells)
-        return rows
+        return rows, since_1904
 
 
-def excel(spark: SparkSession, path: str, schema: str, sheet: int = 1, header: bool = True) -> DataFrame:
-    """A sheet of each workbook that matches: its columns by place, as the schema names and types them; cells that do not fit are
-    NULL. A workbook is read in one task, as its format has no parts; many workbooks are read side by side."""
+def _typed(c: Column, kind, since_1904: Column) -> Column:
+    """A cell's text as a column of that type. Numbers of days are dates; whole numbers may be written with a fraction of zero."""
+    from pyspark.sql import types as T
+
+    number = c.try_cast("double")
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        # day 60 of 1900 is a leap day that never was; days of 1904 count from 0
+        days = F.when(since_1904, number + 1462).otherwise(F.when(number < 60, number + 1).otherwise(number)) - 25569
+        whole = F.floor(days)
+        within = F.round((days - whole) * 86400, 3).cast("decimal(9,3)")
+        at = F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(whole.try_cast("int"), F.lit(0), F.lit(0), within)
+        return F.when(number.isNotNull(), at.cast(kind)).otherwise(c.try_cast(kind))
+    if isinstance(kind, T.IntegralType):
+        return F.coalesce(c.try_cast(kind), F.when(number == F.floor(number), number.try_cast(kind)))
+    return c.try_cast(kind)
+
+
+def workbook_rows(books: DataFrame, schema: str, sheet: int | str = 1, header: bool = True) -> DataFrame:
+    """The rows of a sheet of each workbook in the binary column `content`: its columns by place, as the schema names and types
+    them; cells that do not fit are NULL. sheet: its name, or its place among the tabs. A workbook is read in one task, as its
+    format has no parts; many workbooks are read side by side."""
     from pyspark.sql import types as T
 
     wanted = T.StructType.fromDDL(schema)
-    as_text = ", ".join(f"`{f.name}` string" for f in wanted)
+    as_text = ", ".join(f"`{f.name}` string" for f in wanted) + ", `__1904` boolean"
 
     def cells(frames):
         import pandas as pd
 
         for frame in frames:
             for content in frame["content"]:
-                rows = _sheet_rows(bytes(content), sheet)[int(header) :]
-                yield pd.DataFrame([[r.get(i) for i in range(len(wanted))] for r in rows], columns=wanted.names, dtype=object)
+                rows, since_1904 = _sheet_rows(bytes(content), sheet)
+                yield pd.DataFrame([[*(r.get(i) for i in range(len(wanted))), since_1904] for r in rows[int(header) :]], columns=[*wanted.names, "__1904"], dtype=object)
+
+    found = books.select("content").mapInPandas(cells, as_text)
+    return found.select([_typed(F.col(f"`{f.name}`"), f.dataType, F.col("__1904")).alias(f.name) for f in wanted])
+
 
-    found = spark.read.format("binaryFile").load(path).select("content").mapInPandas(cells, as_text)
-    return found.select([F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in wanted])
+def excel(spark: SparkSession, path: str, schema: str, sheet: int | str = 1, header: bool = True) -> DataFrame:
+    """workbook_rows() of the files that match."""
+    return workbook_rows(spark.read.format("binaryFile").load(path), schema, sheet, header)
 
 
 def staged(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
