@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,12 +13,14 @@ from ..shared import checkpoint_dir
 _BEFORE = (Window.unboundedPreceding, -1)
 
 
-def ranged(df: DataFrame, by: Sequence[Column | str]) -> DataFrame:
-    """df in ranges of `by`, with __at (its place) and __part (its range). A job runs: the ranges are a checkpoint, as their ends
-    depend on a sample and must not be drawn twice."""
+def ranged(df: DataFrame, by: Sequence[Column | str], then: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """df in ranges of `by`, with __at (its place) and __part (its range). A job runs: the ranges, and what `then` makes of them,
+    are a checkpoint, as their ends depend on a sample and must not be drawn twice."""
     checkpoint_dir(df.sparkSession)
-    out = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id()).checkpoint()
-    return out.withColumn("__part", F.shiftright("__at", 33))
+    out = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id())
+    if then is None:
+        return out.checkpoint().withColumn("__part", F.shiftright("__at", 33))
+    return then(out.withColumn("__part", F.shiftright("__at", 33))).checkpoint()
 
 
 def beside(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
