@@ -47,19 +47,31 @@ def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], valu
 
 
 def percentiles(df: DataFrame, keys: Sequence[str], column: str, shares: Mapping[str, float]) -> DataFrame:
-    """keys and a percentile for each new name, interpolated between the two nearest values; groups of NULLs only are left out.
+    """order_statistics() of one column."""
+    return order_statistics(df, keys, {n: (column, p) for n, p in shares.items()})
 
-    Rows are counted by key and value first; of the prefix sums of these counts only the values at the wanted places are kept.
+
+def order_statistics(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[str, float]]) -> DataFrame:
+    """keys and a percentile (column, share) for each new name, interpolated between the two nearest values; groups of NULLs only are
+    left out.
+
+    Rows are counted by key, column and value first, all columns in one pass; of the prefix sums of these counts only the values
+    at the wanted places are kept.
     """
-    by = list(keys) or ["__all"]
-    held = df.select(*keys, F.col(column).cast("double").alias("__value")).where("__value is not null")
-    held = held if keys else held.withColumn("__all", F.lit(1))
-    counts = held.groupBy(*by, "__value").agg(F.count("*").alias("__n"))
+    columns = list(dict.fromkeys(c for c, _ in wanted.values()))
+    by = [*keys, "__column"]
+    if len(columns) == 1:
+        held = df.select(*keys, F.lit(0).alias("__column"), F.col(columns[0]).cast("double").alias("__value"))
+    else:
+        cells = [F.struct(F.lit(i).alias("__column"), F.col(c).cast("double").alias("__value")) for i, c in enumerate(columns)]
+        held = df.select(*keys, F.inline(F.array(*cells)))
+    counts = held.where("__value is not null").groupBy(*by, "__value").agg(F.count("*").alias("__n"))
     run = running_total(counts, by, ["__value"], F.col("__n"), "__to", "__count")
-    places = {name: F.lit(p) * (F.col("__count") - 1) for name, p in shares.items()}
-    value_at = lambda place: F.min(F.when((place >= F.col("__to") - F.col("__n")) & (place < F.col("__to")), F.col("__value")))
-    found = run.groupBy(*by).agg(
-        F.max("__count").alias("__count"), *[value_at(F.floor(at)).alias(f"__low_{n}") for n, at in places.items()], *[value_at(F.ceil(at)).alias(f"__high_{n}") for n, at in places.items()]
-    )
-    between = lambda n, at: F.col(f"__low_{n}") + (F.col(f"__high_{n}") - F.col(f"__low_{n}")) * (at - F.floor(at))
-    return found.select(*keys, *[between(n, at).alias(n) for n, at in places.items()])
+    places = {name: (columns.index(c), F.lit(p) * (F.col("__count") - 1)) for name, (c, p) in wanted.items()}
+    value_at = lambda i, place: F.min(F.when((F.col("__column") == i) & (place >= F.col("__to") - F.col("__n")) & (place < F.col("__to")), F.col("__value")))
+    each = []
+    for name, (i, at) in places.items():
+        each += [F.max(F.when(F.col("__column") == i, at - F.floor(at))).alias(f"__at_{name}"), value_at(i, F.floor(at)).alias(f"__low_{name}"), value_at(i, F.ceil(at)).alias(f"__high_{name}")]
+    found = run.groupBy(*keys).agg(*each) if keys else run.agg(*each).where(F.coalesce(*[F.col(f"__low_{n}") for n in wanted]).isNotNull())
+    between = lambda n: F.col(f"__low_{n}") + (F.col(f"__high_{n}") - F.col(f"__low_{n}")) * F.col(f"__at_{n}")
+    return found.select(*keys, *[between(n).alias(n) for n in wanted])
