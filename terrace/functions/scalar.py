@@ -284,3 +284,14 @@ def make_time(hour: Column, minute: Column, second: Column) -> Column:
 
 def date_parse(pattern: str, c: Column) -> Column:
     return F.try_to_timestamp(c, F.lit(pattern))
+
+
+# clock
+def now(at=None) -> Column:
+    """The moment of the query, one for all its rows; `at` (a datetime or a Column) stands for it in tests and repeated runs."""
+    return F.current_timestamp() if at is None else _lit(at)
+
+
+def today(at=None) -> Column:
+    """The day of now()."""
+    return now(at).cast("date")
