@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 
 from ..operators.quality import order_of
+from .lineage import column_lineage, marked
 
 
 @dataclass
@@ -44,6 +45,11 @@ class Flow:
                 out[name] = set().union(*(out[i] for i in self.steps[name][1]))
         return {n: out[n] for n in self.steps}
 
+    def column_lineage(self, output: str) -> tuple[dict[str, set[str]], set[str]]:
+        """Of an output: the sources' columns ("source::column") that each of its columns is made from, and those that decide on its rows."""
+        told = Flow({n: marked(n, df) for n, df in self.sources.items()}, self.steps)
+        return column_lineage(told.results([output])[output])
+
     def profile(self) -> dict[str, int]:
         """Numbers of inputs, steps and outputs, and the longest chain."""
         depth: dict[str, int] = {}
