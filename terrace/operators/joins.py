@@ -158,22 +158,64 @@ def _alike(tables: Mapping[str, DataFrame], least: float) -> list[tuple[str, str
     return out
 
 
+#: Logarithm of the hashes that a column's sketch keeps: shares are off by some per cent.
+SKETCH_K = 12
+
+
+def column_sketches(tables: Mapping[str, DataFrame], columns: set[tuple[str, str]]) -> DataFrame:
+    """table, column, rows (with a value), sketch of the distinct values (as text): a row for each column. Each table is read once, and
+    no value is shuffled: a task passes on one sketch of each column."""
+    out, spark = None, next(iter(tables.values())).sparkSession
+    for t, df in tables.items():
+        mine = [c for c in df.columns if (t, c) in columns]
+        if not mine:
+            continue
+        value = lambda c: F.col(f"`{c}`").cast("string")
+        one = df.agg(*[f.alias(f"{n}{i}") for i, c in enumerate(mine) for n, f in (("r", F.count(value(c))), ("s", F.theta_sketch_agg(F.concat(F.lit("="), value(c)), SKETCH_K)))])  # a sketch leaves out empty texts
+        cells = [F.struct(F.lit(c).alias("column"), F.col(f"r{i}").alias("rows"), F.col(f"s{i}").alias("sketch")) for i, c in enumerate(mine)]
+        found = one.select(F.lit(t).alias("table"), F.inline(F.array(*cells)))
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        raise ValueError("no columns to sketch")
+    checkpoint_dir(spark)
+    return out.checkpoint()
+
+
+def likely(tables: Mapping[str, DataFrame], pairs: Sequence[tuple[str, str, str, str, float]], slack: float = 0.1) -> list[tuple[str, str, str, str, float]]:
+    """Of pairs (child, child_column, parent, parent_column, ...) those whose sketches do not rule them out: the parent's values may be
+    distinct, and some of the child's may be among them. The sketches err by less than `slack`."""
+    if not pairs:
+        return []
+    held = column_sketches(tables, {(t, c) for a, x, b, y, *_ in pairs for t, c in ((a, x), (b, y))})
+    spark = held.sparkSession
+    asked = spark.createDataFrame([(i, a, x, b, y) for i, (a, x, b, y, *_) in enumerate(pairs)], "i int, child string, child_column string, parent string, parent_column string")
+    child = held.select(F.col("table").alias("child"), F.col("column").alias("child_column"), F.col("sketch").alias("mine"))
+    parent = held.select(F.col("table").alias("parent"), F.col("column").alias("parent_column"), "rows", F.col("sketch").alias("theirs"))
+    met = asked.join(child, ["child", "child_column"]).join(parent, ["parent", "parent_column"])
+    distinct, both = F.theta_sketch_estimate("theirs"), F.theta_sketch_estimate(F.theta_intersection("mine", "theirs"))
+    found = met.where((distinct >= F.col("rows") * (1 - slack)) & (both > 0)).select("i").collect()  # a number for each pair
+    return [pairs[i] for i in sorted(r["i"] for r in found)]
+
+
 def inferred(tables: Mapping[str, DataFrame], least: float = 0.95, alike: float = 0.5) -> DataFrame:
     """child, child_column, parent, parent_column, share, score of the relationships that names suggest and data bear out: the
     parent's column names a row, and holds that share of the child's rows with a key. score: mean of share and likeness of names.
 
-    Every table is read once: the values of all its candidate columns are counted together, and columns meet by value.
+    Every table is read twice: once for sketches, which leave the likely pairs, and once for the values of their columns, which
+    are counted together, and meet by value.
     """
-    pairs = _alike(tables, alike)
-    columns = {(t, c) for a, x, b, y, _ in pairs for t, c in ((a, x), (b, y))}
-    if not columns:
+    named = _alike(tables, alike)
+    if not named:
         raise ValueError("no columns whose names are alike")
-    spark, long = next(iter(tables.values())).sparkSession, None
+    pairs, spark, long = likely(tables, named), next(iter(tables.values())).sparkSession, None
+    columns = {(t, c) for a, x, b, y, _ in pairs for t, c in ((a, x), (b, y))}
     for t, df in tables.items():
         cells = [F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in df.columns if (t, c) in columns]
         if cells:
             rows = df.select(F.explode(F.array(*cells)).alias("_x")).select(F.lit(t).alias("table"), "_x.column", "_x.value").where("value is not null")
             long = rows if long is None else long.unionByName(rows)
+    if long is None:
+        return spark.createDataFrame([], "child string, child_column string, parent string, parent_column string, share double, score double")
     checkpoint_dir(spark)
     counts = long.groupBy("table", "column", "value").agg(F.count("*").alias("n")).checkpoint()
     seen = counts.groupBy("table", "column").agg(F.sum("n").alias("rows"), F.max("n").alias("most"))  # a row for each column

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terrace.operators import aggregates, similar, sketches, spread
+from terrace.operators import aggregates, joins, similar, sketches, spread
 
 
 def rows(df):
@@ -93,3 +93,24 @@ def test_order_statistics_of_many_columns_in_one_pass(spark):
     assert spread.order_statistics(df, [], wanted).count() == 1 and spread.order_statistics(df.limit(0), [], wanted).count() == 0
     grouped = aggregates.group(df, ["k"], [("x", "MEDIAN", "mx"), ("y", "MEDIAN", "my"), ("*", "COUNT", "n")])
     assert {r["k"]: r["n"] for r in grouped.collect()} == {None: 100, "a": 100, "b": 1}
+
+
+def test_sketches_leave_all_relationships(spark, sf_dir, monkeypatch):
+    names = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+    tables = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}
+    pairs = joins._alike(tables, 0.3)
+    left = joins.likely(tables, pairs)
+    found = rows(joins.inferred(tables, alike=0.3))
+    with monkeypatch.context() as m:
+        m.setattr(joins, "likely", lambda tables, pairs: pairs)
+        whole = rows(joins.inferred(tables, alike=0.3))
+    assert found == whole and len(found) >= 4 and {r[:4] for r in found} <= {p[:4] for p in left} and len(left) < 0.7 * len(pairs)
+
+
+def test_sketches_of_odd_columns(spark):
+    a = spark.createDataFrame([("", 1), ("x", 2), (None, None)], "code string, other int")
+    b = spark.createDataFrame([("", 5), ("x", 5), ("x", 5), ("q", 5)], "a_code string, n int")
+    got = joins.column_sketches({"a": a, "b": b}, {("a", "code"), ("a", "other"), ("b", "a_code")})
+    assert rows(got.select("table", "column", "rows", F.theta_sketch_estimate("sketch"))) == [("a", "code", 2, 2), ("a", "other", 2, 2), ("b", "a_code", 4, 3)]
+    assert [p[:4] for p in joins.likely({"a": a, "b": b}, [("b", "a_code", "a", "code", 1.0), ("a", "code", "b", "a_code", 1.0), ("a", "other", "a", "code", 1.0)])] == [("b", "a_code", "a", "code")]
+    assert joins.inferred({"a": a, "b": b}, least=0.9).count() == 0 and rows(joins.inferred({"a": a, "b": b}, least=0.7).select("share")) == [(0.75,)]
