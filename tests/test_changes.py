@@ -141,3 +141,25 @@ def test_days_and_whole_numbers_of_a_sheet(spark, tmp_path, since_1904):
     assert got[1] == (day, at, None, "3", False, None)
     first = (dt.date(1904, 1, 2), dt.datetime(1904, 2, 29)) if since_1904 else (dt.date(1900, 1, 1), dt.datetime(1900, 2, 28))
     assert got[2] == (*first, None, "", None, None)
+
+
+def test_scratch_removes_what_was_written_inside(spark):
+    from pathlib import Path
+
+    from terrace import shared
+
+    df = spark.range(5)
+    outer = shared.materialised(df)
+    with shared.scratch(spark):
+        one = shared.materialised(df)
+        with shared.scratch(spark):
+            two = shared.materialised(one)
+            paths = [Path(x.inputFiles()[0].removeprefix("file://")).parent for x in (outer, one, two)]
+            assert two.count() == 5 and all(p.exists() for p in paths)
+        assert [p.exists() for p in paths] == [True, True, False]
+    assert [p.exists() for p in paths] == [True, False, False] and outer.count() == 5
+    with pytest.raises(Cut), shared.scratch(spark):
+        three = shared.materialised(df)
+        raise Cut
+    assert not Path(three.inputFiles()[0].removeprefix("file://")).exists()
+    shared.remove_folder(spark, str(paths[0]))
