@@ -123,8 +123,12 @@ def personal_columns(df: DataFrame) -> list[str]:
 
 
 def definition_conflicts(models: Mapping[str, Mapping[str, str]]) -> list[tuple[str, list[str]]]:
-    """Measures that several models define unlike each other (spaces and case aside), with the models."""
-    plain = lambda text: "".join(text.lower().split())
+    """Measures that several models define unlike each other, with the models. Spaces and case count in quoted texts and names only;
+    a sum in another order is another definition."""
+    import re
+
+    parts = lambda text: re.split(r"""('(?:[^']|'')*'|"(?:[^"]|"")*"|`[^`]*`)""", text)
+    plain = lambda text: tuple(p if i % 2 else "".join(p.lower().split()) for i, p in enumerate(parts(text)))
     names = sorted({m for held in models.values() for m in held})
     unlike = [m for m in names if len({plain(held[m]) for held in models.values() if m in held}) > 1]
     return [(m, [model for model, held in models.items() if m in held]) for m in unlike]

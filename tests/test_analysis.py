@@ -105,3 +105,10 @@ def test_points_in_rings_against_all_pairs(spark, cell):
     truth = sorted((i, j) for i, x, y in points if x is not None for j, r in rings if r and len(r) > 2 and inside((x, y), r))
     assert sorted((r["i"], r["j"]) for r in got.select("i", "j").collect()) == truth and len(truth) > 30
     assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_quoted_texts_of_definitions_count():
+    from terrace.operators.quality import definition_conflicts
+
+    models = {"a": {"x": "SUM( v )", "y": "IF(s = 'A b', 1)", "z": '"q q"', "w": "'it''s' || b"}, "b": {"x": "sum(v)", "y": "if(s='a B',1)", "z": '"qq"', "w": "'it''s'||B"}}
+    assert definition_conflicts(models) == [("y", ["a", "b"]), ("z", ["a", "b"])]

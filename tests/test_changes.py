@@ -163,3 +163,26 @@ def test_scratch_removes_what_was_written_inside(spark):
         raise Cut
     assert not Path(three.inputFiles()[0].removeprefix("file://")).exists()
     shared.remove_folder(spark, str(paths[0]))
+
+
+DERBY = {"host": "here", "database": "none", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+
+
+def test_servers_are_read_side_by_side(spark):
+    """Through a database that lives in this process: a table, a query, in parts by a column, with what is pushed down."""
+    url = "jdbc:derby:memory:terrace;create=true"
+    rows = spark.range(100).select(F.col("id").cast("int").alias("ID"), F.concat(F.lit("n"), "id").alias("NAME"), F.when(F.col("id") % 7 != 0, F.col("id") * 1.5).alias("PRICE"))
+    rows.write.format("jdbc").options(url=url, dbtable="ITEMS", driver=DERBY["driver"]).save()
+    for kind in ("postgresql", "mysql", "oracle", "db2"):
+        got = readers.read(spark, kind, table="ITEMS", url=url, split=("ID", 0, 100, 4), **DERBY)
+        assert got.rdd.getNumPartitions() == 4 and held(got) == held(rows)
+    asked = readers.read(spark, "sql_server", query="SELECT ID, PRICE FROM ITEMS WHERE ID < 10", url=url, **DERBY)
+    assert held(asked.where("PRICE > 8")) == [(6, 9.0), (8, 12.0), (9, 13.5)]
+    one = readers.read(spark, "essbase", url=url, driver=DERBY["driver"], dbtable="ITEMS").where("ID = 5").select("NAME")
+    assert [r[0] for r in one.collect()] == ["n5"] and "PushedFilters: [*IsNotNull(ID), *EqualTo(ID,5)]" in one._jdf.queryExecution().toString()
+
+
+def test_catalog_kinds_read_the_sessions_tables(spark):
+    spark.range(3).createOrReplaceTempView("catalogued")
+    for kind in readers.CATALOG:
+        assert readers.read(spark, kind, table="catalogued").count() == 3
