@@ -2,21 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..shared import checkpoint_dir, materialised
+from ..shared import materialised, new_folder
 from ..sources import readers, writers
 from ..streaming import capture, incremental, refresh
 from .catalogue import query
 
 
-def _folder(t, name: str) -> str:
-    return f"{checkpoint_dir(t.spark)}/{name}-{uuid.uuid4().hex}"
-
-
 @query("""SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderkey % 7 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice, o_orderdate,
 CASE WHEN o_orderkey % 10 = 1 THEN NULL ELSE o_orderpriority END AS o_orderpriority FROM orders WHERE o_orderkey % 11 <> 3
 UNION ALL SELECT -1 - o_orderkey, o_custkey, 'N', o_totalprice, o_orderdate, o_orderpriority FROM orders WHERE o_orderkey % 13 = 0""")
@@ -28,7 +22,7 @@ def stream_captured(t):
     priority = F.when(F.col("o_orderkey") % 10 != 1, F.col("o_orderpriority"))
     second = first.where("o_orderkey % 11 <> 3").withColumns({"o_totalprice": price, "o_orderpriority": priority})
     second = second.unionByName(first.where("o_orderkey % 13 = 0").withColumns({"o_orderkey": -1 - F.col("o_orderkey"), "o_orderstatus": F.lit("N")}))
-    feed, kept, at = _folder(t, "changes"), capture.KeptTable(spark, _folder(t, "kept"), first.schema, ["o_orderkey"], buckets=8), _folder(t, "stream")
+    feed, kept, at = new_folder(t.spark, "changes"), capture.KeptTable(spark, new_folder(t.spark, "kept"), first.schema, ["o_orderkey"], buckets=8), new_folder(t.spark, "stream")
     for version, (old, new) in enumerate(((first.limit(0), first), (first, second)), 1):
         found = capture.changes(old, new, ["o_orderkey"], version)
         found.write.mode("append").parquet(feed)
@@ -48,7 +42,7 @@ def stream_refreshed(t):
     """Three refreshes, each from the source as it is by then: every seventeenth row comes two days late, and every nineteenth is
     corrected a day after it came."""
     events = t("events").select("event_id", "ts", "user_id", "event_type", "value")
-    table = refresh.RefreshedTable(t.spark, _folder(t, "refreshed"), "ts", days=3)
+    table = refresh.RefreshedTable(t.spark, new_folder(t.spark, "refreshed"), "ts", days=3)
     for day in (10, 20, 40):
         now = F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(day))
         since = lambda days: F.col("ts") < now - F.make_dt_interval(F.lit(days))  # noqa: B023, E731

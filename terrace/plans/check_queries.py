@@ -11,7 +11,8 @@ from ..operators import analytics as N
 from ..operators import joins as J
 from ..operators import model as M
 from ..operators import quality as Q
-from ..streaming import incremental
+from ..shared import new_folder
+from ..streaming import capture, incremental
 from .catalogue import query
 
 
@@ -106,4 +107,11 @@ def model_user_attribute(t):
 
 @query("""SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS i FROM events) WHERE i = 1""")
 def stream_latest_rows(t):
-    return incremental.latest(t("events").select("user_id", "ts", "event_id", "event_type"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type")
+    """Streamed file by file into a table that keeps each user's last row."""
+    spark, folder, at = t.spark, new_folder(t.spark, "events"), new_folder(t.spark, "stream")
+    columns = ["user_id", "ts", "event_id", "event_type"]
+    df = t("events").select(*columns, F.lit("update").alias("_change"), F.unix_micros(F.col("ts").cast("timestamp")).alias("_version"))
+    df.repartition(3).write.parquet(folder)
+    kept = capture.KeptTable(spark, new_folder(t.spark, "latest"), df.select(*columns).schema, ["user_id"], buckets=4)
+    capture.keep_up(incremental.watch(spark, folder, df.schema, files_each=1), kept, at).awaitTermination()
+    return kept.read().select("user_id", "event_id", "event_type")

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
@@ -14,7 +12,7 @@ from ..operators import cleaning as K
 from ..operators import model as M
 from ..operators import quality as Q
 from ..operators.joins import join
-from ..shared import checkpoint_dir, materialised
+from ..shared import materialised, new_folder
 from ..sources import readers, writers
 from ..streaming import incremental
 from .catalogue import query
@@ -291,7 +289,7 @@ def source_inline(t):
 
 
 def _folder(t) -> str:
-    return f"{checkpoint_dir(t.spark)}/{uuid.uuid4().hex}"
+    return new_folder(t.spark, "query")
 
 
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
@@ -324,22 +322,27 @@ def sink_xml_and_source_xml(t):
     return readers.xml(t.spark, path, "region", "r_regionkey int, r_name string")
 
 
-@query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
-def stream_windowed(t):
-    """Streams the events table once into a table that each micro-batch replaces."""
+def _streamed(t, df, aggregate):
+    """What a stream of df's rows, file by file, comes to: a table that each micro-batch replaces with the whole result."""
     folder, result = _folder(t), _folder(t)
-    t("events").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(folder)
-    stream = incremental.watch(t.spark, folder, t.spark.read.parquet(folder).schema)
-    measures = {"n": F.count("*"), "total": F.round(F.sum("value"), 2)}
-    out = incremental.windowed(stream, "ts", "1 hour", ["event_type"], measures)
+    df.repartition(4).write.parquet(folder)
+    out = aggregate(incremental.watch(t.spark, folder, df.schema, files_each=2))
     replace = lambda batch, _: batch.write.mode("overwrite").parquet(result)
     out.writeStream.foreachBatch(replace).outputMode("complete").option("checkpointLocation", _folder(t)).trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.schema(out.schema).parquet(result).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    return t.spark.read.schema(out.schema).parquet(result)
+
+
+@query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
+def stream_windowed(t):
+    measures = {"n": F.count("*"), "total": F.round(F.sum("value"), 2)}
+    found = _streamed(t, t("events").withColumn("ts", F.col("ts").cast("timestamp")), lambda stream: incremental.windowed(stream, "ts", "1 hour", ["event_type"], measures))
+    return found.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @query("SELECT user_id, max(ts) AS ts, count(*) AS n FROM events GROUP BY 1")
 def stream_table_twin(t):
-    return t("events").groupBy("user_id").agg(F.max("ts").alias("ts"), F.count("*").alias("n"))
+    """The same aggregate as of a table, of a stream."""
+    return _streamed(t, t("events"), lambda stream: stream.groupBy("user_id").agg(F.max("ts").alias("ts"), F.count("*").alias("n")))
 
 
 @query("SELECT n_name, n_nationkey FROM nation")
