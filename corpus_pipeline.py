@@ -10,9 +10,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from terrace.llm import common, line_dedup, packing, passage_quality, quality_rules, simhash
+from terrace.shared import new_folder, remove_folder, scratch
+
+
+#: Texts in an Arrow batch, of which a task holds two: Spark's own number is made for narrow rows.
+BATCH = 1000
+
+
+def lean(spark: SparkSession) -> None:
+    """Smaller Arrow batches from here on, if the session has Spark's own number."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH))
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    lean(spark)
     trees = quality_rules.fit(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
     return quality_rules.keep(docs, trees)
 
@@ -48,7 +61,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    """Each stage's table goes when the next one is written, and what a stage writes for itself when its own is."""
+    docs, before = common.table(spark, sf_dir, "documents"), ""
     for name, stage in STAGES:
-        docs = common.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = new_folder(spark, f"terrace/{name.replace(' ', '-')}")
+        with scratch(spark):
+            found = stage(spark, docs, sf_dir)
+            found.write.parquet(path)
+        if before:
+            remove_folder(spark, before)
+        docs, before = spark.read.schema(found.schema).parquet(path), path
     return docs

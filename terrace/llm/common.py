@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -10,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from terrace.shared import checkpoint_dir
+from terrace.shared import new_folder, remove_folder
 
 #: Documents handled at once inside a task; bounds a task's memory whatever the Arrow batch size.
 SLICE_ROWS = 256
@@ -23,9 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table written in the shared folder and read again: a cut in the lineage that survives lost executors."""
+    """df as a table written in the shared folder and read again: a cut in the lineage that survives lost executors. The folder goes
+    with the scratch() around it, if there is one."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/terrace/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, f"terrace/{name}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -35,8 +35,7 @@ def remove_written(df: DataFrame) -> None:
     spark = df.sparkSession
     for f in {name.rpartition("/")[0] for name in df.inputFiles()}:
         if "/terrace/" in f:
-            p = spark._jvm.org.apache.hadoop.fs.Path(f)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            remove_folder(spark, f)
 
 
 def fold(doc_id: Column, folds: int) -> Column:
