@@ -8,12 +8,13 @@ arcs that each state lost, with the rank at which it did (some 900,000 entries f
 state leads to the state u. An arc goes with the left part it is made from: u is missing if u is lost, or if its left part
 was lost when u was made.
 
-A word is read left to right, symbol by symbol: the labels that may still end are nodes of a trie, stepped by its table, and
-where one ends, the table of lost arcs says whether its state has the arc. Exactly one arc ends at each place whose source is
+A word is read left to right, symbol by symbol: the labels that may still end are nodes of a trie, stepped by its tables, and
+where one ends, the table of lost arcs says whether its state has the arc; what it said of a state and an arc is kept, so that
+most transitions are one look-up. Exactly one arc ends at each place whose source is
 the state reached at its start, so one pass finds the path, in time linear in the word. Decoding emits the labels of the arcs.
 
-A null or empty text has no ids. Texts in Latin-1 letters are split by a pattern here, all others by the library's own
-normalizer and pre-tokenizer, whose letter tables may be older or newer than ours. Repeated and null doc_ids are encoded row
+A null or empty text has no ids. Texts in Latin-1 letters are split by a pattern here, stretches of others that have more by the
+library's own normalizer and pre-tokenizer, whose letter tables may be older or newer than ours. Repeated and null doc_ids are encoded row
 by row, other columns are ignored, an empty table yields no rows, and a word may be as long as its text.
 """
 
@@ -35,6 +36,10 @@ from . import common
 from .tokens import _L, _N, _S, PieceCache, byte_letters
 
 
+#: Pairs of a state and an arc whose answer is kept.
+KNOWN = 1 << 20
+
+
 class Automaton:
     """The automaton of an ordered list of merges over a vocabulary of symbols and tokens. A symbol is a letter, or the letter and
     `end` that closes a word."""
@@ -58,56 +63,61 @@ class Automaton:
             of_state[a].append((b, rank))
             self.lost[a * n + b] = rank
             self._spine[ab] += ((a, rank), *self._spine[a][1:])
-        #: by node and symbol: the next node; tokens by node, -1 for none
-        self.next: dict[int, int] = {}
-        self.token = [-1]
-        letters = sorted({c for t in vocab for c in (t.removesuffix(end) if end else t)})
-        self._symbol = {c: i for i, c in enumerate(letters)}
-        self._symbols, self._closing = 2 * len(letters), len(letters) if end else 0
+        #: the trie of labels: by symbol the next node, under None the token that ends there
+        self.labels: dict = {}
+        self._end = end
         for label, t in vocab.items():
             if t not in dead:
                 closed = bool(end) and label.endswith(end)
-                node = 0
-                for c in self._read(label.removesuffix(end) if closed else label, closed):
-                    key = node * self._symbols + c
-                    node = self.next.setdefault(key, len(self.token))
-                    if node == len(self.token):
-                        self.token.append(-1)
-                self.token[node] = t
-
-    def _read(self, word: str, closed: bool) -> list[int]:
-        symbol = self._symbol
-        out = [symbol.get(c, -1) for c in word]
-        if closed and out and out[-1] >= 0:
-            out[-1] += self._closing
+                node = self.labels
+                for c in self._read(label.removesuffix(end), closed):
+                    node = node.setdefault(c, {})
+                node[None] = t
+        #: by state and arc: whether the state has the arc, as found so far
+        self._known: dict[int, bool] = {}
+
+    def _read(self, word: str, closed: bool) -> list[str]:
+        out = list(word)
+        if closed and out:
+            out[-1] += self._end
         return out
 
-    def step(self, state: int, arc: int) -> int:
-        """The state that an arc leads to, which has its name; 0 as false if the state has no such arc, 1 if it has."""
+    def step(self, state: int, arc: int) -> bool:
+        """Whether the state has the arc, which then leads to the state of its own name."""
         base, lost = state * self._states, self.lost
         for part, used in self._spine[arc]:
             when = lost.get(base + part)
             if when is not None and when <= used:  # equal: a a -> aa leaves no aa after a
-                return 0
-        return 1
+                return False
+        return True
 
     def encode(self, word: str) -> tuple[int, ...]:
         """Ids along the word's path. A word without a path has none."""
-        step, following, token, width = self.step, self.next, self.token, self._symbols
+        root, known, states = self.labels, self._known, self._states
+        if len(known) > KNOWN:
+            known.clear()
         symbols = self._read(word, True)
         arc, source = [-1] * (len(symbols) + 1), [0] * (len(symbols) + 1)
-        open_: list[tuple[int, int]] = []  # where labels that may still end began, and their nodes
-        for at, c in enumerate(symbols):
-            if arc[at] >= 0 or not at:
-                open_.append((at, 0))
+        open_: list[tuple[int, dict]] = []  # where labels that may still end began, and their nodes
+        for at, c in enumerate(symbols, 1):
+            if at == 1 or arc[at - 1] >= 0:
+                open_.append((at - 1, root))
             still = []
             for start, node in open_:
-                node = following.get(node * width + c, -1)
-                if node >= 0:
-                    still.append((start, node))
-                    u = token[node]
-                    if u >= 0 and arc[at + 1] < 0 and (not start or step(arc[start], u)):
-                        arc[at + 1], source[at + 1] = u, start
+                node = node.get(c)
+                if node is None:
+                    continue
+                still.append((start, node))
+                u = node.get(None, -1)
+                if u >= 0 and arc[at] < 0:
+                    if start:
+                        key = arc[start] * states + u
+                        has = known.get(key)
+                        if has is None:
+                            has = known[key] = self.step(arc[start], u)
+                        if not has:
+                            continue
+                    arc[at], source[at] = u, start
             open_ = still
         path, at = [], len(symbols)
         if arc[at] < 0:
@@ -136,18 +146,29 @@ class WordBpe:
         self._normalize, self._split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         self._split_latin = re.compile(rf"[{_L}]+|[{_N}]|'(?:s|t|re|ve|m|ll|d)|[^{_S}{_L}{_N}]+").findall
         self._letters = byte_letters()
-        self._cache, self._spelled = PieceCache(self._word), PieceCache(self.automaton.encode)
+        self._stretches = re.compile(r"[^ \t-\r]+").findall  # no rule reaches over such white space
+        self._cache, self._spelled, self._mixed = PieceCache(self._word), PieceCache(self.automaton.encode), PieceCache(self._stretch)
 
     def _word(self, word: str) -> tuple[int, ...]:
         letters = self._letters
         return self.automaton.encode("".join([letters[b] for b in word.encode()]))
 
+    def _stretch(self, stretch: str) -> tuple[int, ...]:
+        """Ids of a stretch of text without white space."""
+        try:
+            stretch.encode("latin-1")
+        except UnicodeEncodeError:
+            words, cache = self._split(self._normalize(stretch)), self._spelled
+            return tuple(chain.from_iterable([cache[w] for w, _ in words]))
+        cache = self._cache
+        return tuple(chain.from_iterable([cache[w] for w in self._split_latin(stretch.lower())]))
+
     def _plain(self, text: str) -> list[int]:
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
-            words, cache = self._split(self._normalize(text)), self._spelled
-            return list(chain.from_iterable([cache[w] for w, _ in words]))
+            cache = self._mixed
+            return list(chain.from_iterable([cache[x] for x in self._stretches(text)]))
         cache = self._cache
         return list(chain.from_iterable([cache[w] for w in self._split_latin(text.lower())]))
 
@@ -162,6 +183,7 @@ class WordBpe:
             ids = self._plain(text)
         self._cache.trim()
         self._spelled.trim()
+        self._mixed.trim()
         return ids
 
     def decode(self, ids: Iterable[int]) -> str:
