@@ -295,3 +295,17 @@ def now(at=None) -> Column:
 def today(at=None) -> Column:
     """The day of now()."""
     return now(at).cast("date")
+
+
+def date_plus(c: Column, days) -> Column:
+    """A date, or a time, so many days later; parts of a day count for times. NULL beyond the calendar."""
+    n = _lit(days).cast("double")
+    whole = F.floor(n).try_cast("int")
+    at = c.cast("timestamp_ntz") + F.make_dt_interval(whole, F.lit(0), F.lit(0), F.round((n - F.floor(n)) * 86400, 6).cast("decimal(18,6)"))
+    return at
+
+
+def days_between(a: Column, b: Column) -> Column:
+    """Days from b to a, with parts of a day."""
+    seconds = lambda c: F.unix_micros(c.cast("timestamp_ntz").cast("timestamp")) / 1e6
+    return (seconds(a) - seconds(b)) / 86400

@@ -45,3 +45,20 @@ def script_aggregate(kind: str, fn: Callable[..., float], *columns: Column) -> C
         return fn(*values)
 
     return run(*columns)
+
+
+def predicted(df: DataFrame, model: Callable[[pd.DataFrame], pd.DataFrame], columns: Sequence[str], schema: str) -> DataFrame:
+    """df with the columns that a model makes of some others, batch by batch. The model goes to the tasks as it is, so it is small; a row
+    with a NULL input gets NULLs."""
+    packed = F.struct(*[F.col(c).alias(c) for c in columns])
+
+    @F.pandas_udf(schema)
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        return model(rows)
+
+    known = packed
+    for c in columns:
+        known = F.when(F.col(c).isNotNull(), known)
+    filled = F.coalesce(known, F.struct(*[F.lit(0).cast(dict(df.dtypes)[c]).alias(c) for c in columns]))
+    out = df.withColumn("__made", run(filled)).withColumn("__made", F.when(known.isNotNull(), F.col("__made")))
+    return out.select(*df.columns, "__made.*")

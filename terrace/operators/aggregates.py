@@ -10,6 +10,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quality import order_of, unmet
 from .spread import beside, order_statistics
 
 AGGREGATES = {
@@ -111,3 +112,16 @@ def exclude(df: DataFrame, view: Sequence[str], less: Sequence[str], value: Colu
         hit = base[r].eqNullSafe(side[r])
         on = hit if on is None else on & hit
     return base.join(side, on).drop(*[side[r] for r in rest])
+
+
+def with_measures(df: DataFrame, keys: Sequence[str], base: Mapping[str, Column], derived: Mapping[str, tuple[Sequence[str], Column]]) -> DataFrame:
+    """keys and measures: base ones are aggregates, made in one pass; a derived one names the measures it needs and is a Column over
+    them, whatever order they are given in. A name that nothing defines, or a cycle, is an error."""
+    needs = {name: list(of) for name, (of, _) in derived.items()}
+    if missing := unmet(needs, list(base)):
+        raise KeyError(f"no measure {sorted({n for _, n in missing})}")
+    out = df.groupBy(*keys).agg(*[c.alias(n) for n, c in base.items()])
+    for name in order_of([(n, m) for m, of in needs.items() for n in of] + [("", m) for m in needs]):
+        if name in derived:
+            out = out.withColumn(name, derived[name][1])
+    return out.select(*keys, *base, *derived)

@@ -113,3 +113,31 @@ def castable(c: Column, kind: str) -> Column:
 
 def not_blank(df: DataFrame) -> DataFrame:
     return df.dropna(how="all")
+
+
+def group_filter(spec: tuple) -> Column:
+    """A view's filter, made of parts: ("members", column, values), ("all",), ("range", column, low, high), ("union", part, ...),
+    ("intersect", part, ...), ("except", part, part) and ("not", part). Never NULL: a NULL is a member only if it is named, and what
+    a part leaves out, NULLs too, is what its "not" keeps."""
+    kind, *rest = spec
+    if kind == "all":
+        return F.lit(True)
+    if kind == "members":
+        column, values = rest
+        known = [v for v in values if v is not None]
+        out = F.coalesce(F.col(column).isin(known), F.lit(False))
+        return out | F.col(column).isNull() if len(known) < len(values) else out
+    if kind == "range":
+        column, low, high = rest
+        return F.coalesce(between(F.col(column), low, high), F.lit(False))
+    parts = [group_filter(p) for p in rest]
+    if kind == "not" and len(parts) == 1:
+        return ~parts[0]
+    if kind == "except" and len(parts) == 2:
+        return parts[0] & ~parts[1]
+    if kind in ("union", "intersect") and parts:
+        out = parts[0]
+        for p in parts[1:]:
+            out = out | p if kind == "union" else out & p
+        return out
+    raise ValueError(f"no such filter: {kind} of {len(parts)} parts")

@@ -101,7 +101,10 @@ def lookup(df: DataFrame, table: DataFrame, keys: Sequence[tuple[str, str]], val
 
 
 def blend(primary: DataFrame, secondary: DataFrame, links: Sequence[tuple[str, str]], measures: Mapping[str, Column]) -> DataFrame:
-    """The secondary's measures at the grain of the links, on the rows of the primary: no row of it is multiplied."""
+    """The secondary's measures at the grain of the links, on the rows of the primary: no row of it is multiplied. Without links the
+    two are appended, columns by name."""
+    if not links:
+        return primary.unionByName(secondary, allowMissingColumns=True)
     side = secondary.groupBy(*[F.col(b).alias(f"_link_{i}") for i, (_, b) in enumerate(links)]).agg(*[m.alias(n) for n, m in measures.items()])
     on = None
     for i, (a, _) in enumerate(links):

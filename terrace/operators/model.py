@@ -134,3 +134,12 @@ def user_attribute(attributes: Mapping[str, str], name: str) -> Column:
 def domain(df: DataFrame, column: str) -> DataFrame:
     """The values that a parameter may take, from a table."""
     return df.select(F.col(column).alias("value")).where("value is not null").distinct()
+
+
+def parameter(value, kind: str, allowed: Sequence | None = None, low=None, high=None) -> Column:
+    """A scalar parameter as a typed literal. A value that is not allowed, or out of its range, is an error; NULL is allowed only by name."""
+    if allowed is not None:
+        checked(value, allowed)
+    if value is not None and (low is not None and value < low or high is not None and value > high):
+        raise ValueError(f"{value!r} is not from {low!r} to {high!r}")
+    return F.lit(value).cast(kind)

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def compare(expected: DataFrame, actual: DataFrame, keys: Sequence[str], measure: str, tolerance: float = 0.01) -> DataFrame:
@@ -149,3 +150,77 @@ def order_of(edges: Sequence[tuple[str, str]]) -> list[str]:
         graph.setdefault(a, set())
         graph.setdefault(b, set()).add(a)
     return list(TopologicalSorter({k: sorted(graph[k]) for k in sorted(graph)}).static_order())
+
+
+def deep_equal(a: Column, b: Column, kind: T.DataType, tolerance: float = 0.0) -> Column:
+    """Whether two values of one type agree, whatever is inside: numbers within the relative tolerance (of the larger one), NaN with NaN, lists in
+    order and of one length, maps by key, structs by field, NULL with NULL. Never NULL."""
+    if isinstance(kind, T.ArrayType):
+        inner = F.forall(F.zip_with(a, b, lambda x, y: deep_equal(x, y, kind.elementType, tolerance)), lambda hit: hit)
+        inner = (F.size(a) == F.size(b)) & inner
+    elif isinstance(kind, T.MapType):
+        keys = F.array_sort(F.map_keys(a))
+        inner = (F.size(a) == F.size(b)) & F.forall(keys, lambda k: F.map_contains_key(b, k) & deep_equal(F.try_element_at(a, k), F.try_element_at(b, k), kind.valueType, tolerance))
+    elif isinstance(kind, T.StructType):
+        inner = F.lit(True)
+        for f in kind.fields:
+            inner = inner & deep_equal(a[f.name], b[f.name], f.dataType, tolerance)
+    elif isinstance(kind, T.NumericType) and tolerance:
+        x, y = a.cast("double"), b.cast("double")
+        inner = (F.abs(x - y) <= tolerance * F.greatest(F.abs(x), F.abs(y))) | (a == b)
+    else:
+        inner = a == b
+    return F.coalesce(F.when(a.isNull() | b.isNull(), a.isNull() & b.isNull()).otherwise(inner), F.lit(False))
+
+
+def compare_deep(expected: DataFrame, actual: DataFrame, keys: Sequence[str], tolerance: float = 0.0) -> DataFrame:
+    """keys, column_name, kind of each difference: a value that differs, or a row that is missing or extra (column_name NULL). Columns
+    of another type, or that one side lacks, are an error: they differ before any row is read."""
+    columns = [c for c in expected.columns if c not in keys]
+    if (a := dict(expected.dtypes)) != (b := dict(actual.dtypes)):
+        raise TypeError(f"the types differ: {sorted(set(a.items()) ^ set(b.items()))}")
+    left, right = (df.select(*keys, F.struct(*columns).alias(name)) for df, name in ((expected, "__e"), (actual, "__a")))
+    right = right.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__a")
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    both = left.join(right, on, "full")
+    difference = lambda c, kind: F.struct(F.lit(c).cast("string").alias("column_name"), F.lit(kind).alias("kind"))
+    values = [F.when(~deep_equal(F.col("__e")[c], F.col("__a")[c], expected.schema[c].dataType, tolerance), difference(c, "differs")) for c in columns]
+    found = F.when(F.col("__a").isNull(), F.array(difference(None, "missing"))).when(F.col("__e").isNull(), F.array(difference(None, "extra"))).otherwise(F.array_compact(F.array(*values)))
+    named = [F.when(F.col("__e").isNull(), F.col(f"__k{i}")).otherwise(F.col(k)).alias(k) for i, k in enumerate(keys)]
+    return both.select(*named, F.inline(found))
+
+
+def row_counts(expected: DataFrame, actual: DataFrame, keys: Sequence[str], share: float = 0.0) -> DataFrame:
+    """keys, expected, actual, ok: rows of each group on both sides, within that share of the expected ones; a group that one side lacks has 0."""
+    e, a = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).withColumn("side", F.lit(s)) for s, df in enumerate((expected, actual)))
+    both = e.unionByName(a).groupBy(*keys).agg(*[F.coalesce(F.sum(F.when(F.col("side") == s, F.col("n"))), F.lit(0).cast("long")).alias(n) for s, n in enumerate(("expected", "actual"))])
+    return both.withColumn("ok", F.abs(F.col("expected") - F.col("actual")) <= F.col("expected") * share)
+
+
+def fingerprint(df: DataFrame) -> DataFrame:
+    """n_rows and a fingerprint of the rows, whatever order they stand in: the sums of two hashes of each, repeated rows counted. Columns
+    go by name."""
+    names = sorted(df.columns)
+    values = [F.col(f"`{c}`") for c in names]
+    h = lambda seed: F.sum(F.xxhash64(F.lit(seed), *values, *[v.isNull() for v in values]).cast("decimal(38,0)"))
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.concat_ws(":", F.lit(",".join(names)), h(1).cast("string"), h(2).cast("string")).alias("fingerprint"))
+
+
+def renamed_by_values(old: DataFrame, new: DataFrame, least: float = 0.5) -> DataFrame:
+    """removed, added, likeness: columns that went and columns that came, of one type, whose distinct values have a Jaccard similarity of
+    `least` or more, by sketches of the values; exact up to some thousand distinct ones."""
+    from .joins import column_sketches
+
+    a, b = dict(old.dtypes), dict(new.dtypes)
+    pairs = [(x, y) for x in a for y in b if x not in b and y not in a and a[x] == b[y]]
+    schema = "removed string, added string"
+    spark = old.sparkSession
+    if not pairs:
+        return spark.createDataFrame([], schema + ", likeness double")
+    held = column_sketches({"old": old, "new": new}, {("old", x) for x, _ in pairs} | {("new", y) for _, y in pairs})
+    side = lambda t, c, s: held.where(F.col("table") == t).select(F.col("column").alias(c), F.col("sketch").alias(s))
+    met = spark.createDataFrame(pairs, schema).join(side("old", "removed", "x"), "removed").join(side("new", "added", "y"), "added")
+    both = F.theta_sketch_estimate(F.theta_intersection("x", "y")) / F.theta_sketch_estimate(F.theta_union("x", "y"))
+    return met.select("removed", "added", both.alias("likeness")).where(F.col("likeness") >= least)
