@@ -53,7 +53,7 @@ def boundaries(text: str, bpe: ByteBpe) -> tuple[np.ndarray, np.ndarray]:
         elif part:
             pieces = bpe.pieces(part)
             widths += map(len, pieces)
-            tokens += [len(bpe.ids(p)) >> 2 for p in pieces]
+            tokens += [len(x) >> 2 for x in bpe.ids(pieces)]
     return np.cumsum(widths), np.cumsum(tokens)
 
 

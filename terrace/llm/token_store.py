@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import common
-from .tokens import byte_bpe
+from .tokens import KEPT, byte_bpe
 
 #: Ids below this are tokens, the others rules.
 FIRST_RULE = 1 << 17
@@ -224,7 +224,7 @@ def encode_shards(docs: DataFrame, end_id: int = 2, shard_tokens: int = SHARD_TO
     """The shards of documents(doc_id, text) in ascending order of doc_id, still to be written."""
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, part, shard = byte_bpe(tokenizer_path), TaskContext.get().partitionId(), 0
+        bpe, part, shard = byte_bpe(tokenizer_path, 2 * KEPT), TaskContext.get().partitionId(), 0
         end = end_id.to_bytes(4, "little")
         held, ids, lengths, size = [], [], [], 0
         for batch in common.slices(batches):

@@ -50,7 +50,7 @@ def byte_letters() -> dict[int, str]:
 class ByteBpe:
     """encode(text) -> the library's ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str | None = None):
+    def __init__(self, path: str | None = None, kept: int = KEPT):
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         letters = byte_letters()
@@ -60,7 +60,7 @@ class ByteBpe:
         self._bytes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self._split = regex.compile(public_tokenizers.PATTERN).findall
         self._split_latin = re.compile(LATIN).findall
-        self._cache = PieceCache(self._piece)
+        self._kept, self._old, self._most = {}, {}, kept
 
     def _piece(self, piece: str) -> bytes:
         if piece.isascii() and piece[1:].isalpha():
@@ -75,9 +75,8 @@ class ByteBpe:
             return b""
         if any(s in text for s in self.special):
             return b"".join([i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
-        cache = self._cache
-        ids = b"".join([cache[p] for p in self.pieces(text)])
-        cache.trim()
+        ids = b"".join(self.ids(self.pieces(text)))
+        self.trim()
         return ids
 
     def pieces(self, text: str) -> list[str]:
@@ -88,15 +87,29 @@ class ByteBpe:
             return self._split(text)
         return self._split_latin(text)
 
-    def ids(self, piece: str) -> bytes:
-        """The ids of a pre-token, which are kept until trim()."""
-        return self._cache[piece]
+    def ids(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each pre-token, which are kept until trim()."""
+        kept = self._kept
+        found = list(map(kept.get, pieces))
+        at = -1
+        try:
+            while True:
+                at = found.index(None, at + 1)
+                piece = pieces[at]
+                coded = kept.get(piece)  # it may have come before
+                if coded is None:
+                    coded = kept[piece] = self._old.get(piece) or self._piece(piece)
+                found[at] = coded
+        except ValueError:  # none is missing
+            return found
 
     def trim(self) -> None:
-        self._cache.trim()
+        """Between texts: the older half of what is kept goes when the younger is full."""
+        if len(self._kept) > self._most:
+            self._old, self._kept = self._kept, {}
 
 
 @lru_cache(maxsize=2)
-def byte_bpe(path: str | None = None) -> ByteBpe:
+def byte_bpe(path: str | None = None, kept: int = KEPT) -> ByteBpe:
     """One for all tasks of a Python worker."""
-    return ByteBpe(path)
+    return ByteBpe(path, kept)
