@@ -27,9 +27,9 @@ _CAMPAIGNS = """(SELECT *, TIMESTAMP '1995-01-01' + to_days(CAST(s_suppkey % 150
 
 
 @query(f"""SELECT s_suppkey, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM (SELECT *, o_orderdate + to_days(CAST(o_orderkey % 5 + 1 AS INT)) AS o_end FROM orders) JOIN {_CAMPAIGNS}
-ON o_orderdate < s_to AND s_from < o_end GROUP BY 1""")
+ON o_orderdate < s_to AND s_from < o_end AND s_from < s_to GROUP BY 1""")
 def join_overlap(t):
-    """Orders that are open for some days, and campaigns of a few weeks."""
+    """Orders that are open for some days, and campaigns of a few weeks; one of no days overlaps nothing."""
     after = lambda c, days: c + F.make_dt_interval(days.cast("int"))
     orders = t("orders").withColumn("o_end", after(F.col("o_orderdate"), F.col("o_orderkey") % 5 + 1))
     begin, key = F.lit("1995-01-01").cast("timestamp_ntz"), F.col("s_suppkey")
