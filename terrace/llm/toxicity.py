@@ -224,8 +224,8 @@ class LinearModel:
         return self._sigmoid(np.array([self.weights[r].sum() for r in rows]) + self.bias)
 
 
-def mine(entries: list[set[str]], y: np.ndarray, share: float = 0.02) -> tuple[tuple[str, ...], ...]:
-    """Words and beginnings of words (`stem*`) that mark toxic training rows, in six lexicons. entries: those of each row.
+def mine(entries: list[Iterable[str]], y: np.ndarray, share: float = 0.02) -> tuple[tuple[str, ...], ...]:
+    """Words and beginnings of words (`stem*`) that mark toxic training rows, in six lexicons. entries: those of each row, each once.
 
     Of those 19 times as frequent in toxic rows as in clean ones, the one in most toxic rows is taken, its rows are set aside,
     and so on, until none is in `share` of the toxic rows (and in 4) among those left: what only comes along stays out. These
@@ -237,7 +237,7 @@ def mine(entries: list[set[str]], y: np.ndarray, share: float = 0.02) -> tuple[t
     bad = Counter(e for h, v in zip(entries, y, strict=True) if v for e in h)
     good = Counter(e for h, v in zip(entries, y, strict=True) if not v for e in h)
     able = {e for e, c in bad.items() if c >= least and c / n1 >= 19 * good[e] / n0}
-    rest = [h & able for h, v in zip(entries, y, strict=True) if v]
+    rest = [able.intersection(h) for h, v in zip(entries, y, strict=True) if v]
     found: list[str] = []
     while rest:
         counts = Counter(e for h in rest for e in h)
@@ -292,7 +292,8 @@ def train_votes(found: list[tuple[list[int], tuple[str, ...]]], known: np.ndarra
     base, held, known = [found[i][0] for i in some], [found[i][1] for i in some], known[some]
     lab = np.flatnonzero(known >= 0)
     often = _often([held[i] for i in np.flatnonzero(known == 1)])
-    entries = {i: _entries(set(held[i])) & often for i in lab.tolist()}
+    name = {e: e for e in often}  # one string for each entry, whatever rows hold it
+    entries = {i: tuple(name[e] for e in _entries(set(held[i])) if e in name) for i in lab.tolist()}
     mined = lambda rows: mine([entries[i] for i in rows.tolist()], known[rows]) if len(rows) else ((),) * 6
     voters = Voters(mined(lab))
     votes = np.array([voters.whole(b, set(h)) for b, h in zip(base, held, strict=True)], np.int64).reshape(len(base), len(voters.names))
@@ -301,14 +302,17 @@ def train_votes(found: list[tuple[list[int], tuple[str, ...]]], known: np.ndarra
         others = Voters(mined(lab[np.arange(len(lab)) % FOLDS != k]))
         for i in lab[np.arange(len(lab)) % FOLDS == k]:
             honest[i] = others.whole(base[i], set(held[i]))
+    del entries, often, name
     q = LabelModel().fit(honest, known).posterior(honest)
     seen = Counter(w for h in held for w in h)
+    seen = {w: c for w, c in seen.items() if c >= max(5, 0.002 * len(held))}  # most words are in few texts
     bad = Counter()
     for h, p in zip(held, q, strict=True):
         for w in h:
-            bad[w] += p
+            if w in seen:
+                bad[w] += p
     rate = q.mean()
-    spread = {w: (bad[w] - rate * c) / np.sqrt(c * rate * (1 - rate) + 1e-9) for w, c in seen.items() if c >= max(5, 0.002 * len(held))}
+    spread = {w: (bad[w] - rate * c) / np.sqrt(c * rate * (1 - rate) + 1e-9) for w, c in seen.items()}
     telling = sorted((w for w, z in spread.items() if abs(z) >= 5), key=lambda w: (-abs(spread[w]), w))
     model = LinearModel(voters, {w: i for i, w in enumerate(telling[:WORDS])})
     return model.fit(honest, held, q)
@@ -341,7 +345,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, unlabelled: int
     one: dict[str, str] = {}  # each word held once
     rows_of = [(r["votes"], tuple(one.setdefault(w, w) for w in r["words"].split("\n") if w)) for r in found]
     known = np.array([r["label"] for r in found])
-    del found, first
+    del found, first, one
     return train_votes(rows_of, known)
 
 
