@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from ..shared import remove_folder
 from ..sources.writers import replace_partitions
 from .incremental import latest, upsert
 
@@ -52,21 +53,32 @@ class KeptTable:
 
     Every row keeps the version of its last change, and a change is applied only to a row of no later version, so a batch that
     is applied again, whole or in part, leaves the table as it is. A deleted row is left out; its batch may be repeated, but not
-    one before it, as streams never do.
+    one before it, as streams never do. The new buckets are written whole beside the table before any old one is touched: a run
+    that is cut short while they replace the old ones is made good by the next apply(), or by recover().
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: StructType, keys: Sequence[str], buckets: int = 64):
         self.spark, self.path, self.keys, self.buckets = spark, path, list(keys), buckets
         self.columns = schema.fieldNames()
+        self._pending = f"{path}.pending"
         self._schema = StructType([*schema.fields]).add("_version", "long").add(BUCKET, "integer")
 
     def _placed(self, df: DataFrame) -> DataFrame:
         """NULL keys count as such: they are hashed by the flag."""
         return df.withColumn(BUCKET, F.pmod(F.xxhash64(*self.keys, *[F.col(k).isNull() for k in self.keys]), F.lit(self.buckets)).cast("int"))
 
+    def _exists(self, path: str) -> bool:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
+
+    def recover(self) -> None:
+        """Puts in place what a run that was cut short has written whole."""
+        if self._exists(f"{self._pending}/_SUCCESS"):
+            replace_partitions(self.spark.read.schema(self._schema).parquet(self._pending), self.path, [BUCKET])
+        remove_folder(self.spark, self._pending)
+
     def _held(self) -> DataFrame:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        if not at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
+        if not self._exists(self.path):
             return self.spark.createDataFrame([], self._schema)
         return self.spark.read.schema(self._schema).parquet(self.path).where("_version is not null")
 
@@ -75,6 +87,7 @@ class KeptTable:
 
     def apply(self, batch: DataFrame) -> None:
         """batch: changes of any versions; the last one of each row counts."""
+        self.recover()
         last = self._placed(latest(batch.select(*self.columns, "_change", "_version"), self.keys, ["_version"]))
         touched = sorted(r[BUCKET] for r in last.select(BUCKET).distinct().collect())  # `buckets` at most
         if not touched:
@@ -87,7 +100,8 @@ class KeptTable:
         # an overwrite by folders leaves a folder without rows as it was: each touched one gets a row without a version
         marks = self.spark.createDataFrame([(b,) for b in touched], f"{BUCKET} int")
         out = kept.unionByName(marks, allowMissingColumns=True).hint("rebalance", BUCKET)
-        replace_partitions(out, self.path, [BUCKET])
+        out.write.partitionBy(BUCKET).parquet(self._pending)
+        self.recover()
 
 
 def keep_up(stream: DataFrame, table: KeptTable, checkpoint: str) -> StreamingQuery:

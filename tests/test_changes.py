@@ -69,6 +69,30 @@ def test_a_change_rewrites_only_its_buckets(spark, tmp_path):
     assert kept.read().where("v = 'new'").count() == 1 and kept.read().count() == 1000
 
 
+@pytest.mark.parametrize("when", ["before", "amid"])
+def test_a_batch_that_is_cut_short_is_made_good(spark, tmp_path, monkeypatch, when):
+    import shutil
+
+    old, new = table(spark, OLD), table(spark, NEW)
+    kept = capture.KeptTable(spark, f"{tmp_path}/t", old.schema, ["k", "part"], 4)
+    kept.apply(capture.changes(old.limit(0), old, ["k", "part"], 1))
+    batch = capture.changes(old, new, ["k", "part"], 2).cache()
+
+    def cut(df, path, by):
+        if when == "amid":  # an old bucket is gone, and the new one is not there yet
+            shutil.rmtree(next(p for p in sorted(tmp_path.glob("t/_bucket=*")) if (tmp_path / "t.pending" / p.name).exists()))
+        raise Cut
+
+    with monkeypatch.context() as m:
+        m.setattr(capture, "replace_partitions", cut)
+        with pytest.raises(Cut):
+            kept.apply(batch)
+    kept.recover()
+    assert held(kept.read()) == sorted(NEW, key=str)
+    kept.apply(batch)
+    assert held(kept.read()) == sorted(NEW, key=str) and not (tmp_path / "t.pending").exists()
+
+
 def days(spark, *rows):
     return spark.createDataFrame([(i, dt.datetime.fromisoformat(at) if at else None, v) for i, at, v in rows], "id int, at timestamp_ntz, v int")
 
