@@ -12,7 +12,7 @@ of both kinds every score is the share of good rows in the sample, or 0.5.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +49,46 @@ def inputs(table: np.ndarray, row: np.ndarray, bucket: np.ndarray) -> np.ndarray
     return np.concatenate([table.astype(np.float32), np.sqrt(held, out=held)], axis=1)
 
 
+class Bags:
+    """The passages of documents: statistics, and what a passage holds of its few buckets. together() makes inputs() of some documents."""
+
+    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        """parts: of each document the table of its passages, and (passage, bucket) of its words and pairs."""
+        self.tables, self._held = [], []
+        for table, row, bucket in parts:
+            cell, times = np.unique(row * BUCKETS + bucket, return_counts=True)
+            of = cell // BUCKETS
+            share = times.astype(np.float32) / np.maximum(1, np.bincount(row, minlength=len(table)))[of].astype(np.float32)
+            self.tables.append(table.astype(np.float32))
+            self._held.append((of.astype(np.int32), (cell % BUCKETS).astype(np.int32), np.sqrt(share)))
+
+    def __len__(self) -> int:
+        return len(self.tables)
+
+    def sizes(self, some: Sequence[int]) -> list[int]:
+        return [len(self.tables[j]) for j in some]
+
+    def together(self, some: Sequence[int]) -> np.ndarray:
+        sizes = self.sizes(some)
+        width = self.tables[0].shape[1]
+        x = np.zeros((sum(sizes), width + BUCKETS), np.float32)
+        x[:, :width] = np.concatenate([self.tables[j] for j in some])
+        for j, start in zip(some, np.cumsum([0, *sizes[:-1]]).tolist(), strict=True):
+            of, bucket, share = self._held[j]
+            x[of + start, bucket + width] = share
+        return x
+
+
+class _Dense(Bags):
+    """Bags whose inputs are given."""
+
+    def __init__(self, tables: Sequence[np.ndarray]):
+        self.tables = list(tables)
+
+    def together(self, some: Sequence[int]) -> np.ndarray:
+        return np.concatenate([self.tables[j] for j in some])
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
@@ -100,10 +140,10 @@ class BagModel:
         dh *= 1 - f["h"] ** 2
         return {"W": x.T @ dh.astype(x.dtype), "b": dh.sum(0), "V": f["h"].T @ dt, "U": f["h"].T @ ds, "w": (f["t"] * f["s"]).T @ du, "c": f["z"].T @ dlogit, "d": np.array([dlogit.sum()])}
 
-    def fit(self, bags: list[np.ndarray], y: np.ndarray, epochs: int = 25, batch: int = 64, rate: float = 0.01, decay: float = 1e-4, seed: int = 6) -> BagModel:
-        rows = np.concatenate([b[:, : self.features] for b in bags])
+    def fit(self, bags: Bags | Sequence[np.ndarray], y: np.ndarray, epochs: int = 25, batch: int = 64, rate: float = 0.01, decay: float = 1e-4, seed: int = 6) -> BagModel:
+        bags = bags if isinstance(bags, Bags) else _Dense(bags)
+        rows = np.concatenate([b[:, : self.features] for b in bags.tables])
         self.mean, self.scale = rows.mean(0), rows.std(0) + 1e-3
-        bags = [self._scale(b) for b in bags]
         weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
         rng, step = np.random.default_rng(seed), 0
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -111,16 +151,15 @@ class BagModel:
         for _ in range(epochs):
             order = rng.permutation(len(y))
             for i in range(0, len(y), batch):
-                some = order[i : i + batch]
-                x = np.concatenate([bags[j] for j in some])
-                bag = np.repeat(np.arange(len(some)), [len(bags[j]) for j in some])
+                some = order[i : i + batch].tolist()
+                bag = np.repeat(np.arange(len(some)), bags.sizes(some))
                 step += 1
-                for k, g in self._gradient(x, bag, y[some], weight[some]).items():
+                for k, g in self._gradient(self._scale(bags.together(some)), bag, y[some], weight[some]).items():
                     g = g + decay * self.p[k]
                     m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.999 * v[k] + 0.001 * g * g
                     self.p[k] = self.p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
-        bag = np.repeat(np.arange(len(y)), [len(b) for b in bags])
-        codes = np.concatenate([self.code(b) for b in bags])
+        bag = np.repeat(np.arange(len(y)), bags.sizes(range(len(y))))
+        codes = np.concatenate([self.code(self._scale(bags.together(range(i, min(i + batch, len(y)))))) for i in range(0, len(y), batch)])
         self.shift = _best_cut(self.attend(codes, bag, len(y))["logit"], y)
         return self
 
@@ -161,7 +200,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
     if not 0 < y.sum() < len(y):
         return float(y.mean()) if len(y) else 0.5
     whole = lambda b: np.frombuffer(b, np.uint16).astype(np.int64)
-    bags = [inputs(np.frombuffer(r["x"], np.float32).reshape(-1, len(textstats.PASSAGE)), whole(r["row"]), whole(r["bucket"])) for r in rows]
+    bags = Bags([(np.frombuffer(r["x"], np.float32).reshape(-1, len(textstats.PASSAGE)), whole(r["row"]), whole(r["bucket"])) for r in rows])
+    del rows
     return BagModel(len(textstats.PASSAGE), embedded=BUCKETS).fit(bags, y)
 
 

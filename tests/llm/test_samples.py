@@ -111,3 +111,18 @@ def test_curves_find_odd_and_equal_vectors(spark, monkeypatch):
     assert by[50] == [(3, 1.0), (4, 1.0), (6, 1.0), (7, 1.0), (8, 1.0)]
     assert by[51] == [(52, 1.0), *((i, 1.0) for i in range(1000, 1004))] and by[52][0] == (51, 1.0)
     assert by[1001] == [(51, 1.0), (52, 1.0), (1000, 1.0), (1002, 1.0), (1003, 1.0)] and len(by[100]) == 5
+
+
+def test_bags_make_the_inputs_of_their_passages():
+    rng = np.random.default_rng(46)
+    parts, whole = [], []
+    for n in (1, 4, 2, 7):
+        table, row = rng.normal(size=(n, 13)).astype(np.float32), np.sort(rng.integers(0, n, 40 * (n > 1)))
+        bucket = rng.integers(0, 6, len(row))
+        parts.append((table, row, bucket))
+        whole.append(passage_quality.inputs(table, row, bucket))
+    bags = passage_quality.Bags(parts)
+    assert (bags.together([2, 0, 3]) == np.concatenate([whole[j] for j in (2, 0, 3)])).all() and bags.sizes([1, 3]) == [4, 7]
+    y = np.array([0.0, 1.0, 0.0, 1.0])
+    models = [passage_quality.BagModel(13, embedded=passage_quality.BUCKETS).fit(b, y, epochs=3) for b in (bags, [w.copy() for w in whole])]
+    assert models[0].shift == models[1].shift and all((models[0].p[k] == models[1].p[k]).all() for k in models[0].p)
