@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .spread import beside
+
 Keys = Sequence[tuple[str, str]]
 
 
@@ -35,6 +39,34 @@ def join_any(left: DataFrame, right: DataFrame, alternatives: Sequence[Keys], ho
     return out if how == "inner" else out.unionByName(rest, allowMissingColumns=True)
 
 
+def counted_any(left: DataFrame, right: DataFrame, alternatives: Sequence[Keys], by: Sequence[str], new: str, distinct: Mapping[str, str] | None = None) -> DataFrame:
+    """by, with `new`, the number of join_any()'s inner pairs, and the number of the distinct values that each column has in them (distinct:
+    {new name: column}); `by` and these columns are of either side.
+
+    No pair is made. For the number, both sides are counted by keys and `by` before they meet, and pairs that several alternatives
+    make are taken off again by inclusion and exclusion; the joins double with each alternative. For distinct values, the
+    alternatives' values are put together, a row for each value of `by` and key they meet in at most.
+    """
+
+    def met(keys: Keys, wanted: Sequence[str]) -> DataFrame:
+        sides = []
+        for i, df in enumerate((left, right)):
+            held = dict.fromkeys([*[k[i] for k in keys], *[c for c in wanted if c in df.columns]])
+            sides.append(df.groupBy(*held).agg(F.count(F.lit(1)).alias(f"__n{i}")))
+        return sides[0].join(sides[1], _all_equal(keys)).select(*wanted, (F.col("__n0") * F.col("__n1")).alias("__pairs"))
+
+    counts = []
+    for size in range(1, len(alternatives) + 1):
+        for some in combinations(alternatives, size):
+            pairs = met([k for keys in some for k in keys], by)
+            counts.append(pairs.select(*by, (F.col("__pairs") * (1 if size % 2 else -1)).alias("__pairs")))
+    out = reduce(DataFrame.unionByName, counts).groupBy(*by).agg(F.coalesce(F.sum("__pairs"), F.lit(0).cast("bigint")).alias(new))
+    for name, c in (distinct or {}).items():
+        values = reduce(DataFrame.unionByName, [met(keys, [*by, c]).select(*by, F.col(c).alias("__value")).distinct() for keys in alternatives])
+        out = beside(out, values.distinct().groupBy(*by).agg(F.count("__value").alias(name)), by)
+    return out
+
+
 def join_overlap(left: DataFrame, right: DataFrame, mine: tuple[str, str], other: tuple[str, str], width: float, keys: Keys = ()) -> DataFrame:
     """Pairs of rows whose intervals [start, end) overlap, and whose keys agree. Starts and ends are numbers, dates or times, the
     latter in seconds for `width`; empty intervals and those without a start or an end overlap nothing.

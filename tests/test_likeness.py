@@ -34,6 +34,26 @@ def test_alternatives_make_each_pair_once(spark, how):
         similar.join_any(a, b, [], "full")
 
 
+@pytest.mark.parametrize("by", [["v"], ["v", "name"], ["bu"], []])
+def test_alternatives_counted_as_their_pairs(spark, by):
+    a, b = spark.createDataFrame(A * 2, "id int, u int, v string"), spark.createDataFrame(B * 3, "bu int, bv string, name string")
+    ways = [[("u", "bu")], [("v", "bv")], [("u", "bu"), ("v", "bv")]]
+    pairs = similar.join_any(a, b, ways)
+    truth = pairs.groupBy(*by).agg(F.count("*").alias("n"), F.count_distinct("name").alias("names"), F.count_distinct("bv").alias("texts"), F.count_distinct("id").alias("ids"))
+    got = similar.counted_any(a, b, ways, by, "n", {"names": "name", "texts": "bv", "ids": "id"})
+    assert got.dtypes == truth.dtypes and rows(got) == rows(truth)
+    none = similar.counted_any(a, b.where("false"), ways, by, "n", {"names": "name"})
+    assert rows(none) == ([] if by else [(0, 0)])
+
+
+def test_pairs_of_a_frequent_key_are_counted_and_not_made(spark):
+    """Of 20,000 rows with one key on either side, 400 million pairs."""
+    a = spark.range(20_000).select(F.col("id").alias("i"), F.lit(1).alias("k"), (F.col("id") % 2).alias("g"))
+    b = spark.range(20_000).select(F.col("id").alias("j"), F.when(F.col("id") >= 5, 1).alias("l"))
+    got = similar.counted_any(a, b, [[("k", "l")], [("i", "j")]], ["g"], "n", {"others": "j"})
+    assert rows(got) == [(0, 10_000 * 19_995 + 3, 19_998), (1, 10_000 * 19_995 + 2, 19_997)]
+
+
 @pytest.mark.parametrize("width", [1.0, 3.5, 1000.0])
 def test_overlaps_against_all_pairs(spark, width):
     rng = np.random.default_rng(1)
