@@ -59,6 +59,18 @@ def contains(ring: Column, point: Column) -> Column:
     return F.aggregate(F.transform(_sides(ring), crossed), F.lit(0), lambda acc, v: acc + v) % 2 == 1
 
 
+def on_edge(ring: Column, point: Column) -> Column:
+    """Whether a point lies on a side or corner of a ring, as doubles have it: exact where the products of coordinates are."""
+    within = lambda v, a, b: (v >= F.least(a, b)) & (v <= F.greatest(a, b))
+
+    def on(s: Column) -> Column:
+        a, b = s["a"], s["b"]
+        along = (b["x"] - a["x"]) * (point["y"] - a["y"]) == (b["y"] - a["y"]) * (point["x"] - a["x"])
+        return F.coalesce(along & within(point["x"], a["x"], b["x"]) & within(point["y"], a["y"], b["y"]), F.lit(False))
+
+    return F.exists(_sides(ring), on)
+
+
 def buffer(point: Column, radius: Column, corners: int = 32) -> Column:
     """The ring of a circle about a point, as a polygon."""
     turn = [2 * math.pi * i / corners for i in range(corners)]
@@ -76,8 +88,8 @@ def rings_meet(a: Column, b: Column) -> Column:
     return crossing | contains(a, F.get(b, F.lit(0))) | contains(b, F.get(a, F.lit(0)))
 
 
-def join_inside(points: DataFrame, rings: DataFrame, point: str, ring: str, cell: float) -> DataFrame:
-    """Pairs of a point and a ring that contains it. Rings are dealt into the cells of a grid that their bounds touch, points into
+def join_inside(points: DataFrame, rings: DataFrame, point: str, ring: str, cell: float, edges: bool = True) -> DataFrame:
+    """Pairs of a point and a ring that contains it; without edges those on none of its sides. Rings are dealt into the cells of a grid that their bounds touch, points into
     their own, so that the join has an equality to shuffle on; NULLs are in nothing."""
     p = points.where(F.col(point).isNotNull()).withColumns({"__cx": F.floor(F.col(point)["x"] / cell), "__cy": F.floor(F.col(point)["y"] / cell)})
     bound = lambda f, axis: F.floor(f(F.transform(ring, lambda q: q[axis])) / cell)
@@ -85,4 +97,7 @@ def join_inside(points: DataFrame, rings: DataFrame, point: str, ring: str, cell
     for axis in "xy":
         r = r.withColumn(f"__r{axis}", F.explode(F.sequence(bound(F.array_min, axis), bound(F.array_max, axis))))
     met = p.join(r, (F.col("__cx") == F.col("__rx")) & (F.col("__cy") == F.col("__ry")))
-    return met.where(contains(F.col(ring), F.col(point))).drop("__cx", "__cy", "__rx", "__ry")
+    inside = contains(F.col(ring), F.col(point))
+    if not edges:
+        inside = inside & ~on_edge(F.col(ring), F.col(point))
+    return met.where(inside).drop("__cx", "__cy", "__rx", "__ry")

@@ -65,13 +65,13 @@ def scalar_clock(t):
 @query("""SELECT n_nationkey, c_custkey FROM (SELECT n_nationkey, n_nationkey * 3 + 10.25 AS cx, n_nationkey % 5 * 20 + 10.25 AS cy, 8.0 + n_nationkey % 7 AS r FROM nation)
 JOIN (SELECT c_custkey, c_acctbal / 100 AS x, c_custkey % 97 AS y FROM customer) ON abs(x - cx) + abs(y - cy) < r""")
 def geo_inside(t):
-    """Customers as points, and a diamond for each nation."""
+    """Customers as points, and a diamond for each nation, without those on its sides."""
     key = F.col("n_nationkey")
     x, y, r = key * 3 + 10.25, key % 5 * 20 + 10.25, 8.0 + key % 7
     corners = [(x - r, y), (x, y + r), (x + r, y), (x, y - r)]
     rings = t("nation").select("n_nationkey", G.make_line(*[G.make_point(a, b) for a, b in corners]).alias("ring"))
     points = t("customer").select("c_custkey", G.make_point(F.col("c_acctbal") / 100, F.col("c_custkey") % 97).alias("at"))
-    return G.join_inside(points, rings, "at", "ring", 10.0).select("n_nationkey", "c_custkey")
+    return G.join_inside(points, rings, "at", "ring", 10.0, edges=False).select("n_nationkey", "c_custkey")
 
 
 @query("""WITH p AS (SELECT *, c_acctbal / 100 AS x, CAST(c_custkey % 97 AS DOUBLE) AS y FROM customer), s AS (SELECT *, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x2, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y2,

@@ -107,6 +107,22 @@ def test_points_in_rings_against_all_pairs(spark, cell):
     assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_points_on_a_ring_are_left_out_without_edges(spark):
+    """A diamond about (79.25, 70.25) with a half diagonal of 10, and a square: points on all sides and corners, and beside them."""
+    diamond = [(69.25, 70.25), (79.25, 80.25), (89.25, 70.25), (79.25, 60.25)]
+    square = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)]
+    on = [(76.5, 63.0), (76.5, 77.5), (82.0, 63.0), (82.0, 77.5), *diamond, (2.0, 0.0), (4.0, 1.5), (1.0, 4.0), (0.0, 3.0), *square]
+    inside = [(76.5, 63.0001), (76.5001, 63.0), (82.0, 77.4999), (79.25, 70.25), (69.2501, 70.25), (88.0, 70.25), (2.0, 0.0001), (3.9999, 3.9999)]
+    beyond = [(76.4999, 63.0), (69.0, 70.25), (90.0, 70.25), (89.25, 80.25), (2.0, -0.0001), (5.0, 4.0), (5.0, 0.0), (-1.0, 4.0)]
+    points = spark.createDataFrame([(i, *p) for i, p in enumerate(on + inside + beyond)] + [(99, None, 0.0)], "i int, px double, py double").withColumn("at", G.make_point(F.col("px"), F.col("py")))
+    rings = spark.createDataFrame([(0, diamond), (1, square), (2, []), (3, None)], "j int, ring array<struct<x:double,y:double>>")
+    for cell in (1.0, 10.0):
+        got = G.join_inside(points, rings, "at", "ring", cell, edges=False).select("i", "j").collect()
+        assert sorted(r["i"] for r in got) == [len(on) + k for k in range(len(inside))]
+        some = {r["i"] for r in G.join_inside(points, rings, "at", "ring", cell).select("i").collect()}
+        assert {r["i"] for r in got} < some and 0 in some  # lower and left sides belong to the ring
+
+
 def test_quoted_texts_of_definitions_count():
     from terrace.operators.quality import definition_conflicts
 
