@@ -75,8 +75,11 @@ def drift_table(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def coercions(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Text columns and the share of their values that can be read as integer, real or date."""
-    share = lambda c, t: F.avg(F.when(F.col(c).try_cast(t).isNotNull(), 1.0).otherwise(0.0))
+    """Text columns and the share of their values that can be read as integer, real or date: a date's year is from 1 to 9999, as SQL has
+    it, though Spark alone reads up to seven digits and a sign as a year."""
+    dated = lambda c: F.coalesce(F.year(F.col(c).try_cast("date")).between(1, 9999), F.lit(False))
+    read = lambda c, t: dated(c) if t == "date" else F.col(c).try_cast(t).isNotNull()
+    share = lambda c, t: F.avg(F.when(read(c, t), 1.0).otherwise(0.0))
     one = df.agg(*[share(c, t).alias(f"{c}_{t}") for c in columns for t in ("bigint", "double", "date")])
     rows = F.array(*[F.struct(F.lit(c).alias("column_name"), *[F.col(f"{c}_{t}").alias(f"as_{t}") for t in ("bigint", "double", "date")]) for c in columns])
     return one.select(F.inline(rows))

@@ -89,3 +89,12 @@ def test_counts_and_fingerprints(spark):
     assert prints[0] == prints[1] and len(set(prints)) == 4
     assert quality.renamed_by_values(a, a.withColumnRenamed("k", "j")).collect()[0] == ("k", "j", 1.0) and quality.renamed_by_values(a, a).count() == 0
     assert joins.blend(a, b.withColumn("n", F.lit(1)), [], {}).count() == 5
+
+
+def test_texts_read_as_dates_have_a_year_of_sql(spark):
+    dates = ["1000", "9999", "2024-02-29", "2024-2", "0001-01-01", "2024-05-06 07:08"]
+    others = ["10000", "123456", "9999999", "10000-01-01", "-2024", "-2024-01-01", "0000", "0000-05-01", "999", "2023-02-29", "", "x"]
+    for texts, expected in ((dates, 1.0), (others, 0.0), ([None, None], 0.0), (["1234", "12345", None, "99999"], 0.25)):
+        df = spark.createDataFrame([(t,) for t in texts], "s string")
+        found = quality.coercions(df, ["s"]).first()
+        assert (found["column_name"], found["as_date"]) == ("s", expected)
