@@ -81,6 +81,23 @@ def test_no_window_holds_a_whole_table(spark, many_ranges):
     assert got.count() == 300
 
 
+@pytest.mark.parametrize("values", [range(200), [1] * 30 + [2, 3], [7]])
+def test_ranges_grow_in_number_and_not_in_size(spark, monkeypatch, values):
+    """Without settings: 4,000 rows at 100 a range, though they would fit one, and the same places as in ranges of any size."""
+    monkeypatch.setattr(spread, "ROWS", 100)
+    rows = sample(9, 4000, list(values))
+    df = spark.createDataFrame(rows, SCHEMA)
+    sizes = [r["count"] for r in spread.ranged(df, ["k", "v", "u"]).groupBy("__part").count().collect()]
+    assert len(sizes) >= 35 and max(sizes) < 400
+    kept = spread.ranged(df, ["k", "v", "u"], lambda cut: cut.withColumn("task", F.spark_partition_id()))
+    assert kept.groupBy("task").agg(F.count_distinct("__part").alias("n")).where("n > 1").count() == 0  # no task meets two ranges
+    got = places.positions(df, ["k"], [("v", True)], {"i": "index", "r": "rank", "d": "dense", "m": "modified"}, ["u"], [("there", "u", -3)])
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[2]) == [(*r[:5], *r[8:11], r[12]) for r in brute_positions(rows, True, -3)]
+    half = spread.percentiles(df, ["k"], "x", {"half": 0.5})
+    truth = {k: statistics.median(r[3] for r in some if r[3] is not None) for k, some in groups(rows, False).items()}
+    assert {r["k"]: r["half"] for r in half.collect()} == truth
+
+
 def brute_framed(rows, first, last):
     out = []
     for some in groups(rows, False).values():
