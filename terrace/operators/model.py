@@ -48,8 +48,9 @@ def range_table(spark: SparkSession, low: int, high: int, step: int) -> DataFram
 
 
 def list_table(spark: SparkSession, members: Sequence[tuple]) -> DataFrame:
-    """(value, alias) of a list parameter."""
-    return spark.createDataFrame(list(members), "value string, alias string")
+    """(value, alias) of a list parameter. The caller names the members, so they are sent to the tasks of what joins them: dealt by so few
+    values, a large table would come to a task for each."""
+    return F.broadcast(spark.createDataFrame(list(members), "value string, alias string"))
 
 
 def checked(value, allowed: Sequence):

@@ -234,7 +234,8 @@ def staged(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 
 
 def inline(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(list(rows), schema)
+    """A literal table, sent to the tasks of what joins it, as the caller holds all of it."""
+    return F.broadcast(spark.createDataFrame(list(rows), schema))
 
 
 def custom_sql(spark: SparkSession, query: str, parameters: Mapping[str, object] | None = None, **tables: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from terrace.functions import scripts
 from terrace.operators import aggregates as A
 from terrace.operators import filters, joins, quality
 from terrace.operators import model as M
+from terrace.sources import readers
 
 
 def kept(df, spec):
@@ -98,3 +99,16 @@ def test_texts_read_as_dates_have_a_year_of_sql(spark):
         df = spark.createDataFrame([(t,) for t in texts], "s string")
         found = quality.coercions(df, ["s"]).first()
         assert (found["column_name"], found["as_date"]) == ("s", expected)
+
+
+def test_rows_that_meet_a_list_are_not_dealt_by_its_values(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(1000).select(F.when(F.col("id") % 4 < 3, F.element_at(F.array(F.lit("F"), F.lit("O"), F.lit("P")), (F.col("id") % 4 + 1).cast("int"))).alias("s"))
+        for chosen in (M.list_table(spark, [("F", "finished"), ("O", "open"), ("O", "not done")]), readers.inline(spark, [("F", "finished"), ("O", "open"), ("O", "not done")], "value string, alias string")):
+            met = rows.join(chosen, F.col("s") == F.col("value"))
+            assert sorted(map(tuple, met.groupBy("alias").count().collect())) == [("finished", 250), ("not done", 250), ("open", 250)]
+            assert "Exchange hashpartitioning" not in met._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
