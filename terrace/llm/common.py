@@ -11,8 +11,8 @@ from pyspark.sql.window import Window
 
 from terrace.shared import new_folder, remove_folder
 
-#: Documents handled at once inside a task; bounds a task's memory whatever the Arrow batch size.
-SLICE_ROWS = 256
+#: Documents handled at once inside a task, and bytes of more than one; bound a task's memory whatever the Arrow batch size and the texts.
+SLICE_ROWS, SLICE_BYTES = 256, 1 << 21
 #: Strata of a sample unless said otherwise, the most frequent ones.
 STRATA = 32
 
@@ -86,7 +86,16 @@ def plain(docs: DataFrame) -> DataFrame:
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+            yield from _halved(batch.slice(at, rows))
+
+
+def _halved(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    if batch.num_rows < 2 or batch.nbytes <= SLICE_BYTES:
+        yield batch
+        return
+    half = batch.num_rows // 2
+    yield from _halved(batch.slice(0, half))
+    yield from _halved(batch.slice(half))
 
 
 def text_bytes(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:

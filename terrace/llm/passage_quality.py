@@ -12,7 +12,7 @@ of both kinds every score is the share of good rows in the sample, or 0.5.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +25,8 @@ from . import common, textstats
 SAMPLE = 2500
 #: Passages of all these rows, and hashed words and word pairs that have embeddings.
 PASSAGES, BUCKETS = 50_000, 1024
-#: Passages that a task encodes at a time.
-BLOCK = 2048
+#: Passages that a task encodes at a time, and passages of more than one document whose inputs the fit holds.
+BLOCK, HELD = 2048, 8192
 #: A score from here on predicts label 1; the scores are shifted so that the sample is split best here.
 CUT = 0.3
 
@@ -68,6 +68,17 @@ class Bags:
     def sizes(self, some: Sequence[int]) -> list[int]:
         return [len(self.tables[j]) for j in some]
 
+    def blocks(self, some: Sequence[int]) -> list[list[int]]:
+        """some, dealt into runs of HELD passages at most, or of one document."""
+        out, size = [], HELD
+        for j, n in zip(some, self.sizes(some), strict=True):
+            if size + n > HELD:
+                out.append([])
+                size = 0
+            out[-1].append(j)
+            size += n
+        return out
+
     def together(self, some: Sequence[int]) -> np.ndarray:
         sizes = self.sizes(some)
         width = self.tables[0].shape[1]
@@ -128,7 +139,11 @@ class BagModel:
         return {"h": h, "t": t, "s": s, "a": a, "z": z, "logit": z @ p["c"] + p["d"][0]}
 
     def _gradient(self, x: np.ndarray, bag: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict:
-        p, f = self.p, self._forward(x, bag, len(y))
+        return self._gradient_of([lambda: x], bag, y, weight)
+
+    def _gradient_of(self, blocks: Sequence[Callable[[], np.ndarray]], bag: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict:
+        """blocks: each makes a part of the inputs, twice."""
+        p, f = self.p, self.attend(np.concatenate([self.code(x()) for x in blocks]), bag, len(y))
         dlogit = weight * (_sigmoid(f["logit"]) - y) / len(y)
         dz = dlogit[:, None] * p["c"]
         da = (dz[bag] * f["h"]).sum(axis=1)
@@ -138,7 +153,19 @@ class BagModel:
         dt, ds = dt * (1 - f["t"] ** 2), ds * f["s"] * (1 - f["s"])
         dh += dt @ p["V"].T + ds @ p["U"].T
         dh *= 1 - f["h"] ** 2
-        return {"W": x.T @ dh.astype(x.dtype), "b": dh.sum(0), "V": f["h"].T @ dt, "U": f["h"].T @ ds, "w": (f["t"] * f["s"]).T @ du, "c": f["z"].T @ dlogit, "d": np.array([dlogit.sum()])}
+        dw, at = 0.0, 0
+        for make in blocks:
+            x = make()
+            dw = dw + x.T @ dh[at : at + len(x)].astype(x.dtype)
+            at += len(x)
+        return {"W": dw, "b": dh.sum(0), "V": f["h"].T @ dt, "U": f["h"].T @ ds, "w": (f["t"] * f["s"]).T @ du, "c": f["z"].T @ dlogit, "d": np.array([dlogit.sum()])}
+
+    def _makers(self, bags: Bags, some: list[int]) -> list[Callable[[], np.ndarray]]:
+        parts = bags.blocks(some)
+        if len(parts) == 1:
+            x = self._scale(bags.together(some))
+            return [lambda: x]
+        return [lambda part=part: self._scale(bags.together(part)) for part in parts]
 
     def fit(self, bags: Bags | Sequence[np.ndarray], y: np.ndarray, epochs: int = 25, batch: int = 64, rate: float = 0.01, decay: float = 1e-4, seed: int = 6) -> BagModel:
         bags = bags if isinstance(bags, Bags) else _Dense(bags)
@@ -154,12 +181,12 @@ class BagModel:
                 some = order[i : i + batch].tolist()
                 bag = np.repeat(np.arange(len(some)), bags.sizes(some))
                 step += 1
-                for k, g in self._gradient(self._scale(bags.together(some)), bag, y[some], weight[some]).items():
+                for k, g in self._gradient_of(self._makers(bags, some), bag, y[some], weight[some]).items():
                     g = g + decay * self.p[k]
                     m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.999 * v[k] + 0.001 * g * g
                     self.p[k] = self.p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
         bag = np.repeat(np.arange(len(y)), bags.sizes(range(len(y))))
-        codes = np.concatenate([self.code(self._scale(bags.together(range(i, min(i + batch, len(y)))))) for i in range(0, len(y), batch)])
+        codes = np.concatenate([self.code(self._scale(bags.together(part))) for i in range(0, len(y), batch) for part in bags.blocks(range(i, min(i + batch, len(y))))])
         self.shift = _best_cut(self.attend(codes, bag, len(y))["logit"], y)
         return self
 
@@ -179,10 +206,16 @@ def _best_cut(logit: np.ndarray, y: np.ndarray) -> float:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = SAMPLE) -> BagModel | float:
-    """The model, or the share of label 1 if the sample holds one kind only."""
+    """The model, or the share of label 1 if the sample holds one kind only. Rows are chosen by their sizes, and only these are encoded, so
+    that no task meets what the whole sample says."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("n", pa.int32())])
+        for batch in common.slices(batches):
+            yield common.record(out, [batch.column("doc_id"), batch.column("label").cast(pa.int32()), [textstats.n_passages(t) for t in common.text_bytes(batch)]])
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("n", pa.int32()), ("x", pa.binary()), ("row", pa.binary()), ("bucket", pa.binary())])
+        out = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("x", pa.binary()), ("row", pa.binary()), ("bucket", pa.binary())])
         for batch in common.slices(batches):
             owner, x, *words = textstats.passages_and_words(common.text_bytes(batch))
             row, bucket = contents(*words)
@@ -190,11 +223,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
             parts = []
             for a, b in zip(at[:-1], at[1:], strict=True):
                 i, j = np.searchsorted(row, [a, b])
-                parts.append((int(b - a), x[a:b].tobytes(), (row[i:j] - a).astype(np.uint16).tobytes(), bucket[i:j].astype(np.uint16).tobytes()))
+                parts.append((x[a:b].tobytes(), (row[i:j] - a).astype(np.uint16).tobytes(), bucket[i:j].astype(np.uint16).tobytes()))
             yield common.record(out, [batch.column("doc_id"), batch.column("label").cast(pa.int32()), *zip(*parts, strict=True)])
 
-    ddl = "doc_id long, label int, n int, x binary, row binary, bucket binary"
-    rows = common.bounded(common.labelled(docs, labels, label, most).mapInArrow(encoded, ddl), "n", PASSAGES).collect()
+    sample = common.labelled(docs, labels, label, most)
+    few = common.bounded(sample.mapInArrow(counted, "doc_id long, label int, n int"), "n", PASSAGES).select("doc_id", "label")
+    rows = sample.join(F.broadcast(few), ["doc_id", "label"]).mapInArrow(encoded, "doc_id long, label int, x binary, row binary, bucket binary").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["label"], r["x"], r["bucket"]))
     y = np.array([r["label"] for r in rows], float)
     if not 0 < y.sum() < len(y):

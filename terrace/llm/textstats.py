@@ -56,6 +56,8 @@ def _repeated(words: list[bytes]) -> int:
     return int(covered.sum())
 
 
+#: Words whose letters are hashed at a time.
+HASHED = 1 << 15
 PASSAGE = ("words", "doc_words", "chars", "upper", "digits", "symbols", "shouts", "marks", "foreign", "short", "distinct", "adjacent", "repeated")
 
 
@@ -64,6 +66,11 @@ def passages(texts: list[bytes], words_each: int = 64) -> tuple[np.ndarray, np.n
     return passages_and_words(texts, words_each)[:2]
 
 
+def n_passages(text: bytes, words_each: int = 64) -> int:
+    """How many passages() makes of a text."""
+    return max(1, -(-len(text.split()) // words_each))
+
+
 def passages_and_words(texts: list[bytes], words_each: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """passages(), then the passage of each word, a 64-bit hash of each word, and whether it is the first of its passage, in
     order of the texts."""
@@ -87,11 +94,8 @@ def passages_and_words(texts: list[bytes], words_each: int = 64) -> tuple[np.nda
     count = [np.add.reduceat(kind == c, at, dtype=np.int64) for c in range(CLASSES)]
     size = np.diff(np.append(heads, len(begins)))
     chars = np.maximum(1, sum(count[c] for c in range(CLASSES) if c not in (1, 7)))
-    # a hash of each word, from its letters and their places
-    word_of = np.cumsum(np.bincount(begins, minlength=len(data))) - 1
-    place = np.arange(len(data)) - begins[np.maximum(word_of, 0)]
-    letters = np.where(white, np.uint64(0), _LETTER[data] * _PLACE[place & 1023])
-    words = np.add.reduceat(letters, begins)
+    edges = np.append(begins[::HASHED], len(data))
+    words = np.concatenate([_hashes(data[a:b], white[a:b], begins[i * HASHED : (i + 1) * HASHED] - a) for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))])
     n = len(at)
     distinct = np.bincount(_first_of(passage, words), minlength=n)
     adjacent = np.zeros(len(words), bool)
@@ -114,6 +118,12 @@ def passages_and_words(texts: list[bytes], words_each: int = 64) -> tuple[np.nda
     return owners[order], table[order], place[passage], words, first
 
 
+def _hashes(data: np.ndarray, white: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """A hash of each word, from its letters and their places."""
+    place = np.arange(len(data)) - begins[np.cumsum(np.bincount(begins, minlength=len(data))) - 1]
+    return np.add.reduceat(np.where(white, np.uint64(0), _LETTER[data] * _PLACE[place & 1023]), begins)
+
+
 def _keys(group: np.ndarray, words: np.ndarray) -> np.ndarray:
     return words * np.uint64(0x9E3779B97F4A7C15) ^ (group.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
 

@@ -1,9 +1,12 @@
 """What the learned operators and the index are fitted on: bounded, and never a part of a text."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from terrace.llm import common, hilbert_ann, language_id, passage_quality, toxicity
+from terrace.llm import common, hilbert_ann, language_id, passage_quality, textstats, toxicity
 
 LABELS = "doc_id long, quality int, toxic int"
 
@@ -69,6 +72,62 @@ def test_quality_learns_from_a_passage_at_any_place(spark):
     assert len(held) > 40 and np.mean([r["predicted"] == r["doc_id"] % 2 for r in held]) > 0.9
 
 
+def peak(f):
+    tracemalloc.start()
+    try:
+        return f(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_long_texts_are_handled_few_at_a_time(spark):
+    rows = [(i, "x" * n) for i, n in enumerate([10, 3 << 20, 1 << 20, 1 << 20, 1 << 20, *[1 << 14] * 300])]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["doc_id", "text"])
+    got = list(common.slices([batch]))
+    assert [x for b in got for x in b.column("doc_id").to_pylist()] == list(range(305))
+    assert all(b.num_rows == 1 or b.nbytes <= common.SLICE_BYTES for b in got) and max(b.num_rows for b in got) > 60
+
+
+def test_words_of_a_long_text_are_hashed_in_parts(monkeypatch):
+    rng = np.random.default_rng(47)
+    words = ["".join(rng.choice(list("abcdefA9.é"), n)) for n in rng.integers(1, 9, 500)]
+    text = " ".join(rng.choice(words, 200_000)).encode()
+    _, most = peak(lambda: textstats.passages_and_words([text]))
+    assert most < 30 * len(text)
+    texts = [b"", b" \n", text[:3000], b"a", b"\tb  c\n" + b"d" * 2000]
+    whole = textstats.passages_and_words(texts)
+    monkeypatch.setattr(textstats, "HASHED", 7)
+    assert all((a == b).all() for a, b in zip(whole, textstats.passages_and_words(texts), strict=True))
+    assert [textstats.n_passages(t) for t in texts] == np.bincount(whole[0]).tolist()
+
+
+def test_rows_of_the_quality_sample_are_chosen_by_size_alone(spark, monkeypatch):
+    seen, real = [], common.bounded
+    monkeypatch.setattr(common, "bounded", lambda rows, *how: (seen.append(dict(rows.dtypes)), real(rows, *how))[1])
+    monkeypatch.setattr(passage_quality, "PASSAGES", 64)
+    rows = [(i, ("good river " if i % 2 else "bad casino ") * (400 if i == 3 else 40), i % 2) for i in range(60)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y, 0) for i, _, y in rows] + [(7, 0, 0)], LABELS)
+    sizes, fit = [], passage_quality.BagModel.fit
+    monkeypatch.setattr(passage_quality.BagModel, "fit", lambda self, bags, y, **how: (sizes.append([len(t) for t in bags.tables]), fit(self, bags, y, epochs=1))[1])
+    passage_quality.fit(docs, labels)
+    assert seen == [{"doc_id": "bigint", "label": "int", "n": "int"}]
+    assert len(sizes) == 1 and 40 < sum(sizes[0]) <= 64 and max(sizes[0]) == 2
+
+
+def test_long_bags_are_learned_from_in_blocks(monkeypatch):
+    rng = np.random.default_rng(48)
+    parts = [(rng.normal(size=(n, 13)).astype(np.float32), np.repeat(np.arange(n), 20), rng.integers(0, passage_quality.BUCKETS, 20 * n)) for n in [1500, 3, 900, 700, 40, 1200] * 6]
+    y = np.arange(36) % 2.0
+    bags, model = passage_quality.Bags(parts), lambda: passage_quality.BagModel(13, embedded=passage_quality.BUCKETS)
+    whole, most = peak(lambda: model().fit(bags, y, epochs=1))
+    assert most < 13 * passage_quality.HELD * (13 + passage_quality.BUCKETS)  # bytes; 141 MB when a batch was held whole
+    monkeypatch.setattr(passage_quality, "HELD", 1000)
+    assert [sum(bags.sizes(b)) for b in bags.blocks(range(6))] == [1500, 903, 740, 1200]
+    blocks = model().fit(bags, y, epochs=1)
+    assert all(np.allclose(whole.p[k], blocks.p[k], atol=1e-3) for k in whole.p) and np.isclose(whole.shift, blocks.shift, atol=1e-2)
+
+
 def brute(rows, ask, k=5):
     out = set()
     for q, v in rows:
